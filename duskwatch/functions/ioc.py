@@ -46,13 +46,14 @@ def extract_domains(text: Column) -> Column:
     return _sorted_distinct(F.concat(free, hosts))
 
 
+def _hashes_of(text: Column, kind: str, pattern: str) -> Column:
+    values = F.array_distinct(F.transform(_all(text, pattern), F.lower))
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("hash_type"), v.alias("value")))
+
+
 def extract_hashes(text: Column) -> Column:
     """Distinct ``(hash_type, value)`` structs, shortest hash type first."""
-    parts = []
-    for kind, pattern in rules.HASHES:
-        values = F.array_distinct(F.transform(_all(text, pattern), F.lower))
-        parts.append(F.transform(values, lambda v, kind=kind: F.struct(F.lit(kind).alias("hash_type"), v.alias("value"))))
-    return F.concat(*parts)
+    return F.concat(*[_hashes_of(text, kind, pattern) for kind, pattern in rules.HASHES])
 
 
 def indicators(text: Column) -> Column:

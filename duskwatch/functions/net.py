@@ -11,6 +11,8 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from duskwatch.functions.columns import let, strip
+
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4_STRICT = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 
@@ -50,28 +52,47 @@ def _hex_from_v4(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(ipv4_number(c))), 8, "0")
 
 
+def _groups(half: Column) -> Column:
+    """Non-empty 16-bit groups of one side of a '::'."""
+    return F.filter(F.split(F.coalesce(half, F.lit("")), ":", -1), lambda g: g != "")
+
+
+def _fold_quad(text: Column) -> Column:
+    """A dotted IPv4 tail rewritten as two 16-bit groups."""
+    tail = F.regexp_extract(text, r"(\d+\.\d+\.\d+\.\d+)$", 1)
+    head = F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", "")
+    quad = let(_hex_from_v4(tail), lambda q: F.concat(head, F.substring(q, 1, 4), F.lit(":"), F.substring(q, 5, 4)))
+    return F.when(tail == "", text).otherwise(quad)
+
+
 def ipv6_hex(c: Column) -> Column:
     """32 hexadecimal digits of a valid IPv6 text, null otherwise."""
-    text = F.lower(F.regexp_replace(c, r"%[^%]+$", ""))
-    tail = F.regexp_extract(text, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    quad = _hex_from_v4(tail)
-    folded = F.when(tail == "", text).otherwise(
-        F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), F.substring(quad, 1, 4), F.lit(":"), F.substring(quad, 5, 4))
-    )
-    halves = F.split(folded, "::", -1)
-
-    def groups(half: Column) -> Column:
-        return F.filter(F.split(half, ":", -1), lambda g: g != "")
-
-    left = groups(F.try_element_at(halves, F.lit(1)))
-    right = F.coalesce(groups(F.try_element_at(halves, F.lit(2))), F.array().cast("array<string>"))
-    missing = 8 - F.size(left) - F.size(right)
-    gap = F.size(halves) == 2
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.when(gap, F.greatest(missing, F.lit(0))).otherwise(0)), right)
-    shape = folded.rlike(r"^[0-9a-f:]+$") & folded.contains(":") & ~folded.rlike(r"(^:[^:])|([^:]:$)|:::")
-    fits = F.when(gap, missing >= 1).otherwise(F.size(left) == 8) & (F.size(halves) <= 2)
-    widths = F.forall(every, lambda g: F.length(g) <= 4)
-    return F.when(shape & fits & widths, F.concat_ws("", F.transform(every, lambda g: F.lpad(g, 4, "0"))))
+
+    def expand(halves: Column) -> Column:
+        gap = F.size(halves) == 2
+        sides = F.struct(
+            _groups(F.try_element_at(halves, F.lit(1))).alias("left"),
+            F.when(gap, _groups(F.try_element_at(halves, F.lit(2)))).otherwise(F.array().cast("array<string>")).alias("right"),
+        )
+
+        def fill(s: Column) -> Column:
+            missing = 8 - F.size(s["left"]) - F.size(s["right"])
+            zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+            fits = F.when(gap, missing >= 1).otherwise(missing == 0) & (F.size(halves) <= 2)
+            padded = F.transform(F.concat(s["left"], zeros, s["right"]), lambda g: F.lpad(g, 4, "0"))
+            return F.when(fits, F.concat_ws("", padded))
+
+        return let(sides, fill)
+
+    def digits(text: Column) -> Column:
+        shaped = (
+            text.rlike(r"^[0-9a-f:]+$")
+            & text.contains(":")
+            & ~text.rlike(r"(^:[^:])|([^:]:$)|:::|[0-9a-f]{5}")
+        )
+        return F.when(shaped, let(F.split(text, "::", -1), expand))
+
+    return let(_fold_quad(F.lower(F.regexp_replace(c, r"%[^%]+$", ""))), digits)
 
 
 def _in_v4(number: Column, nets: tuple[str, ...]) -> Column:
@@ -99,24 +120,32 @@ def _global_v4(number: Column) -> Column:
 
 def ip_scope(c: Column) -> Column:
     """``invalid``, ``private``, ``non-public`` or ``public``."""
-    v4, v6 = ipv4_number(c), ipv6_hex(c)
-    mapped = _mapped_number(v6)
-    global_v6 = F.coalesce(_global_v4(mapped), ~_in_v6(v6, NOT_GLOBAL_V6) | _in_v6(v6, GLOBAL_ANYWAY_V6))
-    return (
-        F.when(v4.isNotNull() & _global_v4(v4), "public")
-        .when(_in_v4(v4, PRIVATE_V4), "private")
-        .when(v4.isNotNull(), "non-public")
-        .when(v6.isNull(), "invalid")
-        .when(global_v6, "public")
-        .when(_in_v6(v6, PRIVATE_V6), "private")
-        .otherwise("non-public")
-    )
+
+    def scope_v4(n: Column) -> Column:
+        return F.when(_global_v4(n), "public").when(_in_v4(n, PRIVATE_V4), "private").otherwise("non-public")
+
+    def scope_v6(d: Column) -> Column:
+        plain = ~_in_v6(d, NOT_GLOBAL_V6) | _in_v6(d, GLOBAL_ANYWAY_V6)
+        is_global = F.coalesce(let(_mapped_number(d), _global_v4), plain)
+        return (
+            F.when(d.isNull(), "invalid")
+            .when(is_global, "public")
+            .when(_in_v6(d, PRIVATE_V6), "private")
+            .otherwise("non-public")
+        )
+
+    return F.when(is_ipv4(c), let(ipv4_number(c), scope_v4)).otherwise(let(ipv6_hex(c), scope_v6))
 
 
 def is_blockable_ip(c: Column) -> Column:
     """Valid and neither loopback, unspecified nor multicast."""
-    text = F.regexp_replace(c, r"^\s+|\s+$", "")
-    v4, v6 = ipv4_number(text), ipv6_hex(text)
-    mapped = _mapped_number(v6)
-    safe_v6 = F.coalesce(~_in_v4(mapped, PROTECTED_V4), ~_in_v6(v6, PROTECTED_V6))
-    return F.coalesce(F.when(v4.isNotNull(), ~_in_v4(v4, PROTECTED_V4)).otherwise(safe_v6), F.lit(False))
+
+    def safe_v6(d: Column) -> Column:
+        mapped = let(_mapped_number(d), lambda n: ~_in_v4(n, PROTECTED_V4))
+        return F.coalesce(mapped, ~_in_v6(d, PROTECTED_V6))
+
+    def safe(text: Column) -> Column:
+        v4 = let(ipv4_number(text), lambda n: ~_in_v4(n, PROTECTED_V4))
+        return F.when(is_ipv4(text), v4).otherwise(let(ipv6_hex(text), safe_v6))
+
+    return F.coalesce(let(strip(c), safe), F.lit(False))

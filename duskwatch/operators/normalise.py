@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import risk, rules
 from duskwatch.functions.columns import first_truthy, norm, parse_iso_utc, truthy
-from duskwatch.schemas import HOST_BODY
+from duskwatch.schemas import HOST_BODY_FIELDS
 
 REJECT = "reject_reason"
 
@@ -31,7 +31,7 @@ def normalise_host_alerts(raw: DataFrame, lab_pair: tuple[str, str] | None = Non
     ``lab_pair`` is an optional (destination, source) pair filled in for scans seen by the
     manager's own agent; it is off unless given. Other columns of ``raw`` are passed on.
     """
-    body_fields = [f.name for f in HOST_BODY.fields]
+    body_fields = HOST_BODY_FIELDS
     body = F.coalesce(F.col("_source"), F.struct(*body_fields))
     passed = [c for c in raw.columns if c not in body_fields and c not in ("_source", "_corrupt_record")]
     df = raw.select(*passed, "_corrupt_record", F.col("_source").isNotNull().alias("wrapped"), body.alias("b"))

@@ -1,25 +1,18 @@
-"""Explicit schemas of the tables and raw sensor records."""
+"""Explicit schemas of the tables and raw sensor records, as DDL text."""
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-INCIDENTS = _struct(
+INCIDENTS = (
     "id BIGINT, title STRING, description STRING, severity STRING, status STRING, disposition STRING, source STRING,"
     " hostname STRING, source_ip STRING, destination_ip STRING, username STRING, assigned_to STRING,"
     " workflow_status STRING, workflow_error STRING, workflow_thread_id STRING, correlation_id STRING,"
     " event_timestamp TIMESTAMP_NTZ, detected_at TIMESTAMP_NTZ, resolved_at TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ"
 )
 
-ALERTS = _struct(
+ALERTS = (
     "id BIGINT, title STRING, description STRING, source STRING, severity STRING, status STRING, attack_type STRING,"
     " mitre_technique STRING, source_ip STRING, destination_ip STRING, created_at TIMESTAMP_NTZ"
 )
 
-ANALYSES = _struct(
+ANALYSES = (
     "id BIGINT, incident_id BIGINT, summary STRING, risk_level STRING, explanation STRING, recommendation STRING,"
     " mitre_technique STRING, mitre_name STRING, mitre_valid BOOLEAN, rag_sources ARRAY<STRING>,"
     " human_approval_required BOOLEAN, human_approved BOOLEAN, human_review_status STRING, human_comment STRING,"
@@ -28,17 +21,17 @@ ANALYSES = _struct(
     " created_at TIMESTAMP_NTZ"
 )
 
-ACTIONS = _struct(
+ACTIONS = (
     "id BIGINT, incident_id BIGINT, action_type STRING, target STRING, status STRING, requires_approval BOOLEAN,"
     " approved BOOLEAN, result STRING, executed_at TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ"
 )
 
-ACTION_LOGS = _struct(
+ACTION_LOGS = (
     "id BIGINT, action_id BIGINT, incident_id BIGINT, event_type STRING, previous_status STRING, new_status STRING,"
     " details STRING, created_at TIMESTAMP_NTZ"
 )
 
-AUDIT_LOGS = _struct(
+AUDIT_LOGS = (
     "id BIGINT, event_type STRING, outcome STRING, actor_subject STRING, actor_source STRING, actor_email STRING,"
     " resource_type STRING, resource_id STRING, request_method STRING, request_path STRING, client_ip STRING,"
     " details STRING, created_at TIMESTAMP_NTZ"
@@ -54,11 +47,20 @@ _HOST_BODY = (
     "agent_ip:STRING,host_ip:STRING>,"
     " predecoder STRUCT<hostname:STRING>, full_log STRING, message STRING, timestamp STRING"
 )
-HOST_BODY = _struct(_HOST_BODY)
-HOST_ALERT = T.StructType([*HOST_BODY.fields, T.StructField("_source", HOST_BODY), T.StructField("_corrupt_record", T.StringType())])
+HOST_BODY_FIELDS = ("rule", "agent", "data", "predecoder", "full_log", "message", "timestamp")
+_NESTED_BODY = (
+    _HOST_BODY.replace("rule STRUCT", "rule: STRUCT")
+    .replace(" agent STRUCT", " agent: STRUCT")
+    .replace(" data STRUCT", " data: STRUCT")
+    .replace(" predecoder STRUCT", " predecoder: STRUCT")
+    .replace(" full_log STRING", " full_log: STRING")
+    .replace(" message STRING", " message: STRING")
+    .replace(" timestamp STRING", " timestamp: STRING")
+)
+HOST_ALERT = f"{_HOST_BODY}, _source STRUCT<{_NESTED_BODY}>, _corrupt_record STRING"
 
 # Network-sensor event lines: alerts and flows share one schema.
-EVE_EVENT = _struct(
+EVE_EVENT = (
     "event_type STRING, timestamp STRING, src_ip STRING, dest_ip STRING, src_port INT, dest_port INT, proto STRING,"
     " alert STRUCT<signature:STRING,signature_id:BIGINT,category:STRING,severity:INT,gid:BIGINT,rev:BIGINT>,"
     " flow STRUCT<pkts_toserver:DOUBLE,pkts_toclient:DOUBLE,bytes_toserver:DOUBLE,bytes_toclient:DOUBLE,"
@@ -66,7 +68,7 @@ EVE_EVENT = _struct(
     " tcp STRUCT<syn:BOOLEAN,fin:BOOLEAN,psh:BOOLEAN,ack:BOOLEAN>, _corrupt_record STRING"
 )
 
-CVE_RECORD = _struct(
+CVE_RECORD = (
     "cveMetadata STRUCT<cveId:STRING,state:STRING,assignerShortName:STRING,datePublished:STRING,dateUpdated:STRING>,"
     " containers STRUCT<"
     "cna:STRUCT<title:STRING,"
@@ -87,13 +89,13 @@ CVE_RECORD = _struct(
     " _corrupt_record STRING"
 )
 
-TECHNIQUE_OBJECT = _struct(
+TECHNIQUE_OBJECT = (
     "type STRING, name STRING, description STRING, revoked BOOLEAN, x_mitre_deprecated BOOLEAN,"
     " external_references ARRAY<STRUCT<source_name:STRING,external_id:STRING,url:STRING>>,"
     " kill_chain_phases ARRAY<STRUCT<kill_chain_name:STRING,phase_name:STRING>>"
 )
 
-WEAKNESS_ROW = _struct(
+WEAKNESS_ROW = (
     "_ID STRING, _Name STRING, _Abstraction STRING, _Structure STRING, _Status STRING,"
     " Description STRING, Extended_Description STRING, Likelihood_Of_Exploit STRING,"
     " Common_Consequences STRUCT<Consequence:ARRAY<STRING>>,"
