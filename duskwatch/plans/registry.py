@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from duskwatch.plans import correlation_queries, incident_queries, sensor_queries  # noqa: F401
+from duskwatch.plans import correlation_queries, incident_queries, knowledge_queries, response_queries, sensor_queries  # noqa: F401
 from duskwatch.plans.catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

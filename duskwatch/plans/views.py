@@ -104,13 +104,12 @@ FROM @t(orders)
 """
 
 VIEWS["action_log_v"] = """
-SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS action_id, l_orderkey % 1500 AS incident_id,
-  CASE l_linenumber WHEN 1 THEN 'created' WHEN 2 THEN 'approved' WHEN 3 THEN 'simulated' ELSE 'executed' END AS event_type,
-  CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 'pending' WHEN 3 THEN CASE WHEN l_returnflag = 'R' THEN 'pending' ELSE 'approved' END
-    WHEN 4 THEN 'simulated' ELSE 'executed' END AS previous_status,
-  CASE l_linenumber WHEN 1 THEN 'pending' WHEN 2 THEN 'approved' WHEN 3 THEN 'simulated' ELSE 'executed' END AS new_status,
-  @ts(@us(l_shipdate) + l_linenumber) AS created_at
-FROM @t(lineitem)
+SELECT o_orderkey AS id, o_custkey AS action_id, o_custkey AS incident_id,
+  CASE o_orderkey % 4 WHEN 0 THEN 'created' WHEN 1 THEN 'approved' WHEN 2 THEN 'simulated' ELSE 'executed' END AS event_type,
+  CASE o_orderstatus WHEN 'O' THEN NULL WHEN 'F' THEN 'pending' ELSE 'approved' END AS previous_status,
+  CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'simulated' ELSE 'executed' END AS new_status,
+  @ts(@us(o_orderdate)) AS created_at
+FROM @t(orders)
 """
 
 VIEWS["status_change_v"] = """
@@ -210,6 +209,104 @@ FROM (SELECT event_id, event_id % 5 AS kind, user_id % 60 AS gap_s, user_id, val
 """
 
 
+# Analysis responses: good, fenced, listed, placeholder-filled, incomplete and unreadable ones.
+VIEWS["response_v"] = """
+SELECT event_id AS incident_id, kind, event_type, title, description, severity, (user_id % 2 = 0) AS has_intel,
+  CASE kind
+    WHEN 0 THEN concat('Sure.', chr(10), '```json', chr(10), '{"summary":" S ', event_type, ' ","risk_level":"Severe","explanation":"E","recommendation":"R","mitre_technique":"T1000 - x"}', chr(10), '```')
+    WHEN 1 THEN concat('{"summary":"old","risk_level":"low","explanation":"o","recommendation":"o","mitre_technique":"o"} then {"summary":"...","risk_level":"odd","explanation":"","recommendation":["first ",""," second"],"mitre_technique":""} done')
+    WHEN 2 THEN '{"summary":"only"} and {"a":{"b":1}}'
+    WHEN 3 THEN 'no object { at all'
+    WHEN 4 THEN '{"wrap":{"summary":["a"," b"],"risk_level":"very high","explanation":{"k":"v"},"recommendation":{"step":" do it ","none":""},"mitre_technique":null}}'
+    ELSE '{"summary":"x","risk_level":"MODERATE","explanation":"Technical explanation","recommendation":"...","mitre_technique":"T2"} {"summary":"later"}' END AS content
+FROM (SELECT event_id, event_id % 6 AS kind, event_type, user_id,
+    CASE event_type WHEN 'error' THEN 'Nmap port scan detected' WHEN 'signup' THEN 'sshd: brute force login' ELSE 'Policy notice' END AS title,
+    concat('value ', CAST(CAST(floor(value) AS INT) AS STRING)) AS description,
+    CASE WHEN value >= 60 THEN 'informational' WHEN value >= 30 THEN 'High' WHEN value >= 10 THEN 'medium' ELSE 'none' END AS severity
+  FROM @t(events)) e
+"""
+
+VIEWS["workflow_event_v"] = """
+SELECT o_orderkey AS event_id, o_custkey AS incident_id, @ts(@us(o_orderdate)) AS changed_at,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'running' WHEN '2-HIGH' THEN 'waiting_for_human' WHEN '3-MEDIUM' THEN 'completed'
+    WHEN '4-NOT SPECIFIED' THEN 'rate_limited' ELSE 'failed' END AS workflow_status
+FROM @t(orders)
+"""
+
+VIEWS["stage_v"] = """
+SELECT l_orderkey AS incident_id, l_linenumber AS seq, CASE l_linenumber WHEN 1 THEN 'Triage' WHEN 2 THEN 'Machine Learning'
+  WHEN 3 THEN 'Threat Intelligence' WHEN 4 THEN 'Investigation' WHEN 5 THEN 'Human Review' WHEN 6 THEN 'Response' ELSE 'Report' END AS stage
+FROM @t(lineitem)
+"""
+
+
+# Vulnerability records, some rejected, some scored only by an additional publisher.
+VIEWS["cve_line_v"] = """
+SELECT p_partkey, concat('{"cveMetadata":{"cveId":"CVE-2024-', CAST(10000 + p_partkey AS STRING), '","state":"', CASE WHEN p_partkey % 10 = 0 THEN 'REJECTED' ELSE 'PUBLISHED' END,
+  '","assignerShortName":"', p_type, '","datePublished":"2024-01-02"},"containers":{"cna":{', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('"title":"', p_name, '",') END,
+  '"descriptions":[{"lang":"fr","value":"fr ', p_type, '"}', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat(',{"lang":"en","value":" en ', p_type, ' "}') END,
+  '],"problemTypes":[{"descriptions":[{"cweId":"CWE-', CAST(p_size AS STRING), '"},{"cweId":"CWE-', CAST(p_size AS STRING), '"}]},{"descriptions":[{"cweId":"CWE-79"},{"type":"text"}]}],',
+  '"metrics":[{"format":"CVSS"}', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(',{"cvssV3_1":{"version":"3.1","baseScore":', CAST(p_size % 10 AS STRING), '.5,"baseSeverity":"HIGH","vectorString":"AV:N"}}') END,
+  '],"affected":[{"vendor":" ', p_brand, '","product":"', p_name, '"},{"vendor":"', p_brand, '","product":"', p_name, '"},{"product":"alone"},{"vendor":"","product":""}],"references":[',
+  '{"url":"https://r/', CAST(p_partkey AS STRING), '/1"},{"url":" https://r/2 "},{"url":"https://r/2"},{"url":""},{"url":"https://r/3"},{"url":"https://r/4"},{"url":"https://r/5"},',
+  '{"url":"https://r/6"},{"url":"https://r/7"},{"url":"https://r/8"},{"url":"https://r/9"},{"url":"https://r/10"},{"url":"https://r/11"}]},',
+  '"adp":[{"metrics":[]},{"metrics":[{"cvssV4_0":{"baseScore":', CAST(p_size % 9 AS STRING), ',"baseSeverity":"LOW"}}]}]}}') AS raw
+FROM @t(part)
+"""
+
+VIEWS["technique_line_v"] = """
+SELECT p_partkey, concat('{"type":"', CASE WHEN p_partkey % 7 = 0 THEN 'malware' ELSE 'attack-pattern' END, '","name":"', p_name, '","description":" ', p_type, '\\r\\nline two ",',
+  '"revoked":', CASE WHEN p_partkey % 5 = 0 THEN 'true' ELSE 'false' END, CASE WHEN p_partkey % 11 = 0 THEN ',"x_mitre_deprecated":true' ELSE '' END,
+  ',"external_references":[{"source_name":"capec","external_id":"CAPEC-1"}', CASE WHEN p_partkey % 13 = 0 THEN '' ELSE
+    concat(',{"source_name":"mitre-attack","external_id":"T', CAST(1000 + p_partkey AS STRING), '","url":"https://t/', CAST(p_partkey AS STRING), '"}') END,
+  '],"kill_chain_phases":[{"kill_chain_name":"mitre-attack","phase_name":"persistence"},{"kill_chain_name":"other","phase_name":"zzz"},{"kill_chain_name":"mitre-attack","phase_name":"',
+  lower(p_type), '"},{"kill_chain_name":"mitre-attack","phase_name":"persistence"}]}') AS raw
+FROM @t(part)
+"""
+
+VIEWS["weakness_line_v"] = """
+SELECT p_partkey, concat('<Weakness ID="', CAST(p_partkey AS STRING), '" Name="', p_name, '" Abstraction="Base" Structure="Simple"', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ' Status="Draft"' END, '>',
+  '<Description>Some  ', p_type, ' &amp;lt;text&amp;gt;</Description>', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<Likelihood_Of_Exploit>High</Likelihood_Of_Exploit>' END,
+  '<Related_Weaknesses><Related_Weakness Nature="ChildOf" CWE_ID="', CAST(p_size AS STRING), '"/><Related_Weakness CWE_ID="7"/></Related_Weaknesses>',
+  '<Common_Consequences><Consequence><Scope>Integrity</Scope><Impact>', p_brand, '</Impact></Consequence><Consequence><Scope>Access</Scope></Consequence></Common_Consequences>',
+  '<Potential_Mitigations><Mitigation><Phase>Design</Phase><Description>Check  input.</Description></Mitigation></Potential_Mitigations>',
+  '<Observed_Examples><Observed_Example><Reference>CVE-1</Reference><Description>bad ', p_name, '</Description></Observed_Example><Observed_Example><Reference>CVE-2</Reference></Observed_Example></Observed_Examples>',
+  '</Weakness>') AS raw
+FROM @t(part)
+"""
+
+# One markdown file per document, of eight kinds.
+VIEWS["kb_file_v"] = """
+SELECT doc_id, kind, text, CASE kind WHEN 0 THEN 'mitre/mitre_enterprise_attack.md' WHEN 1 THEN 'cwe/cwe_weaknesses.md' WHEN 2 THEN 'cve/cve_selected.md'
+    WHEN 3 THEN 'wazuh/wazuh_soc_reference.md' WHEN 4 THEN 'suricata/suricata_soc_reference.md' WHEN 5 THEN 'runbooks/some_runbook.md'
+    WHEN 6 THEN 'nist/nist_csf_2_0.md' ELSE concat('notes/n', CAST(doc_id AS STRING), '.md') END AS path,
+  CASE kind
+    WHEN 0 THEN concat('# Head', chr(10), chr(10), '## T', CAST(1000 + doc_id % 9000 AS STRING), ' - First technique', chr(10), text, chr(10), '## T1001.002 - Second', chr(10), 'tail ## T1 - no', chr(10), '## CWE-1 - not here', chr(10))
+    WHEN 1 THEN concat('## CWE-', CAST(doc_id AS STRING), ' - Weak', chr(10), '**Abstraction:** Base', chr(10), '**Status:** Draft ', chr(10), text, chr(10), '## CWE-2 - Other', chr(10), '**Likelihood of Exploit:** High', chr(10))
+    WHEN 2 THEN concat('intro', chr(10), '## CVE-2024-', CAST(doc_id AS STRING), ' - Hole', chr(10), '**CWE:** CWE-79, CWE-80', chr(10), '**CVSS Base Score:** 9.8', chr(10), '**CVSS Severity:** CRITICAL', chr(10), '**Published:** 2024-01-02', chr(10), text)
+    WHEN 3 THEN concat('## WAZUH-rules-', CAST(doc_id AS STRING), ' - Rule levels', chr(10), '**Official Source:** https://docs', chr(10), text, chr(10), '## WAZUH-x - Wazuh agents', chr(10), 'b')
+    WHEN 4 THEN concat('## SURICATA-eve - EVE output', chr(10), text, chr(10), '## SURICATA-y - suricata rules', chr(10), '**Official Source:** https://d2')
+    WHEN 5 THEN concat('# Runbook', chr(10), CASE WHEN doc_id % 16 = 5 THEN '' ELSE '**Runbook ID:** RB-1' END, chr(10), '**Incident Type:** Phishing', chr(10), '**MITRE ATT&CK:** T1566', chr(10), text, chr(10))
+    WHEN 6 THEN concat('# CSF', chr(10), '## NIST CSF 2.0 - Page 1', chr(10), '**Detected CSF Functions:** GOVERN', chr(10), text, chr(10), '## NIST CSF 2.0 - Page 2', chr(10), 'pre', chr(10),
+      '• Organizational Context (GV.OC): ', text, ' GV.OC-03 GV.OC-01 GV.OC-03 ID.AM-01', chr(10), '• Asset Management (ID.AM): assets ID.AM-02', chr(10))
+    ELSE text END AS content
+FROM (SELECT doc_id, doc_id % 8 AS kind, text FROM @t(documents)) d
+"""
+
+VIEWS["page_text_v"] = """
+SELECT doc_id AS page, concat('NIST CSWP 29  The NIST Cybersecurity Framework (CSF) 2.0', chr(13), chr(10), 'February 26,  2024', chr(10), chr(10), chr(10), chr(10), text,
+  CASE doc_id % 3 WHEN 0 THEN ' GV.OC-02 and ID.AM plus GV.OC-02 Govern' WHEN 1 THEN ' detect and respond  RS.MA-01' ELSE '' END) AS text
+FROM @t(documents)
+"""
+
+VIEWS["runbook_v"] = """
+SELECT concat('rb-', CAST(p_partkey AS STRING)) AS id, p_name AS title, concat('T', CAST(1000 + p_size AS STRING), ' - ', p_type) AS mitre,
+  @arr(concat('Look at ', p_brand), 'Second sign') AS detection, @arr('Ask') AS triage, @arr('Dig', p_type) AS investigation, @arr('Hold') AS containment,
+  @arr('Clean') AS eradication, @arr('Restore', 'Watch') AS recovery
+FROM @t(part)
+"""
+
+
 def _spark_sql(text: str) -> str:
     text = text.replace("{", "{{").replace("}", "}}")
     text = re.sub(r"@t\((\w+)\)", r"{\1}", text)

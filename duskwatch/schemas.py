@@ -75,25 +75,31 @@ CVE_RECORD = (
     "descriptions:ARRAY<STRUCT<lang:STRING,value:STRING>>,"
     "problemTypes:ARRAY<STRUCT<descriptions:ARRAY<STRUCT<cweId:STRING>>>>,"
     "metrics:ARRAY<STRUCT<"
-    "cvssV4_0:STRUCT<version:STRING,baseScore:DOUBLE,baseSeverity:STRING,vectorString:STRING>,"
-    "cvssV3_1:STRUCT<version:STRING,baseScore:DOUBLE,baseSeverity:STRING,vectorString:STRING>,"
-    "cvssV3_0:STRUCT<version:STRING,baseScore:DOUBLE,baseSeverity:STRING,vectorString:STRING>,"
-    "cvssV2_0:STRUCT<version:STRING,baseScore:DOUBLE,baseSeverity:STRING,vectorString:STRING>>>,"
+    "cvssV4_0:STRUCT<version:STRING,baseScore:STRING,baseSeverity:STRING,vectorString:STRING>,"
+    "cvssV3_1:STRUCT<version:STRING,baseScore:STRING,baseSeverity:STRING,vectorString:STRING>,"
+    "cvssV3_0:STRUCT<version:STRING,baseScore:STRING,baseSeverity:STRING,vectorString:STRING>,"
+    "cvssV2_0:STRUCT<version:STRING,baseScore:STRING,baseSeverity:STRING,vectorString:STRING>>>,"
     "affected:ARRAY<STRUCT<vendor:STRING,product:STRING>>,"
     "references:ARRAY<STRUCT<url:STRING>>>,"
     "adp:ARRAY<STRUCT<metrics:ARRAY<STRUCT<"
-    "cvssV4_0:STRUCT<version:STRING,baseScore:DOUBLE,baseSeverity:STRING,vectorString:STRING>,"
-    "cvssV3_1:STRUCT<version:STRING,baseScore:DOUBLE,baseSeverity:STRING,vectorString:STRING>,"
-    "cvssV3_0:STRUCT<version:STRING,baseScore:DOUBLE,baseSeverity:STRING,vectorString:STRING>,"
-    "cvssV2_0:STRUCT<version:STRING,baseScore:DOUBLE,baseSeverity:STRING,vectorString:STRING>>>>>>,"
+    "cvssV4_0:STRUCT<version:STRING,baseScore:STRING,baseSeverity:STRING,vectorString:STRING>,"
+    "cvssV3_1:STRUCT<version:STRING,baseScore:STRING,baseSeverity:STRING,vectorString:STRING>,"
+    "cvssV3_0:STRUCT<version:STRING,baseScore:STRING,baseSeverity:STRING,vectorString:STRING>,"
+    "cvssV2_0:STRUCT<version:STRING,baseScore:STRING,baseSeverity:STRING,vectorString:STRING>>>>>>,"
     " _corrupt_record STRING"
 )
 
-TECHNIQUE_OBJECT = (
-    "type STRING, name STRING, description STRING, revoked BOOLEAN, x_mitre_deprecated BOOLEAN,"
-    " external_references ARRAY<STRUCT<source_name:STRING,external_id:STRING,url:STRING>>,"
-    " kill_chain_phases ARRAY<STRUCT<kill_chain_name:STRING,phase_name:STRING>>"
+_TECHNIQUE_FIELDS = (
+    ("type", "STRING"),
+    ("name", "STRING"),
+    ("description", "STRING"),
+    ("revoked", "BOOLEAN"),
+    ("x_mitre_deprecated", "BOOLEAN"),
+    ("external_references", "ARRAY<STRUCT<source_name:STRING,external_id:STRING,url:STRING>>"),
+    ("kill_chain_phases", "ARRAY<STRUCT<kill_chain_name:STRING,phase_name:STRING>>"),
 )
+TECHNIQUE_OBJECT = ", ".join(f"{name} {kind}" for name, kind in _TECHNIQUE_FIELDS)
+TECHNIQUE_BUNDLE = f"objects ARRAY<STRUCT<{', '.join(f'{name}: {kind}' for name, kind in _TECHNIQUE_FIELDS)}>>"
 
 WEAKNESS_ROW = (
     "_ID STRING, _Name STRING, _Abstraction STRING, _Structure STRING, _Status STRING,"
