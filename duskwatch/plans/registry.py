@@ -1,6 +1,14 @@
 """Importing this module registers every query."""
 
-from duskwatch.plans import correlation_queries, incident_queries, knowledge_queries, response_queries, sensor_queries  # noqa: F401
+from duskwatch.plans import (  # noqa: F401
+    correlation_queries,
+    incident_queries,
+    sensor_queries,
+    response_queries,
+    knowledge_queries,
+    model_queries,
+    stream_queries,
+)
 from duskwatch.plans.catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -65,10 +65,10 @@ def host_alert_rejects(spark, sf_dir):
     oracle("eve_line_v", f"""
     SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN 'sig ' || word END, '{rules.NETWORK_DEFAULT_TITLE}') AS title,
       concat_ws('; ', CASE WHEN event_id % 4 <> 0 THEN 'Category: ' || word END,
-        CASE WHEN event_id % 5 <> 0 THEN 'Source: 10.0.0.' || (user_id % 6) || ':' || (1000 + user_id) END,
+        CASE WHEN user_id % 4 <> 0 THEN 'Source: 10.0.0.' || (user_id % 6) || ':' || (1000 + user_id) END,
         'Destination: 10.0.1.' || (user_id % 2), 'Protocol: TCP', CASE WHEN event_id % 3 <> 0 THEN 'Signature ID: ' || (2000000 + user_id) END) AS description,
-      CASE event_id % 5 WHEN 1 THEN 'critical' WHEN 2 THEN 'high' ELSE 'medium' END AS severity,
-      CASE WHEN event_id % 5 <> 0 THEN '10.0.0.' || (user_id % 6) END AS source_ip, '10.0.1.' || (user_id % 2) AS destination_ip,
+      CASE user_id % 5 WHEN 1 THEN 'critical' WHEN 2 THEN 'high' ELSE 'medium' END AS severity,
+      CASE WHEN user_id % 4 <> 0 THEN '10.0.0.' || (user_id % 6) END AS source_ip, '10.0.1.' || (user_id % 2) AS destination_ip,
       1704067200000000 + 1000000 * (event_id % 10) AS event_us
     FROM eve_line_v WHERE kind = 0"""),
 )

@@ -195,10 +195,10 @@ VIEWS["eve_line_v"] = """
 SELECT event_id, kind, gap_s, user_id, value, event_type AS word,
   CASE kind
     WHEN 0 THEN concat('{"event_type":"alert","timestamp":"2024-01-01T00:00:0', CAST(event_id % 10 AS STRING), '+0000"',
-      CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(',"src_ip":"10.0.0.', CAST(user_id % 6 AS STRING), '","src_port":', CAST(1000 + user_id AS STRING)) END,
+      CASE WHEN user_id % 4 = 0 THEN '' ELSE concat(',"src_ip":"10.0.0.', CAST(user_id % 6 AS STRING), '","src_port":', CAST(1000 + user_id AS STRING)) END,
       ',"dest_ip":"10.0.1.', CAST(user_id % 2 AS STRING), '","proto":"TCP","alert":{"category":"', CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END,
       '"', CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(',"signature":"sig ', event_type, '","signature_id":', CAST(2000000 + user_id AS STRING)) END,
-      ',"severity":', CAST(event_id % 5 AS STRING), '}}')
+      ',"severity":', CAST(user_id % 5 AS STRING), '}}')
     WHEN 1 THEN concat('{"event_type":"flow","dest_port":', CAST(user_id AS STRING), ',"flow":{"pkts_toserver":', CAST(user_id AS STRING),
       ',"pkts_toclient":', CAST(user_id % 7 AS STRING), ',"bytes_toserver":', CAST(user_id * 100 AS STRING),
       CASE WHEN gap_s % 3 = 0 THEN ',"start":"2024-01-01T10:00:00.000000+0000"'
@@ -255,7 +255,7 @@ FROM @t(part)
 """
 
 VIEWS["technique_line_v"] = """
-SELECT p_partkey, concat('{"type":"', CASE WHEN p_partkey % 7 = 0 THEN 'malware' ELSE 'attack-pattern' END, '","name":"', p_name, '","description":" ', p_type, '\\r\\nline two ",',
+SELECT p_partkey, concat('{"type":"', CASE WHEN p_partkey % 7 = 0 THEN 'malware' ELSE 'attack-pattern' END, '","name":"', p_name, '","description":" ', p_type, chr(92), 'r', chr(92), 'nline two ",',
   '"revoked":', CASE WHEN p_partkey % 5 = 0 THEN 'true' ELSE 'false' END, CASE WHEN p_partkey % 11 = 0 THEN ',"x_mitre_deprecated":true' ELSE '' END,
   ',"external_references":[{"source_name":"capec","external_id":"CAPEC-1"}', CASE WHEN p_partkey % 13 = 0 THEN '' ELSE
     concat(',{"source_name":"mitre-attack","external_id":"T', CAST(1000 + p_partkey AS STRING), '","url":"https://t/', CAST(p_partkey AS STRING), '"}') END,
@@ -307,6 +307,37 @@ FROM @t(part)
 """
 
 
+# Flows with a traffic class, for the supervised models.
+VIEWS["traffic_v"] = """
+SELECT l_orderkey AS flow_id, CAST(l_suppkey % 1024 AS DOUBLE) AS destination_port, CAST(l_orderkey % 30 AS DOUBLE) AS duration_seconds,
+  l_quantity AS pkts_to_server, CAST(l_partkey % 50 AS DOUBLE) AS pkts_to_client, l_extendedprice AS bytes_to_server, l_extendedprice * l_discount AS bytes_to_client,
+  CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS syn_flag, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS fin_flag,
+  CASE WHEN l_linenumber > 4 THEN 1.0 ELSE 0.0 END AS psh_flag, CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.0 END AS ack_flag,
+  CASE WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 1.0 ELSE 0.0 END AS alerted,
+  CASE WHEN l_returnflag = 'R' AND l_quantity > 30 THEN 'DDoS' WHEN l_quantity < 8 THEN 'PortScan' WHEN l_linestatus = 'F' AND l_discount >= 0.08 THEN 'FTP-Patator'
+    WHEN l_linenumber > 4 AND l_tax > 0.04 THEN 'SSH-Patator' ELSE 'BENIGN' END AS label
+FROM @t(lineitem)
+"""
+
+# The same flows as rows of another dataset: its names, text values, repeated headers.
+VIEWS["flow_2018_v"] = """
+SELECT CAST(l_suppkey % 1024 AS STRING) AS `Dst Port`, CAST(l_orderkey % 30 AS STRING) AS `Flow Duration`, CAST(CAST(l_quantity AS INT) AS STRING) AS `Tot Fwd Pkts`,
+  CAST(l_linenumber AS STRING) AS `Fwd Header Len`,
+  CASE WHEN l_orderkey % 30 = 0 THEN 'Infinity' WHEN l_orderkey % 30 = 1 THEN 'NaN' WHEN l_orderkey % 30 = 2 THEN 'abc' ELSE CAST(CAST(l_partkey AS INT) AS STRING) END AS `Flow Byts/s`,
+  CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(l_linenumber * 2 AS STRING) END AS `Flow Pkts/s`, '6' AS Protocol, '01/01/2018' AS `Timestamp`,
+  CASE WHEN l_orderkey % 100 = 3 THEN 'Label' WHEN l_returnflag = 'R' THEN ' Bot ' WHEN l_returnflag = 'A' THEN 'benign' ELSE 'Benign' END AS Label
+FROM @t(lineitem)
+"""
+
+VIEWS["unsw_v"] = """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS dur, CAST(o_custkey % 50 AS DOUBLE) AS sbytes, CAST(o_custkey % 7 AS DOUBLE) AS rate,
+  CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderstatus END AS proto, CASE o_orderpriority WHEN '1-URGENT' THEN 'http' WHEN '2-HIGH' THEN 'dns' ELSE '-' END AS service,
+  CASE WHEN o_custkey % 3 = 0 THEN 'FIN' ELSE 'INT' END AS state, CASE WHEN o_totalprice > 200000 THEN 'DoS' ELSE 'Normal' END AS attack_cat,
+  CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS label
+FROM @t(orders)
+"""
+
+
 def _spark_sql(text: str) -> str:
     text = text.replace("{", "{{").replace("}", "}}")
     text = re.sub(r"@t\((\w+)\)", r"{\1}", text)
@@ -319,7 +350,7 @@ def _duck_sql(text: str) -> str:
     text = re.sub(r"@t\((\w+)\)", r"\1", text)
     text = re.sub(r"@us\(([^()]+)\)", r"epoch_us(\1)", text)
     text = text.replace("@ts(", "make_timestamp(")
-    return text.replace(" @div ", " // ").replace("@arr(", "list_value(")
+    return text.replace(" @div ", " // ").replace("@arr(", "list_value(").replace("`", '"')
 
 
 def _call(text: str, opening: str, head: str, tail: str) -> str:
@@ -344,6 +375,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_spark_sql(text), **inputs)
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The derived view over a stream of its (single) input table's files."""
+    text = VIEWS[name]
+    (source,) = set(re.findall(r"@t\((\w+)\)", text))
+    files = prepare(spark).readStream.schema(table(spark, sf_dir, source).schema).option("pathGlobFilter", f"{source}.parquet")
+    return spark.sql(_spark_sql(text), **{source: files.parquet(sf_dir)})
+
+
 def oracle(names: str, query: str) -> str:
     """DuckDB text: the named views as common table expressions, then ``query``."""
     parts = [f"{n} AS ({_duck_sql(VIEWS[n]).strip()})" for n in names.split()]
