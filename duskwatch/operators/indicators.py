@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from duskwatch.functions import ioc
 from duskwatch.functions.columns import truthy
 from duskwatch.operators.correlate import primary_incidents
+from duskwatch.session import spread
 
 KINDS = ("ip", "domain", "url", "hash")
 
 
 def text_indicators(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per distinct indicator of each text: ``keep..., ioc_type, value, hash_type``."""
-    return df.select(*keep, F.inline(ioc.indicators(F.col(text))))
+    return spread(df).select(*keep, F.inline(ioc.indicators(F.col(text))))
 
 
 def incident_indicators(incidents: DataFrame, *keep: str) -> DataFrame:

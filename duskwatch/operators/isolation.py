@@ -7,15 +7,16 @@ size depends on the number of trees only. Scoring walks the trees on column batc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duskwatch.session import cut_lineage
+from duskwatch.session import cut_lineage, spread
 
 TREES = 300
 SAMPLE = 256
@@ -52,26 +53,28 @@ def scale(df: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame
 def tree_samples(df: DataFrame, features: Sequence[str], trees: int = TREES, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """``tree`` and features: for each tree ``size`` rows drawn without replacement.
 
-    One pass keeps a pool of a few times the rows needed, whatever the table size; rows of
-    the pool are then offered to the trees by hash and each tree takes the lowest hashes.
+    One pass keeps a pool of a few times the rows needed, whatever the table size. Every
+    pool row is offered to a few trees by hash (a small table to all of them), twice as
+    many offers as needed, and each tree takes the offers with the lowest hashes.
     """
     n = df.count()
     wanted = trees * size
     share = min(1.0, 4.0 * wanted / max(n, 1))
-    pool = df.select(*features, F.xxhash64(F.lit(seed), *features).alias("h"))
+    pool = df.select(*features)
     if share < 1.0:
         pool = pool.sample(withReplacement=False, fraction=share, seed=seed)
-    pool_rows = n * share
-    offered = min(1.0, 2.0 * size / max(pool_rows, 1.0))
-    # Tells copies of a row apart, so that they are drawn independently.
-    pool = pool.withColumn("u", F.rand(seed))
-    draws = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64("h", "u", t), F.lit(1_000_000_000)) < int(offered * 1_000_000_000) + 1,
-    )
-    chosen = pool.select(*features, "h", "u", F.explode(draws).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("u", "h", "tree"))
-    drawn = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= size).select("tree", *features)
+    # The random number tells copies of a row apart, so that they are drawn independently.
+    pool = pool.withColumn("u", F.rand(seed)).withColumn("h", F.xxhash64("u", *features))
+    offers = math.ceil(2.0 * wanted / max(n * share, 1.0))
+    if n <= 4 * size:
+        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+        offered = pool.withColumn("tree", tree)
+    else:
+        nth = F.explode(F.sequence(F.lit(1), F.lit(offers)))
+        offered = pool.withColumn("nth", nth).withColumn("tree", F.pmod(F.xxhash64("h", "nth"), F.lit(trees)).cast("int"))
+        offered = offered.dropDuplicates(["tree", "h", "u"]) if offers > 1 else offered
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "h"), "u")
+    drawn = offered.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).select("tree", *features)
     # Written once: a repeated task must not draw a different sample.
     return cut_lineage(drawn)
 
@@ -112,6 +115,14 @@ def grow_forest(scaled: DataFrame, features: Sequence[str], trees: int = TREES,
     return samples.groupBy("tree").applyInPandas(_grow(features, seed), _NODE)
 
 
+def save_forest(nodes: DataFrame, path: str) -> None:
+    nodes.write.mode("overwrite").parquet(path)
+
+
+def read_forest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_NODE).parquet(path)
+
+
 # --- scoring ---------------------------------------------------------------
 @dataclass
 class Forest:
@@ -167,7 +178,7 @@ def score(scaled: DataFrame, forest: Forest, features: Sequence[str], *keep: str
 
     kept = ", ".join(f"`{c}` {scaled.schema[c].dataType.simpleString()}" for c in keep)
     needed = list(dict.fromkeys([*keep, *features]))
-    return scaled.select(*needed).mapInPandas(run, f"{kept}{', ' if kept else ''}normality double")
+    return spread(scaled.select(*needed)).mapInPandas(run, f"{kept}{', ' if kept else ''}normality double")
 
 
 def offset_of(scored: DataFrame, contamination: float = CONTAMINATION) -> float:

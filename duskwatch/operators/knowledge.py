@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from duskwatch.functions import rules
-from duskwatch.functions.columns import strip, truthy
+from duskwatch.functions.columns import let, strip, truthy
+from duskwatch.session import spread
 
 NEWLINE = "\n"
 
@@ -406,7 +407,7 @@ def documents_from_markdown(files: DataFrame, *keep: str) -> DataFrame:
     ``path, document_type, doc_key, title, display_source, text, metadata``.
     """
     path, content = F.col("path"), F.col("content")
-    typed = files.select(*keep, "path", "content", file_kind(path).alias("document_type"))
+    typed = spread(files).select(*keep, "path", "content", file_kind(path).alias("document_type"))
     kind = F.col("document_type")
 
     pieces = F.when(kind == "nist_csf", _framework_pieces(content))
@@ -518,39 +519,43 @@ def chunk_documents(docs: DataFrame, text: str, *keep: str, size: int = rules.CH
     """
     stride = size - overlap
 
-    def cut_long(sentence: Column) -> Column:
-        words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
-        starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(overlap))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.slice(words, s, overlap))
+    def piece(words: Column) -> Column:
+        return F.struct(F.array_join(words, " ").alias("text"), F.size(words).alias("n"))
 
-    sentences = F.flatten(F.transform(F.split(F.col(text), r"(?<=[.!?])\s+|\n+"), cut_long))
+    def pieces(sentence: Column) -> Column:
+        def cut(words: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(words), F.lit(overlap))
+            long = F.transform(starts, lambda s: piece(F.slice(words, s, overlap)))
+            return F.when(F.size(words) <= overlap, F.array(piece(words))).otherwise(long)
+
+        return let(F.split(sentence, r"\s+"), cut)
+
+    sentences = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?])\s+|\n+"), strip), lambda s: s != "")
+    parts = F.flatten(F.transform(sentences, pieces))
     running = F.aggregate(
-        F.col("s"),
+        F.col("parts"),
         F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, s: F.struct((acc["n"] + F.size(s)).alias("n"), F.array_append(acc["starts"], acc["n"]).alias("starts")),
+        lambda acc, p: F.struct((acc["n"] + p["n"]).alias("n"), F.array_append(acc["starts"], acc["n"]).alias("starts")),
     )
-    rows = docs.select(*keep, sentences.alias("s")).withColumn("w", running)
-    spans = F.arrays_zip(F.col("w.starts").alias("at"), F.col("s").alias("words"))
-    last = F.greatest(F.ceil((F.col("w.n") - overlap) / F.lit(stride)), F.lit(1)) - 1
-    chunk = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), last),
-        lambda k: F.struct(
-            k.alias("chunk"),
-            F.filter(
-                F.col("spans"), lambda p: (p["at"] >= k * stride) & (p["at"] + F.size(p["words"]) <= k * stride + size)
-            ).alias("inside"),
-        ),
+    spans = F.zip_with(
+        F.col("parts"), F.col("running.starts"), lambda p, at: F.struct(p["text"].alias("text"), p["n"].alias("n"), at.alias("at"))
     )
-    return (
-        rows.filter(F.col("w.n") > 0)
-        .withColumn("spans", spans)
-        .withColumn("c", F.explode(chunk))
-        .select(
-            *keep,
-            F.col("c.chunk").alias("chunk"),
-            F.aggregate("c.inside", F.lit(0), lambda a, p: a + F.size(p["words"])).alias("n_words"),
-            F.array_join(F.flatten(F.transform("c.inside", lambda p: p["words"])), " ").alias("text"),
+    last = F.greatest(F.ceil((F.col("running.n") - overlap) / F.lit(stride)), F.lit(1)) - 1
+
+    def chunk(k: Column) -> Column:
+        inside = F.filter(F.col("spans"), lambda p: (p["at"] >= k * stride) & (p["at"] + p["n"] <= k * stride + size))
+        return F.struct(
+            k.alias("chunk"),
+            F.aggregate(inside, F.lit(0), lambda a, p: a + p["n"]).alias("n_words"),
+            F.array_join(F.transform(inside, lambda p: p["text"]), " ").alias("text"),
         )
+
+    return (
+        spread(docs.filter(F.col(text).rlike(r"\S")))
+        .select(*keep, parts.alias("parts"))
+        .withColumn("running", running)
+        .select(*keep, spans.alias("spans"), "running.n", last.alias("last"))
+        .select(*keep, F.inline(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), chunk)))
     )
 
 

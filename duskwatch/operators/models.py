@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
 from duskwatch.operators import datasets, evaluation
-from duskwatch.session import cut_lineage
+from duskwatch.session import cut_lineage, spread
 
 # --- fixed values: model settings ------------------------------------------
 FOREST_TREES = 100
@@ -36,7 +36,7 @@ def random_forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, features
 
 def fit_forest(train: DataFrame, features: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> PipelineModel:
     """Random forest with balanced class weights; ``Label`` is the class number."""
-    weighted = datasets.balanced_weights(train, "Label")
+    weighted = datasets.balanced_weights(spread(train), "Label")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     return Pipeline(stages=[assembler, random_forest(trees, depth)]).fit(weighted)
 
@@ -48,7 +48,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = BOOST_R
         subsamplingRate=BOOST_SHARE, featureSubsetStrategy=str(BOOST_SHARE), seed=SEED,
     )
     each = OneVsRest(classifier=booster, labelCol="Label", featuresCol="features", parallelism=parallelism)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), each]).fit(train)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), each]).fit(spread(train))
 
 
 def _boosted_probabilities() -> Column:
@@ -112,17 +112,17 @@ def cross_validate(rows: DataFrame, features: Sequence[str], folds: int = 5, tre
 
 
 # --- UNSW preprocessing ----------------------------------------------------
-def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Most frequent value per column, the smaller one on a tie."""
-    entries = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])
-    counts = df.select(F.inline(entries)).filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("best"))
-    return {r["c"]: r["best"]["v"] for r in best.collect()}
+def value_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature, value, rows``: the most frequent value per column, the smaller one on a tie."""
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])
+    counts = df.select(F.inline(entries)).filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best"))
+    return best.select("feature", F.col("best.value").alias("value"), (-F.col("best.n")).alias("rows"))
 
 
 def unsw_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = rules.UNSW_CATEGORICAL) -> tuple[PipelineModel, dict[str, str]]:
     """Median imputation of numbers, one-hot categories (unknown ones ignored)."""
-    fill = most_frequent(train, categorical)
+    fill = {r["feature"]: r["value"] for r in value_modes(train, categorical).collect()}
     filled = [f"{c}_filled" for c in numeric]
     stages = [
         Imputer(strategy="median", inputCols=list(numeric), outputCols=filled, relativeError=0.0001),

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from duskwatch.functions import risk, rules
 from duskwatch.functions.columns import norm, strip
+from duskwatch.session import spread
 
 PARSED = T.StructType([T.StructField(f, T.StringType()) for f in ("state", *rules.RESPONSE_FIELDS)])
 
@@ -75,7 +76,7 @@ def normalise_responses(responses: DataFrame) -> DataFrame:
     replacement and fallbacks are column expressions.
     """
     cleaned = F.replace(F.regexp_replace("content", r"(?i)```json\s*", ""), F.lit("```"), F.lit(""))
-    df = responses.withColumn("r", parse_response(strip(cleaned)))
+    df = spread(responses).withColumn("r", parse_response(strip(cleaned)))
     ok, state = F.col("r.state") == "ok", F.col("r.state")
 
     detected = F.concat(

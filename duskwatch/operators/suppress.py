@@ -20,13 +20,14 @@ Two observations make the chain parallel without changing it:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskwatch.functions import rules
 from duskwatch.functions.columns import micros, truthy
@@ -35,6 +36,7 @@ from duskwatch.session import cut_lineage
 
 HOST_FIELDS = ("hostname", "source_ip", "username")
 NETWORK_FIELDS = ("source_ip", "destination_ip")
+FIELDS_BY_SENSOR = {rules.HOST_SENSOR: HOST_FIELDS, rules.NETWORK_SENSOR: NETWORK_FIELDS}
 HOT_KEY_ROWS = 2_000_000
 SPAN_US = 60 * MICROS_PER_MINUTE
 _NEVER = np.iinfo(np.int64).min // 2
@@ -63,7 +65,7 @@ def _projected_keys(fields: Sequence[str], sizes: Sequence[int]) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def _chain_walker(window_us: int):
+def _chain_walker(window_us: int, columns: Sequence[str]):
     """Keeps a row when it is later than the last kept row of its run plus the window."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +88,7 @@ def _chain_walker(window_us: int):
                     kept.append(lo + at)
                     last = int(part[at])
                     at = int(np.searchsorted(part, last + window_us, side="right"))
-            yield pdf.iloc[kept][["id"]]
+            yield pdf.iloc[kept][list(columns)]
 
     return walk
 
@@ -141,12 +143,20 @@ def _span_folder(window_us: int):
     return fold
 
 
-def keep_chain(rows: DataFrame, window_us: int, *, hot_rows: int = HOT_KEY_ROWS, span_us: int = SPAN_US) -> DataFrame:
-    """Ids kept by the plain chain of each ``gkey``; ``rows`` has ``gkey, t, id``."""
+def hot_keys(rows: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
+    """Keys with more rows than one task should walk, None when there are none."""
     hot = rows.groupBy("gkey").count().filter(F.col("count") > hot_rows).select("gkey", F.lit(True).alias("hot"))
-    if hot.isEmpty():
+    hot = cut_lineage(hot)
+    return None if hot.isEmpty() else hot
+
+
+def keep_chain(rows: DataFrame, window_us: int, hot: DataFrame | None = None, *, span_us: int = SPAN_US) -> DataFrame:
+    """Rows kept by the plain chain of each ``gkey``; ``rows`` has ``gkey, t, id`` and more."""
+    payload = [f for f in rows.schema.fields if f.name != "gkey"]
+    if hot is None:
         spread = rows.withColumn("span", F.lit(0).cast("bigint")).withColumn("carry", F.lit(None).cast("bigint"))
     else:
+        rows = cut_lineage(rows)
         span = F.when(F.col("hot"), F.col("t") - F.pmod("t", F.lit(span_us))).otherwise(0).cast("bigint")
         marked = rows.join(hot, "gkey", "left").withColumn("span", span)
         pieces = (
@@ -163,61 +173,58 @@ def keep_chain(rows: DataFrame, window_us: int, *, hot_rows: int = HOT_KEY_ROWS,
         )
         spread = marked.drop("hot").join(carries, ["gkey", "span"], "left")
     return (
-        spread.select("gkey", "span", "t", "id", "carry")
-        .repartition("gkey", "span")
+        spread.repartition("gkey", "span")
         .sortWithinPartitions("gkey", "span", "t", "id")
-        .mapInPandas(_chain_walker(window_us), "id bigint")
+        .mapInPandas(_chain_walker(window_us, [f.name for f in payload]), T.StructType(payload))
     )
 
 
 def suppress_repeats(
     alerts: DataFrame,
-    fields: Sequence[str],
+    fields_by_source: Mapping[str, Sequence[str]] = FIELDS_BY_SENSOR,
     *,
     window_minutes: int = rules.REPEAT_WINDOW_MINUTES,
     kept_before: DataFrame | None = None,
     hot_rows: int = HOT_KEY_ROWS,
     span_us: int = SPAN_US,
 ) -> DataFrame:
-    """Every alert's id with ``duplicate_of`` (null for kept ones).
+    """Id of every alert of the given sources with ``duplicate_of`` (null for kept ones).
 
-    ``created_at`` is the clock and ``id`` breaks ties. ``kept_before`` holds incidents
-    kept by earlier runs, which suppress but are not judged again.
+    ``created_at`` is the clock and ``id`` breaks ties. A field that a source does not
+    compare counts as missing in its alerts. ``kept_before`` holds incidents kept by
+    earlier runs, which suppress but are not judged again.
     """
     window_us = window_minutes * MICROS_PER_MINUTE
+    fields = sorted({f for names in fields_by_source.values() for f in names})
+
+    def compared(field: str) -> Column:
+        sources = [s for s, names in fields_by_source.items() if field in names]
+        return F.when(F.col("source").isin(*sources), truthy(F.col(field))).alias(field)
 
     def shaped(df: DataFrame) -> DataFrame:
-        return df.select("id", "source", "title", micros(F.col("created_at")).alias("t"), *[truthy(F.col(f)).alias(f) for f in fields])
+        mine = df.filter(F.col("source").isin(*fields_by_source))
+        return mine.select("id", "source", "title", micros(F.col("created_at")).alias("t"), *[compared(f) for f in fields])
 
     present = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
     rows = cut_lineage(shaped(alerts).withColumn("gkey", _own_key(fields)).withColumn("level", present))
     levels = sorted((r[0] for r in rows.select("level").distinct().collect()), reverse=True)
-    seeds = shaped(kept_before) if kept_before is not None else None
+    hot = hot_keys(rows, hot_rows)
+    columns = ["id", "source", "title", "t", *fields]
 
     def findable(kept: DataFrame, sizes: Sequence[int]) -> DataFrame:
         return kept.select(
             F.explode(_projected_keys(fields, sizes)).alias("gkey"), "t", "id", F.struct("id").alias("payload")
         )
 
-    kept = seeds
+    kept = shaped(kept_before).select(*columns) if kept_before is not None else None
     for level in levels:
-        probes = rows.filter(F.col("level") == level)
+        open_rows = rows.filter(F.col("level") == level).drop("level")
         if kept is not None:
-            blocked = last_before(probes.select("gkey", "t", "id"), findable(kept, [level]), "gkey", window_us)
-            open_rows = blocked.filter(F.col("found").isNull()).select("gkey", "t", "id")
-        else:
-            open_rows = probes.select("gkey", "t", "id")
-        ids = keep_chain(cut_lineage(open_rows), window_us, hot_rows=hot_rows, span_us=span_us)
-        new = cut_lineage(probes.join(ids, "id", "left_semi").select("id", "source", "title", "t", *fields))
+            judged = last_before(open_rows, findable(kept, [level]), "gkey", window_us)
+            open_rows = judged.filter(F.col("found").isNull()).drop("found", "found_t")
+        new = cut_lineage(keep_chain(open_rows, window_us, hot, span_us=span_us).select(*columns))
         kept = new if kept is None else kept.unionByName(new)
-    if kept is None:
+    if kept is None or not levels:
         return rows.select("id", F.lit(None).cast("bigint").alias("duplicate_of"))
     verdict = last_before(rows.select("gkey", "t", "id"), findable(kept, levels), "gkey", window_us)
     return verdict.select("id", F.col("found.id").alias("duplicate_of"))
-
-
-def suppress_by_sensor(incidents: DataFrame, **options) -> DataFrame:
-    """Both sensors' rules over one table; other sources pass unjudged."""
-    host = suppress_repeats(incidents.filter(F.col("source") == rules.HOST_SENSOR), HOST_FIELDS, **options)
-    network = suppress_repeats(incidents.filter(F.col("source") == rules.NETWORK_SENSOR), NETWORK_FIELDS, **options)
-    return host.unionByName(network)

@@ -179,7 +179,7 @@ _CHAINS = ", ".join(
     ),
 )
 def suppress_repeats(spark, sf_dir):
-    return suppress.suppress_by_sensor(view(spark, sf_dir, "incidents_v"))
+    return suppress.suppress_repeats(view(spark, sf_dir, "incidents_v"))
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
 from duskwatch.operators import datasets, evaluation, isolation, models
+from duskwatch.operators import metrics as operational
 from duskwatch.plans.catalog import query
 from duskwatch.plans.views import oracle, oracle_ctes, table, view
 from duskwatch.schemas import EVE_EVENT
@@ -293,6 +295,38 @@ def score_traffic(spark, sf_dir):
     return models.predict(models.fit_forest(train, FEATURES), _traffic(spark, sf_dir), "flow_id")
 
 
+@query("boosted_trees_metrics")
+def boosted_trees_metrics(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    boosted = models.fit_boosted(train, FEATURES, parallelism=len(rules.TRAFFIC_CLASSES))
+    return models.evaluate_classes(models.predict(boosted, test, "Label"))
+
+
+@query("cross_validation")
+def cross_validation(spark, sf_dir):
+    results = models.cross_validate(_prepared(spark, sf_dir), FEATURES)
+    return evaluation.fold_summary(results, ["accuracy", "precision", "recall", "f1", "roc_auc"])
+
+
+@query(
+    "most_frequent_values",
+    oracle("unsw_v", "\nUNION ALL ".join(
+        f"SELECT * FROM (SELECT '{c}' AS feature, {c} AS value, count(*) AS rows FROM unsw_v WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 3 DESC, 2 LIMIT 1) x" for c in rules.UNSW_CATEGORICAL)),
+)
+def most_frequent_values(spark, sf_dir):
+    return models.value_modes(view(spark, sf_dir, "unsw_v"), rules.UNSW_CATEGORICAL)
+
+
+@query("unsw_features")
+def unsw_features(spark, sf_dir):
+    """Imputed and one-hot encoded rows: number of inputs and of set categories per row."""
+    rows = view(spark, sf_dir, "unsw_v")
+    preprocessor, fill = models.unsw_preprocessor(rows, ["dur", "sbytes", "rate"])
+    values = vector_to_array("features")
+    hot = F.aggregate(F.slice(values, 4, 1000), F.lit(0.0), lambda a, x: a + x)
+    return preprocessor.transform(rows.na.fill(fill)).select("id", F.size(values).alias("inputs"), hot.cast("int").alias("set_categories"))
+
+
 @query("external_evaluation")
 def external_evaluation(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
@@ -366,3 +400,27 @@ def scan_flow_csv(spark, sf_dir):
     view(spark, sf_dir, "flow_2018_v").write.option("header", True).csv(path)
     rows = dataset_files.read_flow_csv(spark, path)
     return datasets.class_counts(datasets.normalise_labels(rows, "cse-cic-ids2018"))
+
+
+@query("scan_unsw_csv", oracle("unsw_v", "SELECT count(*) AS rows, count(proto) AS with_proto FROM unsw_v"))
+def scan_unsw_csv(spark, sf_dir):
+    path = run_folder(spark, "unsw")
+    view(spark, sf_dir, "unsw_v").write.option("header", True).csv(path)
+    return dataset_files.read_unsw_csv(spark, path).agg(F.count(F.lit(1)).alias("rows"), F.count("proto").alias("with_proto"))
+
+
+@query("metrics_sink", oracle("incidents_v", "SELECT count(*) AS total_incidents FROM incidents_v"))
+def metrics_sink(spark, sf_dir):
+    path = run_folder(spark, "metrics")
+    sinks.write_metrics(operational.dashboard(view(spark, sf_dir, "incidents_v")), path)
+    return spark.read.schema("total_incidents BIGINT").json(path)
+
+
+@query("stored_forest_nodes")
+def stored_forest_nodes(spark, sf_dir):
+    """The fitted anomaly model written as a table of nodes and read back."""
+    flows = sensors.with_flow_rates(view(spark, sf_dir, "traffic_v"), "flow_id")
+    scaled = isolation.scale(flows, isolation.scaler_stats(flows, FEATURES), FEATURES)
+    path = run_folder(spark, "forest")
+    isolation.save_forest(isolation.grow_forest(scaled, FEATURES), path)
+    return isolation.read_forest(spark, path).groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"))

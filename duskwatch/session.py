@@ -54,6 +54,18 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="duskwatch-")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for costly work on an input read as too few partitions.
+
+    A large table already has more partitions than there are cores and stays as it is.
+    Meant for plans without shuffles; streams are returned unchanged.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def run_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

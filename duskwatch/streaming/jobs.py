@@ -92,20 +92,13 @@ def _reach_back(batch: DataFrame, stored: DataFrame | None, minutes: int) -> Dat
     return None if oldest is None else stored.filter(F.col("created_at") >= F.lit(oldest))
 
 
-def suppress_stream(incidents: DataFrame, kept: str, repeats: str, sensors: dict[str, tuple[str, ...]] | None = None) -> DataStreamWriter:
+def suppress_stream(incidents: DataFrame, kept: str, repeats: str) -> DataStreamWriter:
     """Kept incidents and repeats of a stream of incidents, which arrive in time order."""
-    rules_by_sensor = sensors or {rules.HOST_SENSOR: suppress.HOST_FIELDS, rules.NETWORK_SENSOR: suppress.NETWORK_FIELDS}
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = cut_lineage(batch)
         earlier = _reach_back(batch, stored_before(batch.sparkSession, kept, epoch), rules.REPEAT_WINDOW_MINUTES)
-        verdicts: DataFrame | None = None
-        for sensor, fields in rules_by_sensor.items():
-            mine = F.col("source") == sensor
-            one = suppress.suppress_repeats(
-                batch.filter(mine), fields, kept_before=None if earlier is None else earlier.filter(mine)
-            )
-            verdicts = one if verdicts is None else verdicts.unionByName(one)
+        verdicts = suppress.suppress_repeats(batch, kept_before=earlier)
         judged = cut_lineage(batch.join(verdicts, "id", "left"))
         judged.filter(F.col("duplicate_of").isNull()).drop("duplicate_of").write.mode("overwrite").parquet(epoch_path(kept, epoch))
         judged.filter(F.col("duplicate_of").isNotNull()).select("id", "duplicate_of").write.mode("overwrite").parquet(epoch_path(repeats, epoch))
