@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import risk, rules
 from duskwatch.functions.columns import micros
-from duskwatch.operators import correlate, suppress
+from duskwatch.operators import correlate, normalise, suppress
 from duskwatch.plans import sqltext
 from duskwatch.plans.catalog import query
-from duskwatch.plans.views import oracle, oracle_ctes, view
+from duskwatch.plans.views import oracle, oracle_ctes, table, view
+from duskwatch.session import cut_lineage
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.correlate(view(spark, sf_dir, "incidents_v"))
+    """Labelled incidents, written once since most queries read them more than once."""
+    return cut_lineage(correlate.correlate(view(spark, sf_dir, "incidents_v")))
 
 
 # Parent of each incident: newest 20 earlier rows of another source, then equal activity.
@@ -61,7 +63,7 @@ def related_incidents(spark, sf_dir):
 
 @query("correlation_ids", _labelled_oracle("SELECT id, correlation_id FROM labelled"))
 def correlation_ids(spark, sf_dir):
-    return _labelled(spark, sf_dir).select("id", "correlation_id")
+    return correlate.correlate(view(spark, sf_dir, "incidents_v")).select("id", "correlation_id")
 
 
 @query(
@@ -103,7 +105,7 @@ def correlation_summary(spark, sf_dir):
       FROM labelled GROUP BY correlation_id"""),
 )
 def correlation_group_rollup(spark, sf_dir):
-    return rollup(_labelled(spark, sf_dir))
+    return rollup(correlate.correlate(view(spark, sf_dir, "incidents_v")))
 
 
 def rollup(labelled: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def correlation_group_addresses(spark, sf_dir):
 
 @query("primary_incident", _labelled_oracle("SELECT correlation_id, primary_id FROM primaries"))
 def primary_incident(spark, sf_dir):
-    return correlate.primary_incidents(_labelled(spark, sf_dir))
+    return correlate.primary_incidents(correlate.correlate(view(spark, sf_dir, "incidents_v")))
 
 
 @query(
@@ -195,14 +197,10 @@ def classify_activity(spark, sf_dir):
     f"""SELECT doc_id, {sqltext.attack("source", "text")} AS attack_type FROM documents""",
 )
 def classify_attack_type(spark, sf_dir):
-    docs = view_documents(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", risk.attack_type(F.col("source"), F.col("text")).alias("attack_type"))
 
 
-def view_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 @query(
     "triage",
     oracle(
@@ -212,6 +210,4 @@ def view_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def triage(spark, sf_dir):
-    from duskwatch.operators.normalise import triage as run
-
-    return run(view(spark, sf_dir, "incidents_v")).select("id", "status", "severity", "priority", "attack_type")
+    return normalise.triage(view(spark, sf_dir, "incidents_v")).select("id", "status", "severity", "priority", "attack_type")

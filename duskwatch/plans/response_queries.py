@@ -10,7 +10,7 @@ from duskwatch.operators import correlate, lifecycle, response, responses, searc
 from duskwatch.operators.enrich import validate_techniques
 from duskwatch.plans import sqltext
 from duskwatch.plans.catalog import query
-from duskwatch.plans.correlation_queries import _LABEL_CTES
+from duskwatch.plans.correlation_queries import _LABEL_CTES, _labelled
 from duskwatch.plans.views import oracle, oracle_ctes, view
 from duskwatch.sources import sinks
 
@@ -270,7 +270,7 @@ def fallback_technique(spark, sf_dir):
 
 # --- reports and stored analyses -------------------------------------------
 def _report_inputs(spark, sf_dir):
-    labelled = correlate.correlate(view(spark, sf_dir, "incidents_v"))
+    labelled = _labelled(spark, sf_dir)
     marked = correlate.mark_correlated(labelled).filter("is_primary").drop("primary_id", "is_primary")
     groups = correlate.correlation_summary(labelled)
     analyses = search.latest_analysis(view(spark, sf_dir, "analysis_v"), "risk_level", "recommendation", "summary", "mitre_technique").drop("analysis_id")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import functions as F
 
-from duskwatch.functions import rules
+from duskwatch.functions import net, risk, rules
 from duskwatch.functions.columns import micros
-from duskwatch.operators import correlate, enrich, indicators, normalise
+from duskwatch.operators import enrich, indicators, normalise
 from duskwatch.plans import sqltext
 from duskwatch.plans.catalog import query
-from duskwatch.plans.correlation_queries import _LABEL_CTES
+from duskwatch.plans.correlation_queries import _LABEL_CTES, _labelled
 from duskwatch.plans.views import oracle, oracle_ctes, table, view
 from duskwatch.schemas import EVE_EVENT, HOST_ALERT
 from duskwatch.sources import sensors
@@ -195,7 +197,7 @@ gathered AS (SELECT p.primary_id, 'ip' AS ioc_type, n.value, n.id AS incident_id
 
 @query("group_indicators", oracle_ctes("incidents_v", _GATHERED, "SELECT primary_id, ioc_type, value, incident_id, source, role FROM gathered"))
 def group_indicators(spark, sf_dir):
-    return indicators.group_indicators(correlate.correlate(view(spark, sf_dir, "incidents_v"))).drop("hash_type")
+    return indicators.group_indicators(_labelled(spark, sf_dir)).drop("hash_type")
 
 
 @query(
@@ -203,7 +205,7 @@ def group_indicators(spark, sf_dir):
     oracle_ctes("incidents_v", _GATHERED, "SELECT DISTINCT ioc_type, value, incident_id, source, role FROM gathered"),
 )
 def indicator_observations(spark, sf_dir):
-    return indicators.observations(indicators.group_indicators(correlate.correlate(view(spark, sf_dir, "incidents_v"))))
+    return indicators.observations(indicators.group_indicators(_labelled(spark, sf_dir)))
 
 
 # --- enrichment ------------------------------------------------------------
@@ -213,13 +215,9 @@ _V4_OK = "regexp_matches({c}, '^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\
 
 def _scope_sql(c: str) -> str:
     def between(nets):
-        import ipaddress
-
         spans = [ipaddress.ip_network(n) for n in nets]
         return " OR ".join(f"n BETWEEN {int(s.network_address)} AND {int(s.broadcast_address)}" for s in spans)
 
-    from duskwatch.functions import net
-
     return f"""CASE WHEN NOT {_V4_OK.format(c=c)} THEN 'invalid' WHEN {between(net.PRIVATE_V4)} THEN 'private'
       WHEN ({between(net.NOT_GLOBAL_V4)}) AND NOT ({between(net.GLOBAL_ANYWAY_V4)}) THEN 'non-public' ELSE 'public' END"""
 
@@ -328,8 +326,6 @@ def enrich_text_indicators(spark, sf_dir):
       {_verdicts("internal")} AS internal_risk FROM feeds"""),
 )
 def provider_verdicts(spark, sf_dir):
-    from duskwatch.functions import risk
-
     feed = next(iter(_feeds(spark, sf_dir).values()))
     return feed.select(
         "value",

