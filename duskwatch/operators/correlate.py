@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def related_incidents(
     candidates: int = rules.CORRELATION_CANDIDATES,
     cell_us: int = CELL_US,
 ) -> DataFrame:
-    """For each incident the one it is related to: ``id, related_id, kind``.
+    """For each incident the one it is related to: ``id, related_id, kind, t``.
 
     Of the newest ``candidates`` earlier incidents of another source under the asked key
     within the window, the newest with the same activity. No pairs are formed: the newest
@@ -107,17 +109,50 @@ def related_incidents(
     rows = rows.withColumn("others", F.when(F.col("entry.second"), others_between).otherwise(F.col("between")))
     # Rows without a source have no own rows to discount; every row in between counts.
     return rows.filter(F.col("near") & (F.col("others") < candidates)).select(
-        "id", F.col("match.id").alias("related_id"), "kind"
+        "id", F.col("match.id").alias("related_id"), "kind", "t"
     )
 
 
-def resolve_roots(parents: DataFrame) -> DataFrame:
-    """``id, parent_id`` forest to ``id, root_id`` by pointer doubling.
+def _shorten(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pointers of one time cell moved to the first target that is no child in the cell."""
+    pdf = pdf.sort_values("id", ignore_index=True)
+    ids, to = pdf["id"].to_numpy(), pdf["to"].to_numpy()
+    at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+    end = np.where(ids[at] == to, at, np.arange(len(ids)))
+    while True:
+        further = end[end]
+        if (further == end).all():
+            break
+        end = further
+    return pd.DataFrame({"id": ids, "to": to[end]})
 
-    Each round doubles the distance a pointer spans, so the number of rounds is the
-    logarithm of the longest chain. Settled rows are not joined again.
+
+def shorten_in_cells(parents: DataFrame, cell_us: int = CELL_US) -> DataFrame:
+    """``id, parent_id, t`` to ``id, to``, where ``to`` lies before the row's time cell or is a root."""
+    cells = parents.select(cell_of(F.col("t"), cell_us).alias("cell"), "id", F.col("parent_id").alias("to"))
+    return cells.groupBy("cell").applyInPandas(_shorten, "id bigint, to bigint")
+
+
+def resolve_roots(parents: DataFrame, cell_us: int = CELL_US) -> DataFrame:
+    """``id, parent_id, t`` forest to ``id, root_id``; parents are never later than children.
+
+    Chains may be as long as the table. They are first shortened inside each time cell, all
+    cells at once, so that only the few rows pointed at from a later cell take part in the
+    search for the root. Those are solved by pointer doubling, in as many rounds as the
+    logarithm of the number of cells a chain crosses, and everything else follows in one join.
+    """
+    short = cut_lineage(shorten_in_cells(parents, cell_us))
+    gates = short.join(short.select(F.col("to").alias("id")).distinct(), "id", "left_semi")
+    solved = double_pointers(gates).select(F.col("id").alias("to"), "root_id")
+    return short.join(solved, "to", "left").select("id", F.coalesce("root_id", "to").alias("root_id"))
+
+
+def double_pointers(forest: DataFrame) -> DataFrame:
+    """``id, to`` to ``id, root_id``: every round doubles the distance a pointer spans.
+
+    Settled rows are not joined again.
     """
-    current = cut_lineage(parents.select("id", F.col("parent_id").alias("to"), F.lit(False).alias("settled")))
+    current = cut_lineage(forest.select("id", "to", F.lit(False).alias("settled")))
     while not current.filter(~F.col("settled")).isEmpty():
         step = current.select(F.col("id").alias("to"), F.col("to").alias("further"))
         moved = (
@@ -144,7 +179,7 @@ def correlate(incidents: DataFrame, **options) -> DataFrame:
     if known:
         unlabelled = incidents.filter(F.col("correlation_id").isNull()).select("id")
         related = related.join(unlabelled, "id", "left_semi")
-    roots = resolve_roots(related.select("id", F.col("related_id").alias("parent_id")))
+    roots = resolve_roots(related.select("id", F.col("related_id").alias("parent_id"), "t"))
     out = incidents.withColumnRenamed("correlation_id", "known_id") if known else incidents
     out = out.join(roots, "id", "left").withColumn("root_id", F.coalesce("root_id", "id"))
     if known:

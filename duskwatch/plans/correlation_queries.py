@@ -58,7 +58,7 @@ def _labelled_oracle(sql: str) -> str:
 
 @query("related_incidents", oracle_ctes("incidents_v", _RELATED_CTES, "SELECT id, related_id, kind FROM related"))
 def related_incidents(spark, sf_dir):
-    return correlate.related_incidents(view(spark, sf_dir, "incidents_v"))
+    return correlate.related_incidents(view(spark, sf_dir, "incidents_v")).drop("t")
 
 
 @query("correlation_ids", _labelled_oracle("SELECT id, correlation_id FROM labelled"))

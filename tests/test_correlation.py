@@ -146,9 +146,17 @@ def test_ids_are_inherited_and_known_ids_kept(spark):
     assert ids[1] == ids[2] == ids[3] == "SOC-known"
 
 
-def test_long_chain_resolves_to_its_first_row(spark):
-    parents = spark.createDataFrame([(i, i - 1) for i in range(1, 200)], "id BIGINT, parent_id BIGINT")
-    assert {r["root_id"] for r in correlate.resolve_roots(parents).collect()} == {0}
+@pytest.mark.parametrize("cell_us", [1_000, 40_000, 10_000_000])
+def test_long_chains_resolve_to_their_first_row(spark, cell_us):
+    rng = random.Random(6)
+    rows, root = [], {i: i for i in range(3)}
+    for i in range(3, 600):
+        parent = rng.randrange(max(0, i - 8), i)
+        root[i] = root[parent]
+        rows.append((i, parent, i * 1000))
+    parents = spark.createDataFrame(rows, "id BIGINT, parent_id BIGINT, t BIGINT")
+    got = {r["id"]: r["root_id"] for r in correlate.resolve_roots(parents, cell_us).collect()}
+    assert got == {i: root[i] for i in range(3, 600)}
 
 
 def test_summary_and_primary(spark):
