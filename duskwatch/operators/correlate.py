@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions import risk, rules
@@ -14,12 +14,13 @@ from duskwatch.session import cut_lineage
 
 
 def _lookup_keys() -> Column:
-    """Keys under which a row can be found, with the kind of each."""
+    """Keys under which a row can be found, each with its kind (also the key's first word)."""
     both = F.col("source_ip").isNotNull() & F.col("destination_ip").isNotNull()
     pair = F.concat_ws("|", F.least("source_ip", "destination_ip"), F.greatest("source_ip", "destination_ip"))
 
     def entry(kind: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("key")))
+        named = F.concat(F.lit(f"{kind}|"), value)
+        return F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), named.alias("key")))
 
     return F.array_compact(
         F.array(
@@ -79,7 +80,7 @@ def related_incidents(
             F.col("source").isNotNull().alias("usable"),
         )
     )
-    group = ["kind", "key", "cell"]
+    group = ["key", "cell"]
     rows = rows.repartition(*group)
     earlier = (Window.unboundedPreceding, -1)
 
@@ -153,14 +154,19 @@ def double_pointers(forest: DataFrame) -> DataFrame:
     Settled rows are not joined again.
     """
     current = cut_lineage(forest.select("id", "to", F.lit(False).alias("settled")))
-    while not current.filter(~F.col("settled")).isEmpty():
+    left = 1
+    while left:
         step = current.select(F.col("id").alias("to"), F.col("to").alias("further"))
         moved = (
             current.filter(~F.col("settled"))
             .join(step, "to", "left")
             .select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNull().alias("settled"))
         )
-        current = cut_lineage(current.filter(F.col("settled")).unionByName(moved))
+        # Counted while it is written, so a round is one job.
+        seen = Observation()
+        after = current.filter(F.col("settled")).unionByName(moved)
+        current = cut_lineage(after.observe(seen, F.count_if(~F.col("settled")).alias("left")))
+        left = seen.get["left"]
     return current.select("id", F.col("to").alias("root_id"))
 
 
