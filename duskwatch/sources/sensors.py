@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.functions.columns import parse_iso_utc, strip
+from duskwatch.functions.columns import parse_iso_utc
 from duskwatch.schemas import EVE_EVENT, HOST_ALERT
 from duskwatch.session import spread
 
@@ -36,7 +36,7 @@ def parse_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
     """JSON text already in a table, parsed as the file scans parse it. Blank lines are dropped."""
     kept = [c for c in lines.columns if c != column]
     return (
-        spread(lines.filter(strip(F.col(column)) != ""))
+        spread(lines.filter(F.col(column).rlike(r"\S")))
         .select(*kept, F.from_json(F.col(column), schema, _JSON).alias("r"))
         .select(*kept, "r.*")
     )
