@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import functools
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "duskwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,29 +34,38 @@ def build_session(app: str = "duskwatch", master: str | None = None, **conf: str
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """All timestamps are naive UTC, so casts must run in UTC."""
+    """All timestamps are naive UTC, so casts must run in UTC; Python workers need the package."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's modules to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="duskwatch-modules-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "duskwatch_modules.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for base, _, names in os.walk(PACKAGE):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    out.write(path, os.path.join("duskwatch", os.path.relpath(path, PACKAGE)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``, which all executors share.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names. Only when the
-    session leaves it unset (local runs, tests) a temporary folder is chosen.
+    A session that leaves it unset gets a folder below its warehouse, which is shared as well.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        folder = _local_folder()
-    return folder
-
-
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="duskwatch-")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
 def spread(df: DataFrame) -> DataFrame:

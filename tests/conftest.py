@@ -10,7 +10,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from duskwatch.session import build_session
 
     session = build_session(
@@ -20,6 +20,7 @@ def spark():
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="8g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("stages")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
