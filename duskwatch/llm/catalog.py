@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import bpe, exact_dedup, mixing, pii, token_counts
-from duskwatch.llm.common import documents, prepare
+from duskwatch.llm import bpe, exact_dedup, mixing, neighbours, pages, pii, quality, simhash, token_counts, toxicity
+from duskwatch.llm.common import documents, prepare, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -30,12 +30,25 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op1_quality_votes")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by the votes of its nearest labelled ones."""
+    return quality.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @_query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+@_query("op3_nearest_vectors")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id divides by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 EXACT_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -67,3 +80,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a weighted mix takes of each document."""
     return mixing.mix(mixing.sized(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
+
+@_query("op8_toxic_windows")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by its highest window."""
+    return toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@_query("op9_simhash_groups")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and the groups that links within two bits make."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@_query("op10_page_texts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through all stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

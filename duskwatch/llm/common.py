@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from duskwatch.session import cut_lineage, prepare, run_folder
 
 __all__ = [
-    "column", "cut_lineage", "doc_slices", "documents", "equal_keys", "is_held_out", "keep_matching", "map_batches",
+    "column", "cut_lineage", "doc_slices", "documents", "equal_keys", "hashed_words", "is_held_out", "keep_rows", "map_batches",
     "prefix_sums", "prepare", "run_folder", "table", "text_of", "utf8_parts", "with_columns_in_python",
 ]
 
@@ -101,18 +101,40 @@ def doc_slices(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+_BYTE_VALUES = np.random.default_rng(20260102).integers(1, 2**63, 256, dtype=np.uint64)
+_PLACES = np.random.default_rng(20260103).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def hashed_words(data: np.ndarray, in_word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word (run of bytes marked ``in_word`` within one text) begins, and a 64-bit hash of its bytes."""
+    first = in_word.copy()
+    first[1:] &= ~in_word[:-1]
+    heads = starts[:-1][starts[:-1] < len(data)]
+    first[heads] = in_word[heads]
+    at = np.flatnonzero(first)
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    rest = data[at[0] :]
+    place = np.arange(len(rest)) - np.repeat(at - at[0], np.diff(np.append(at, len(data))))
+    parts = _BYTE_VALUES[rest] * _PLACES[place & 63]
+    parts[~in_word[at[0] :]] = 0
+    hashes = np.add.reduceat(parts, at - at[0])
+    return at, hashes ^ hashes >> np.uint64(29)
+
+
 def equal_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in zip(left, right, strict=True)])
 
 
-def keep_matching(docs: DataFrame, keys: DataFrame, names: Sequence[str], made: Sequence[Column]) -> DataFrame:
-    """Rows of ``docs`` whose keys (``made`` from its columns) are among ``keys`` (columns ``names``); nulls match nulls."""
-    left = [f"__k{i}" for i in range(len(made))]
-    right = [f"__r{i}" for i in range(len(names))]
-    a = docs.select(*[column(c) for c in docs.columns], *[c.alias(n) for c, n in zip(made, left, strict=True)])
-    b = keys.select(*[column(c).alias(n) for c, n in zip(names, right, strict=True)])
-    joined = a.join(b, equal_keys([column(n) for n in left], [column(n) for n in right]), "left_semi")
-    return joined.select(*[column(c) for c in docs.columns])
+def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named by ``stay`` (doc_id, text_sha256, copies: the number of rows alike in both), all columns; of rows alike, one."""
+    names = [column(c) for c in docs.columns]
+    keys = stay.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("copies").alias("__copies"))
+    marked = docs.select(*names, F.sha2(text_of(text_col), 256).alias("__own"))
+    joined = marked.join(keys, equal_keys([column(id_col), F.col("__own")], [F.col("__id"), F.col("__sha")]))
+    alone = joined.filter("__copies = 1").select(*names)
+    repeated = joined.filter("__copies > 1").groupBy("__id", "__sha").agg(F.first(F.struct(*names)).alias("__row"))
+    return alone.unionByName(repeated.select("__row.*"))
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:

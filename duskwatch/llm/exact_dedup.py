@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import column, cut_lineage, doc_slices, equal_keys, map_batches, text_of, utf8_parts
+from duskwatch.llm.common import column, cut_lineage, doc_slices, keep_rows, map_batches, text_of, utf8_parts
 
 WINDOW = 32  # bytes the rolling hash sees
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 512, 1024, 8192  # MEAN_CHUNK: mean distance of cut points beyond the minimum, a power of two
@@ -159,10 +159,5 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, all columns: of equal texts the one with the largest id (of rows alike in both, one)."""
-    stay = cut_lineage(exact_duplicates(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("copies").alias("__copies")).distinct())
-    marked = df.select(*[column(c) for c in df.columns], F.sha2(text_of(text_col), 256).alias("__own"))
-    joined = marked.join(stay, equal_keys([column(id_col), F.col("__own")], [F.col("__id"), F.col("__sha")]))
-    names = [column(c) for c in df.columns]
-    alone = joined.filter("__copies = 1").select(*names)
-    repeated = joined.filter("__copies > 1").groupBy("__id", "__sha").agg(F.first(F.struct(*names)).alias("__row"))
-    return alone.unionByName(repeated.select("__row.*"))
+    stay = cut_lineage(exact_duplicates(df, id_col, text_col).filter("kept").select("doc_id", "text_sha256", "copies").distinct())
+    return keep_rows(df, stay, id_col, text_col)

@@ -70,9 +70,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
     before = by_room.rowsBetween(Window.unboundedPreceding, -1)
     level = given.withColumn("share", F.sum("source_size").over(everything) * F.lit(float(budget)))
     level = level.withColumn("left", F.col("share") - F.coalesce(F.sum(room).over(before), F.lit(0))).withColumn("waiting", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    # The level if this source and all with more room share what is left; the first that it does not fill sets it.
+    # The level if this source and all with more room share what is left; the first that it does not fill sets it, later ones would give less.
     level = level.withColumn("own", F.when(F.col("left") / F.col("waiting") * F.col("weight") <= room, F.col("left") / F.col("waiting")))
-    level = level.withColumn("level", F.min("own").over(everything))
+    level = level.withColumn("level", F.max("own").over(everything))
     target = F.least(room.cast("double"), F.coalesce(F.col("level") * F.col("weight"), room.cast("double")))
     return level.select("source", "source_size", "weight", target.alias("target"))
 
@@ -147,7 +147,7 @@ w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) %
   CAST(sum(source_size) OVER () AS DOUBLE) * {budget} AS share FROM t),
 l AS (SELECT *, share - coalesce(sum(room) OVER (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
   sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS waiting FROM w),
-v AS (SELECT *, min(CASE WHEN rest / waiting * weight <= room THEN rest / waiting END) OVER () AS level FROM l),
+v AS (SELECT *, max(CASE WHEN rest / waiting * weight <= room THEN rest / waiting END) OVER () AS level FROM l),
 g AS (SELECT source, source_size, least(CAST(room AS DOUBLE), coalesce(level * weight, CAST(room AS DOUBLE))) AS target, share FROM v),
 q AS (SELECT d.doc_id, d.source, d.size, d.place, g.source_size, g.target, g.share,
   sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS served,
