@@ -151,7 +151,8 @@ def _windows(codec: Codec, text: str, size: int, overlap: int):
     """(k, start, window, boundaries in its first overlap, boundaries in its last overlap), boundaries as positions in the text.
 
     A match near a window's end might be another one if the window went on (a contraction cut in two, a run that
-    continues), so the last two matches give no boundary, unless the text ends there.
+    continues), so the last two matches give no boundary, unless the text ends there. Neither does a place after white space,
+    for a piece that ended with it would be matched differently with nothing behind it.
     """
     step = size - overlap
     for k, start in enumerate(range(0, max(1, len(text) - overlap), step)):
@@ -163,6 +164,7 @@ def _windows(codec: Codec, text: str, size: int, overlap: int):
         last = start + size >= len(text)
         if not last:
             del found[-2:]
+        found = [b for b in found if b > start and not text[b - 1].isspace()]
         yield k, start, window, [b for b in found if b < start + overlap] if k else [], [b for b in found if b >= start + step] if not last else []
 
 
