@@ -22,6 +22,7 @@ from duskwatch.llm.common import column, cut_lineage, map_batches, text_of, utf8
 
 FEW_PAGES = 4  # a node on fewer pages of a host is judged by all hosts' tree
 LEAST_IMPORTANCE = 0.5
+STYLE_WEIGHT = 0.1  # of a page's child styles, in blocks of content
 
 # Elements by what HTML says of them, and words in class, id and role that mark what is no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,34 +165,36 @@ def style_tree(rows: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of the nodes of each host's tree from rows (host, html); host null: the tree of all hosts.
 
     A feature of a node is the text of a block, or the styles of its children, on one page. A feature on n of the node's m pages has the
-    entropy log n / log m; a node's own importance is one less the mean entropy of its features, and its importance is the mean of its own and its
-    children's, by their features.
+    entropy log n / log m; a node's own importance is one less the mean entropy of its features, styles weighing little, and its importance is
+    the mean of its own and its children's, by the weight of their features.
     """
 
     def features(batch):
         for part in utf8_parts(batch, "html"):
-            hosts, paths, keys = [], [], []
+            hosts, paths, keys, kinds = [], [], [], []
             for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found, styles = blocks(page)
-                seen = {(path, _key(text)) for path, text, _, _ in found} | {(path, _key("style " + s)) for path, s in styles.items()}
+                seen = {(path, _key(text), 1.0) for path, text, _, _ in found} | {(path, _key("style " + s), STYLE_WEIGHT) for path, s in styles.items() if s}
                 hosts += [host] * (len(seen) + len(styles))
-                paths += [p for p, _ in seen] + list(styles)
-                keys += [k for _, k in seen] + [None] * len(styles)  # no feature: the page has the node
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(keys, pa.int64())], names=["host", "path", "feature"])
+                paths += [p for p, *_ in seen] + list(styles)
+                keys += [k for _, k, _ in seen] + [None] * len(styles)  # no feature: the page has the node
+                kinds += [w for *_, w in seen] + [0.0] * len(styles)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(keys, pa.int64()), pa.array(kinds, pa.float64())], names=["host", "path", "feature", "share"])
 
-    of_host = cut_lineage(map_batches(rows, features, "host string, path string, feature bigint").groupBy("host", "path", "feature").agg(F.count(F.lit(1)).alias("n")))
-    of_all = of_host.groupBy("path", "feature").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("host"), "path", "feature", "n")
+    found = map_batches(rows, features, "host string, path string, feature bigint, share double")
+    of_host = cut_lineage(found.groupBy("host", "path", "feature", "share").agg(F.count(F.lit(1)).alias("n")))
+    of_all = of_host.groupBy("path", "feature", "share").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("host"), "path", "feature", "share", "n")
 
     def judged(counts: DataFrame) -> DataFrame:
         pages = F.coalesce(F.max(F.when(F.col("feature").isNull(), F.col("n"))), F.lit(0))
         real = F.when(F.col("feature").isNotNull(), F.col("n"))
-        nodes = counts.groupBy("host", "path").agg(pages.alias("pages"), F.sum(real).alias("weight"), F.sum(real * F.log(real)).alias("log_sum"))
+        nodes = counts.groupBy("host", "path").agg(pages.alias("pages"), F.sum(real * F.col("share")).alias("weight"), F.sum(real * F.col("share") * F.log(real)).alias("log_sum"))
         entropy = F.when(F.col("pages") > 1, F.col("log_sum") / F.col("weight") / F.log("pages")).otherwise(0.0)
         own = nodes.select("host", "path", "pages", "weight", (1 - F.least(F.coalesce(entropy, F.lit(0.0)), F.lit(1.0))).alias("own"))
         # Each node counts for all nodes above it.
         above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i + 1), "/"))
         spread = own.filter("path <> ''").select("host", F.explode(above).alias("node"), "path", "pages", F.coalesce("weight", F.lit(0)).alias("weight"), "own")
-        return spread.groupBy("host", F.col("node").alias("path")).agg(F.max(F.when(F.col("path") == F.col("node"), F.col("pages"))).alias("pages"), (F.sum(F.col("own") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(1))).alias("importance"))
+        return spread.groupBy("host", F.col("node").alias("path")).agg(F.max(F.when(F.col("path") == F.col("node"), F.col("pages"))).alias("pages"), (F.sum(F.col("own") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(1e-9))).alias("importance"))
 
     return cut_lineage(judged(of_host).unionByName(judged(of_all)))
 

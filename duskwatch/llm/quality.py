@@ -111,7 +111,7 @@ class Space:
         for i in range(0, len(own), BLOCK):
             near = own[i : i + BLOCK] @ self.vectors.T
             best = np.argpartition(near, -k, axis=1)[:, -k:]
-            alike = np.take_along_axis(near, best, axis=1).clip(1e-6) ** SHARPNESS * self.weights[best]
+            alike = np.take_along_axis(near, best, axis=1).clip(1e-3) ** SHARPNESS * self.weights[best]
             out[i : i + BLOCK] = (alike * self.labels[best]).sum(1) / alike.sum(1)
         return out.clip(0.0, 1.0)
 

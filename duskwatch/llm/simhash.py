@@ -24,7 +24,8 @@ from duskwatch.llm.components import components
 
 SHINGLE = 3
 RADIUS = 2
-DEDUP_RADIUS, DEDUP_SHINGLE, DEDUP_SIMILARITY = 8, 5, 0.8  # when copies are dropped
+# When copies are dropped: fingerprints of pairs of words, as an edit changes fewer of those, then shingles of five words compared.
+DEDUP_FINGERPRINT, DEDUP_RADIUS, DEDUP_SHINGLE, DEDUP_SIMILARITY = 2, 8, 5, 0.8
 SAMPLE = 2048  # distinct fingerprints from which bits are grouped and candidates estimated
 KEY_COST = 12.0  # of a key that is shuffled, in verified candidates
 RUN_ROWS = 2_000_000  # rows that one key is meant to bring to a task; more are split
@@ -342,7 +343,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-    shingle: int = SHINGLE, radius: int = DEDUP_RADIUS, compared: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY,
+    shingle: int = DEDUP_FINGERPRINT, radius: int = DEDUP_RADIUS, compared: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY,
 ) -> DataFrame:
     """The rows of ``df`` that stay, all columns: of each group of near copies the row with the smallest id (null ids last).
 
