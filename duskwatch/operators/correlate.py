@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions import risk, rules
 from duskwatch.functions.columns import micros, truthy
-from duskwatch.operators.timecells import CELL_US, MICROS_PER_MINUTE, cell_of, cells_seen_from
+from duskwatch.operators.timecells import MICROS_PER_MINUTE, cell_of, cells_seen_from, width_for
 from duskwatch.session import cut_lineage
 
 
@@ -45,7 +45,7 @@ def related_incidents(
     *,
     window_minutes: int = rules.CORRELATION_WINDOW_MINUTES,
     candidates: int = rules.CORRELATION_CANDIDATES,
-    cell_us: int = CELL_US,
+    cell_us: int | None = None,
 ) -> DataFrame:
     """For each incident the one it is related to: ``id, related_id, kind, t``.
 
@@ -55,6 +55,7 @@ def related_incidents(
     rank among the candidates is a difference of running counts.
     """
     reach = window_minutes * MICROS_PER_MINUTE
+    cell_us = cell_us or width_for(reach)
     rows = (
         incidents.select(
             "id",
@@ -114,60 +115,27 @@ def related_incidents(
     )
 
 
-def _shorten(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pointers of one time cell moved to the first target that is no child in the cell."""
-    pdf = pdf.sort_values("id", ignore_index=True)
-    ids, to = pdf["id"].to_numpy(), pdf["to"].to_numpy()
-    at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
-    end = np.where(ids[at] == to, at, np.arange(len(ids)))
-    while True:
-        further = end[end]
-        if (further == end).all():
-            break
-        end = further
-    return pd.DataFrame({"id": ids, "to": to[end]})
-
-
-def shorten_in_cells(parents: DataFrame, cell_us: int = CELL_US) -> DataFrame:
-    """``id, parent_id, t`` to ``id, to``, where ``to`` lies before the row's time cell or is a root."""
-    cells = parents.select(cell_of(F.col("t"), cell_us).alias("cell"), "id", F.col("parent_id").alias("to"))
-    return cells.groupBy("cell").applyInPandas(_shorten, "id bigint, to bigint")
-
-
-def resolve_roots(parents: DataFrame, cell_us: int = CELL_US) -> DataFrame:
-    """``id, parent_id, t`` forest to ``id, root_id``; parents are never later than children.
+def resolve_roots(parents: DataFrame) -> DataFrame:
+    """``id, parent_id`` forest to ``id, root_id`` by pointer doubling.
 
-    Chains may be as long as the table. They are first shortened inside each time cell, all
-    cells at once, so that only the few rows pointed at from a later cell take part in the
-    search for the root. Those are solved by pointer doubling, in as many rounds as the
-    logarithm of the number of cells a chain crosses, and everything else follows in one join.
+    Every round doubles the distance a pointer spans, so there are as many as the logarithm of the longest chain. A
+    round works on the rows still open and writes those alone; rows that have reached their root were written when they
+    did and are only looked up.
     """
-    short = cut_lineage(shorten_in_cells(parents, cell_us))
-    gates = short.join(short.select(F.col("to").alias("id")).distinct(), "id", "left_semi")
-    solved = double_pointers(gates).select(F.col("id").alias("to"), "root_id")
-    return short.join(solved, "to", "left").select("id", F.coalesce("root_id", "to").alias("root_id"))
-
-
-def double_pointers(forest: DataFrame) -> DataFrame:
-    """``id, to`` to ``id, root_id``: every round doubles the distance a pointer spans.
-
-    Settled rows are not joined again.
-    """
-    current = cut_lineage(forest.select("id", "to", F.lit(False).alias("settled")))
-    left = 1
-    while left:
-        step = current.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        moved = (
-            current.filter(~F.col("settled"))
-            .join(step, "to", "left")
-            .select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNull().alias("settled"))
+    waiting = cut_lineage(parents.select("id", F.col("parent_id").alias("to")))
+    settled: list[DataFrame] = []
+    while True:
+        open_step = waiting.select(F.col("id").alias("to"), F.col("to").alias("further"), F.lit(False).alias("known"))
+        steps = [done.select(F.col("id").alias("to"), F.col("to").alias("further"), F.lit(True).alias("known")) for done in settled]
+        step = reduce(DataFrame.unionByName, steps, open_step)
+        # A target that is nobody's child is a root; so is what a settled target points at.
+        moved = cut_lineage(
+            waiting.join(step, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.coalesce("known", F.lit(True)).alias("settled"))
         )
-        # Counted while it is written, so a round is one job.
-        seen = Observation()
-        after = current.filter(F.col("settled")).unionByName(moved)
-        current = cut_lineage(after.observe(seen, F.count_if(~F.col("settled")).alias("left")))
-        left = seen.get["left"]
-    return current.select("id", F.col("to").alias("root_id"))
+        settled.append(moved.filter("settled").select("id", "to"))
+        waiting = moved.filter(~F.col("settled")).select("id", "to")
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, settled).select("id", F.col("to").alias("root_id"))
 
 
 def correlation_id(root: Column) -> Column:
@@ -185,7 +153,7 @@ def correlate(incidents: DataFrame, **options) -> DataFrame:
     if known:
         unlabelled = incidents.filter(F.col("correlation_id").isNull()).select("id")
         related = related.join(unlabelled, "id", "left_semi")
-    roots = resolve_roots(related.select("id", F.col("related_id").alias("parent_id"), "t"))
+    roots = resolve_roots(related.select("id", F.col("related_id").alias("parent_id")))
     out = incidents.withColumnRenamed("correlation_id", "known_id") if known else incidents
     out = out.join(roots, "id", "left").withColumn("root_id", F.coalesce("root_id", "id"))
     if known:

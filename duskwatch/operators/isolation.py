@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duskwatch.session import cut_lineage, spread
+from duskwatch.session import cut_lineage
 
 TREES = 300
 SAMPLE = 256
@@ -53,35 +53,33 @@ def scale(df: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame
 def tree_samples(df: DataFrame, features: Sequence[str], trees: int = TREES, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """``tree`` and features: for each tree ``size`` rows drawn without replacement.
 
-    One pass keeps a pool of a few times the rows needed, whatever the table size. Every
-    pool row is offered to a few trees by hash (a small table to all of them), twice as
-    many offers as needed, and each tree takes the offers with the lowest hashes.
+    Rows are drawn by hashes of their values (and a number that tells equal rows apart), so a sample depends neither on
+    how rows are dealt to tasks nor on which run draws it. Rows whose hash lies in the lowest share that holds a few times the rows
+    needed make a pool; each is offered to several trees, all different, and a tree takes the offers with the lowest
+    hashes. On a small table share and offers reach everything.
     """
+    counted = df.groupBy(*features).agg(F.count(F.lit(1)).alias("__n"))
     n = df.count()
     wanted = trees * size
     share = min(1.0, 4.0 * wanted / max(n, 1))
-    pool = df.select(*features)
-    if share < 1.0:
-        pool = pool.sample(withReplacement=False, fraction=share, seed=seed)
-    # The random number tells copies of a row apart, so that they are drawn independently.
-    pool = pool.withColumn("u", F.rand(seed)).withColumn("h", F.xxhash64("u", *features))
-    offers = math.ceil(2.0 * wanted / max(n * share, 1.0))
-    if n <= 4 * size:
-        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        offered = pool.withColumn("tree", tree)
-    else:
-        nth = F.explode(F.sequence(F.lit(1), F.lit(offers)))
-        offered = pool.withColumn("nth", nth).withColumn("tree", F.pmod(F.xxhash64("h", "nth"), F.lit(trees)).cast("int"))
-        offered = offered.dropDuplicates(["tree", "h", "u"]) if offers > 1 else offered
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "h"), "u")
-    drawn = offered.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).select("tree", *features)
-    # Written once: a repeated task must not draw a different sample.
-    return cut_lineage(drawn)
+    offers = min(trees, math.ceil(2.0 * wanted / max(n * share, 1.0)))
+    each = counted.select(*features, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))).alias("__copy"))
+    hashed = each.withColumn("__h", F.xxhash64(F.lit(seed), *features, "__copy"))
+    pool = hashed.filter(F.shiftrightunsigned("__h", 1) < F.lit(int(share * 2.0**63) if share < 1 else 2**63 - 1))
+    # Steps that share no divisor with the number of trees never come back to a tree early.
+    steps = [k for k in range(1, trees + 1) if math.gcd(k, trees) == 1]
+    step = F.element_at(F.array(*[F.lit(k) for k in steps]), (F.pmod(F.xxhash64("__h", F.lit("step")), F.lit(len(steps))) + 1).cast("int"))
+    nth = F.explode(F.sequence(F.lit(0), F.lit(offers - 1)))
+    offered = pool.withColumn("__step", step).withColumn("__nth", nth)
+    offered = offered.withColumn("tree", F.pmod(F.xxhash64("__h", F.lit("tree")) % trees + F.col("__nth") * F.col("__step"), F.lit(trees)).cast("int"))
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "__h"), "__h")
+    return cut_lineage(offered.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= size).select("tree", *features))
 
 
 def _grow(features: Sequence[str], seed: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iat[0])
+        pdf = pdf.sort_values(list(features), ignore_index=True)  # so the tree doesn't depend on the order of arrival
         rng = np.random.default_rng([seed, tree])
         data = pdf[list(features)].to_numpy(dtype=float)
         deepest = int(np.ceil(np.log2(max(len(data), 2))))
@@ -93,11 +91,11 @@ def _grow(features: Sequence[str], seed: int):
             if parent >= 0:
                 nodes[parent][side] = at
             part = data[rows]
-            spread = part.max(axis=0) > part.min(axis=0)
-            if depth >= deepest or len(rows) <= 1 or not spread.any():
+            varied = part.max(axis=0) > part.min(axis=0)
+            if depth >= deepest or len(rows) <= 1 or not varied.any():
                 nodes.append([tree, at, -1, 0.0, -1, -1, depth + float(mean_path(len(rows)))])
                 continue
-            feature = int(rng.choice(np.flatnonzero(spread)))
+            feature = int(rng.choice(np.flatnonzero(varied)))
             values = part[:, feature]
             threshold = float(rng.uniform(values.min(), values.max()))
             below = values <= threshold
@@ -123,6 +121,21 @@ def read_forest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_NODE).parquet(path)
 
 
+def save_scorer(nodes: DataFrame, stats: DataFrame, offset: float, path: str) -> None:
+    """All that scoring needs: nodes, scaler and offset, as tables below ``path``."""
+    save_forest(nodes, f"{path}/nodes")
+    stats.write.mode("overwrite").parquet(f"{path}/scaler")
+    nodes.sparkSession.createDataFrame([(float(offset),)], "offset double").write.mode("overwrite").parquet(f"{path}/offset")
+
+
+def score_with_saved(df: DataFrame, path: str, features: Sequence[str], *keep: str, size: int = SAMPLE) -> DataFrame:
+    """``keep...``, normality and verdict of every row by a stored scorer; nothing is fitted."""
+    spark = df.sparkSession
+    scaled = scale(df, spark.read.parquet(f"{path}/scaler"), features)
+    offset = spark.read.schema("offset double").parquet(f"{path}/offset").first()["offset"]
+    return judge(score(scaled, load_forest(read_forest(spark, f"{path}/nodes"), size), features, *keep), offset)
+
+
 # --- scoring ---------------------------------------------------------------
 @dataclass
 class Forest:
@@ -178,7 +191,7 @@ def score(scaled: DataFrame, forest: Forest, features: Sequence[str], *keep: str
 
     kept = ", ".join(f"`{c}` {scaled.schema[c].dataType.simpleString()}" for c in keep)
     needed = list(dict.fromkeys([*keep, *features]))
-    return spread(scaled.select(*needed)).mapInPandas(run, f"{kept}{', ' if kept else ''}normality double")
+    return scaled.select(*needed).mapInPandas(run, f"{kept}{', ' if kept else ''}normality double")
 
 
 def offset_of(scored: DataFrame, contamination: float = CONTAMINATION) -> float:

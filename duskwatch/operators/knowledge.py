@@ -15,7 +15,6 @@ from pyspark.sql.functions import pandas_udf
 
 from duskwatch.functions import rules
 from duskwatch.functions.columns import let, strip, truthy
-from duskwatch.session import spread
 
 NEWLINE = "\n"
 
@@ -407,7 +406,7 @@ def documents_from_markdown(files: DataFrame, *keep: str) -> DataFrame:
     ``path, document_type, doc_key, title, display_source, text, metadata``.
     """
     path, content = F.col("path"), F.col("content")
-    typed = spread(files).select(*keep, "path", "content", file_kind(path).alias("document_type"))
+    typed = files.select(*keep, "path", "content", file_kind(path).alias("document_type"))
     kind = F.col("document_type")
 
     pieces = F.when(kind == "nist_csf", _framework_pieces(content))
@@ -551,7 +550,7 @@ def chunk_documents(docs: DataFrame, text: str, *keep: str, size: int = rules.CH
         )
 
     return (
-        spread(docs.filter(F.col(text).rlike(r"\S")))
+        docs.filter(F.col(text).rlike(r"\S"))
         .select(*keep, parts.alias("parts"))
         .withColumn("running", running)
         .select(*keep, spans.alias("spans"), "running.n", last.alias("last"))

@@ -8,20 +8,31 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
 from duskwatch.operators import datasets, evaluation
-from duskwatch.session import cut_lineage, spread
+from duskwatch.session import cut_lineage, run_folder
 
 # --- fixed values: model settings ------------------------------------------
 FOREST_TREES = 100
 UNSW_TREES = 200
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_STEP, BOOST_SHARE = 200, 6, 0.1, 0.8
 SEED = 42
-# The published forests grow without a depth limit; MLlib needs one.
-FOREST_DEPTH = 12
+# The published forests grow without a depth limit; this is the greatest that MLlib allows.
+FOREST_DEPTH = 30
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def stored(model: PipelineModel) -> PipelineModel:
+    """The model as it is read back from the shared folder: scoring then needs nothing of the session that fitted it."""
+    path = run_folder(SparkSession.active(), "model")
+    save_model(model, path)
+    return PipelineModel.load(path)
 
 
 def probability_name(class_name: str) -> str:
@@ -36,9 +47,9 @@ def random_forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, features
 
 def fit_forest(train: DataFrame, features: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> PipelineModel:
     """Random forest with balanced class weights; ``Label`` is the class number."""
-    weighted = datasets.balanced_weights(spread(train), "Label")
+    weighted = datasets.balanced_weights(train, "Label")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assembler, random_forest(trees, depth)]).fit(weighted)
+    return stored(Pipeline(stages=[assembler, random_forest(trees, depth)]).fit(weighted))
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = BOOST_ROUNDS, parallelism: int = 1) -> PipelineModel:
@@ -48,7 +59,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = BOOST_R
         subsamplingRate=BOOST_SHARE, featureSubsetStrategy=str(BOOST_SHARE), seed=SEED,
     )
     each = OneVsRest(classifier=booster, labelCol="Label", featuresCol="features", parallelism=parallelism)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), each]).fit(spread(train))
+    return stored(Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), each]).fit(train))
 
 
 def _boosted_probabilities() -> Column:
@@ -131,12 +142,12 @@ def unsw_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Seq
         OneHotEncoder(inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical], dropLast=True),
         VectorAssembler(inputCols=[*filled, *[f"{c}_hot" for c in categorical]], outputCol="features"),
     ]
-    return Pipeline(stages=stages).fit(train.na.fill(fill)), fill
+    return stored(Pipeline(stages=stages).fit(train.na.fill(fill))), fill
 
 
-def fit_binary_forest(train: DataFrame, label: str, trees: int = UNSW_TREES, depth: int = FOREST_DEPTH):
+def fit_binary_forest(train: DataFrame, label: str, trees: int = UNSW_TREES, depth: int = FOREST_DEPTH) -> PipelineModel:
     """Forest on ready-made ``features``, weighted by class."""
-    return random_forest(trees, depth, label=label).fit(datasets.balanced_weights(train, label))
+    return stored(Pipeline(stages=[random_forest(trees, depth, label=label)]).fit(datasets.balanced_weights(train, label)))
 
 
 def evaluate_binary(scored: DataFrame, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions import risk, rules
 from duskwatch.functions.columns import first_truthy, norm, parse_iso_utc, truthy
 from duskwatch.schemas import HOST_BODY_FIELDS
+from duskwatch.sources.sensors import unreadable
 
 REJECT = "reject_reason"
 
@@ -25,6 +26,11 @@ def _last_ipv4(text: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rules.IPV4), F.lit(0)), F.lit(-1))
 
 
+def listed(value: Column) -> Column:
+    """A list's JSON text as a list; any other text as a list of it; nothing as an empty list."""
+    return F.coalesce(F.from_json(F.when(value.startswith("["), value), "array<string>"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<string>"))
+
+
 def normalise_host_alerts(raw: DataFrame, lab_pair: tuple[str, str] | None = None) -> DataFrame:
     """Host-sensor alerts (``schemas.HOST_ALERT``) to incident columns plus ``reject_reason``.
 
@@ -40,7 +46,7 @@ def normalise_host_alerts(raw: DataFrame, lab_pair: tuple[str, str] | None = Non
     for f in body_fields:
         recognised = recognised | F.col(f"b.{f}").isNotNull()
     reject = (
-        F.when(F.col("_corrupt_record").isNotNull(), "not a JSON object")
+        F.when(unreadable(), "not a JSON object")
         .when(~recognised, "no recognised alert field")
     )
 
@@ -55,7 +61,6 @@ def normalise_host_alerts(raw: DataFrame, lab_pair: tuple[str, str] | None = Non
         is_local = is_scan & (agent["id"] == rules.LOCAL_AGENT_ID) & (destination_ip == lab_pair[0])
         source_ip = F.coalesce(source_ip, F.when(is_local, F.lit(lab_pair[1])))
     title = F.coalesce(truthy(rule["description"]), F.lit(rules.HOST_DEFAULT_TITLE))
-    empty = F.array().cast("array<string>")
     return df.select(
         *passed,
         title.alias("title"),
@@ -70,9 +75,9 @@ def normalise_host_alerts(raw: DataFrame, lab_pair: tuple[str, str] | None = Non
         parse_iso_utc(F.col("b.timestamp")).alias("event_timestamp"),
         rule["id"].alias("rule_id"),
         F.coalesce(rule["level"].try_cast("int"), F.lit(0)).alias("rule_level"),
-        F.coalesce(rule["mitre"]["id"], empty).alias("mitre_ids"),
-        F.coalesce(rule["mitre"]["technique"], empty).alias("mitre_techniques"),
-        F.coalesce(rule["mitre"]["tactic"], empty).alias("mitre_tactics"),
+        listed(rule["mitre"]["id"]).alias("mitre_ids"),
+        listed(rule["mitre"]["technique"]).alias("mitre_techniques"),
+        listed(rule["mitre"]["tactic"]).alias("mitre_tactics"),
         reject.alias(REJECT),
     )
 
@@ -96,14 +101,14 @@ def normalise_network_alerts(raw: DataFrame) -> DataFrame:
         F.concat(F.lit("Signature ID: "), alert["signature_id"].cast("string")),
     )
     reject = (
-        F.when(F.col("_corrupt_record").isNotNull(), "not a JSON object")
+        F.when(unreadable(), "not a JSON object")
         .when(~F.col("event_type").eqNullSafe("alert"), "event type is not alert")
     )
     return raw.select(
         *passed,
         F.coalesce(truthy(alert["signature"]), F.lit(rules.NETWORK_DEFAULT_TITLE)).alias("title"),
         F.coalesce(truthy(described), F.lit(rules.NETWORK_DEFAULT_DESCRIPTION)).alias("description"),
-        risk.severity_from_number(alert["severity"]).alias("severity"),
+        risk.severity_from_number(alert["severity"].try_cast("int")).alias("severity"),
         F.lit("open").alias("status"),
         F.lit(rules.NETWORK_SENSOR).alias("source"),
         _none().alias("hostname"),
@@ -111,7 +116,7 @@ def normalise_network_alerts(raw: DataFrame) -> DataFrame:
         F.col("dest_ip").alias("destination_ip"),
         _none().alias("username"),
         parse_iso_utc(F.col("timestamp")).alias("event_timestamp"),
-        alert["signature_id"].alias("signature_id"),
+        alert["signature_id"].try_cast("bigint").alias("signature_id"),
         reject.alias(REJECT),
     )
 

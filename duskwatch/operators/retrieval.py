@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from duskwatch.functions import rules
 from duskwatch.operators.knowledge import requested_ids
 
-# Most query vectors held by one task at a time; larger batches run in several passes.
-QUERY_BLOCK = 256
+# Rows of a block; every block of queries meets every block of chunks in a task of its own.
+QUERY_BLOCK = 4_096
+CHUNK_BLOCK = 16_384
+AT_ONCE = 256  # queries of a block that are compared at once
 
 
 def _unit(rows: Sequence) -> np.ndarray:
@@ -24,53 +26,53 @@ def _unit(rows: Sequence) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _scan(chunks: DataFrame, block: list, k: int, keep: Sequence[str]) -> DataFrame:
-    """Best ``k`` chunks per query of each partition."""
-    ids, matrix = [r["query_id"] for r in block], _unit([r["vector"] for r in block])
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
-    fields = [T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType())]
-    fields += [chunks.schema[c] for c in ("chunk_id", *keep)]
-    columns = [f.name for f in fields]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, queries = shared.value
-        pool, pool_scores = None, np.empty((len(query_ids), 0))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            scores = np.hstack([pool_scores, queries @ _unit(pdf["embedding"]).T])
-            rows = pd.concat([pool, pdf.drop(columns="embedding")], ignore_index=True)
-            by_id = np.argsort(rows["chunk_id"].to_numpy(), kind="stable")
-            rows, scores = rows.iloc[by_id], scores[:, by_id]
+def _best_of_block(k: int, columns: Sequence[str]):
+    """The ``k`` most similar chunks of one block for each query of another."""
+
+    def best(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or chunks.empty:
+            return pd.DataFrame(columns=list(columns))
+        chunks = chunks.sort_values("chunk_id", ignore_index=True)  # equal scores go to the lower id
+        asked, known = _unit(queries["vector"]), _unit(chunks["embedding"]).T
+        found = []
+        for at in range(0, len(asked), AT_ONCE):
+            scores = asked[at : at + AT_ONCE] @ known
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            used = np.unique(top)
-            pool, pool_scores = rows.iloc[used], scores[:, used]
-        if pool is None:
-            return
-        for q, query_id in enumerate(query_ids):
-            top = np.argsort(-pool_scores[q], kind="stable")[:k]
-            yield pool.iloc[top].assign(query_id=query_id, score=pool_scores[q, top])[columns]
+            rows = chunks.iloc[top.ravel()].drop(columns="embedding")
+            ids = np.repeat(queries["query_id"].to_numpy()[at : at + AT_ONCE], top.shape[1])
+            found.append(rows.assign(query_id=ids, score=np.take_along_axis(scores, top, axis=1).ravel())[list(columns)])
+        return pd.concat(found, ignore_index=True)
+
+    return best
+
 
-    return chunks.select("chunk_id", "embedding", *keep).mapInPandas(best, T.StructType(fields))
+def _blocks(df: DataFrame, key: str, size: int) -> int:
+    """In how many blocks of about ``size`` rows the rows are cut."""
+    return max(1, math.ceil(df.agg(F.count(F.lit(1))).first()[0] / size))
 
 
-def nearest_chunks(queries: DataFrame, chunks: DataFrame, k: int, keep: Sequence[str] = (), block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact ``k`` most similar chunks (cosine) per query: ``query_id, chunk_id, score, keep...``.
+def nearest_chunks(
+    queries: DataFrame, chunks: DataFrame, k: int, keep: Sequence[str] = (), query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK
+) -> DataFrame:
+    """Exact ``k`` most similar chunks (cosine) per query: ``query_id, chunk_id, score, keep..., rank``.
 
-    ``queries`` has ``query_id, vector`` and ``chunks`` has ``chunk_id, embedding``. The
-    chunk table is scanned where it lies; only the query block travels, never more than
-    ``block`` vectors at once, and each partition hands on at most ``k`` rows per query.
+    ``queries`` has ``query_id, vector`` and ``chunks`` has ``chunk_id, embedding``. Both sides are cut into blocks by
+    hash and every pair of blocks is one group, so one plan serves any number of either and none of them travels through
+    the driver. A block hands on ``k`` rows per query. No queries give no rows.
     """
-    passes = max(1, math.ceil(queries.count() / block))
-    found: DataFrame | None = None
-    for n in range(passes):
-        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)
-        rows = part.select("query_id", "vector").collect()
-        for start in range(0, len(rows), block):
-            scanned = _scan(chunks, rows[start : start + block], k, keep)
-            found = scanned if found is None else found.unionByName(scanned)
-    if found is None:
-        raise ValueError("no queries given")
+    many_queries, many_chunks = _blocks(queries, "query_id", query_block), _blocks(chunks, "chunk_id", chunk_block)
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    asked = queries.select("query_id", "vector", block("query_id", many_queries).alias("qb"), every(many_chunks).alias("cb"))
+    known = chunks.select("chunk_id", "embedding", *keep, block("chunk_id", many_chunks).alias("cb"), every(many_queries).alias("qb"))
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType())]
+    fields += [chunks.schema[c] for c in ("chunk_id", *keep)]
+    best = _best_of_block(k, [f.name for f in fields])
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return best(q.drop(columns=["qb", "cb"]), c.drop(columns=["qb", "cb"]))
+
+    found = asked.groupBy("qb", "cb").cogroup(known.groupBy("qb", "cb")).applyInPandas(run, T.StructType(fields))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

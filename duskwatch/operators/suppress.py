@@ -37,7 +37,6 @@ from duskwatch.session import cut_lineage
 HOST_FIELDS = ("hostname", "source_ip", "username")
 NETWORK_FIELDS = ("source_ip", "destination_ip")
 FIELDS_BY_SENSOR = {rules.HOST_SENSOR: HOST_FIELDS, rules.NETWORK_SENSOR: NETWORK_FIELDS}
-HOT_KEY_ROWS = 2_000_000
 SPAN_US = 60 * MICROS_PER_MINUTE
 _NEVER = np.iinfo(np.int64).min // 2
 
@@ -94,10 +93,9 @@ def _chain_walker(window_us: int, columns: Sequence[str]):
 
 
 def _span_function(window_us: int):
-    """Per (key, span): the last kept time for every first kept time that can occur."""
+    """Per (key, span): the last kept time for every first kept time that can occur. Rows come sorted by key, span and time."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["t"].to_numpy())
+    def function_of(key: str, span: int, t: np.ndarray) -> pd.DataFrame:
         follow = np.searchsorted(t, t + window_us, side="right")
         end = np.where(follow < len(t), follow, np.arange(len(t)))
         while True:
@@ -105,17 +103,30 @@ def _span_function(window_us: int):
             if (further == end).all():
                 break
             end = further
-        entries = min(int(np.searchsorted(t, int(pdf["span"].iat[0]) + window_us)) + 1, len(t))
+        entries = min(int(np.searchsorted(t, span + window_us)) + 1, len(t))
         leave = t[end[:entries]]
         last_of_run = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame(
-            {
-                "gkey": pdf["gkey"].iat[0],
-                "span": pdf["span"].iat[0],
-                "enter": t[:entries][last_of_run],
-                "leave": leave[last_of_run],
-            }
-        )
+        return pd.DataFrame({"gkey": key, "span": span, "enter": t[:entries][last_of_run], "leave": leave[last_of_run]})
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun, times = None, []  # the span that the next batch may continue
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys, spans, t = pdf["gkey"].to_numpy(), pdf["span"].to_numpy(), pdf["t"].to_numpy()
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (spans[1:] != spans[:-1])))
+            out = []
+            for lo, hi in zip(starts, [*starts[1:], len(t)]):
+                own = (keys[lo], int(spans[lo]))
+                if own != begun:
+                    if begun is not None:
+                        out.append(function_of(*begun, np.concatenate(times)))
+                    begun, times = own, []
+                times.append(t[lo:hi])
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if begun is not None:
+            yield function_of(*begun, np.concatenate(times))
 
     return build
 
@@ -143,37 +154,27 @@ def _span_folder(window_us: int):
     return fold
 
 
-def hot_keys(rows: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
-    """Keys with more rows than one task should walk, None when there are none."""
-    hot = rows.groupBy("gkey").count().filter(F.col("count") > hot_rows).select("gkey", F.lit(True).alias("hot"))
-    hot = cut_lineage(hot)
-    return None if hot.isEmpty() else hot
+def keep_chain(rows: DataFrame, window_us: int, *, span_us: int = SPAN_US) -> DataFrame:
+    """Rows kept by the plain chain of each ``gkey``; ``rows`` has ``gkey, t, id`` and more.
 
-
-def keep_chain(rows: DataFrame, window_us: int, hot: DataFrame | None = None, *, span_us: int = SPAN_US) -> DataFrame:
-    """Rows kept by the plain chain of each ``gkey``; ``rows`` has ``gkey, t, id`` and more."""
+    Every key is cut into time spans, which are worked out apart, followed through in order and then walked apart.
+    """
     payload = [f for f in rows.schema.fields if f.name != "gkey"]
-    if hot is None:
-        spread = rows.withColumn("span", F.lit(0).cast("bigint")).withColumn("carry", F.lit(None).cast("bigint"))
-    else:
-        rows = cut_lineage(rows)
-        span = F.when(F.col("hot"), F.col("t") - F.pmod("t", F.lit(span_us))).otherwise(0).cast("bigint")
-        marked = rows.join(hot, "gkey", "left").withColumn("span", span)
-        pieces = (
-            marked.filter("hot")
-            .select("gkey", "span", "t")
-            .distinct()
-            .groupBy("gkey", "span")
-            .applyInPandas(_span_function(window_us), "gkey string, span bigint, enter bigint, leave bigint")
-        )
-        carries = (
-            pieces.repartition("gkey")
-            .sortWithinPartitions("gkey", "span", "enter")
-            .mapInPandas(_span_folder(window_us), "gkey string, span bigint, carry bigint")
-        )
-        spread = marked.drop("hot").join(carries, ["gkey", "span"], "left")
+    marked = cut_lineage(rows.withColumn("span", (F.col("t") - F.pmod("t", F.lit(span_us))).cast("bigint")))
+    pieces = (
+        marked.select("gkey", "span", "t")
+        .repartition("gkey", "span")
+        .sortWithinPartitions("gkey", "span", "t")
+        .mapInPandas(_span_function(window_us), "gkey string, span bigint, enter bigint, leave bigint")
+    )
+    carries = (
+        pieces.repartition("gkey")
+        .sortWithinPartitions("gkey", "span", "enter")
+        .mapInPandas(_span_folder(window_us), "gkey string, span bigint, carry bigint")
+    )
     return (
-        spread.repartition("gkey", "span")
+        marked.join(carries, ["gkey", "span"], "left")
+        .repartition("gkey", "span")
         .sortWithinPartitions("gkey", "span", "t", "id")
         .mapInPandas(_chain_walker(window_us, [f.name for f in payload]), T.StructType(payload))
     )
@@ -185,7 +186,6 @@ def suppress_repeats(
     *,
     window_minutes: int = rules.REPEAT_WINDOW_MINUTES,
     kept_before: DataFrame | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
     span_us: int = SPAN_US,
 ) -> DataFrame:
     """Id of every alert of the given sources with ``duplicate_of`` (null for kept ones).
@@ -208,7 +208,6 @@ def suppress_repeats(
     present = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
     rows = cut_lineage(shaped(alerts).withColumn("gkey", _own_key(fields)).withColumn("level", present))
     levels = sorted((r[0] for r in rows.select("level").distinct().collect()), reverse=True)
-    hot = hot_keys(rows, hot_rows)
     columns = ["id", "source", "title", "t", *fields]
 
     def findable(kept: DataFrame, sizes: Sequence[int]) -> DataFrame:
@@ -222,7 +221,7 @@ def suppress_repeats(
         if kept is not None:
             judged = last_before(open_rows, findable(kept, [level]), "gkey", window_us)
             open_rows = judged.filter(F.col("found").isNull()).drop("found", "found_t")
-        new = cut_lineage(keep_chain(open_rows, window_us, hot, span_us=span_us).select(*columns))
+        new = cut_lineage(keep_chain(open_rows, window_us, span_us=span_us).select(*columns))
         kept = new if kept is None else kept.unionByName(new)
     if kept is None or not levels:
         return rows.select("id", F.lit(None).cast("bigint").alias("duplicate_of"))

@@ -12,15 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS_PER_MINUTE = 60_000_000
-CELL_US = 30 * MICROS_PER_MINUTE
 
 
-def cell_of(us: Column, cell_us: int = CELL_US) -> Column:
+def width_for(reach_us: int) -> int:
+    """Cells twice as long as the rule looks back: half of the rows are shown to one more cell, and a hot key's cell holds no more than that span."""
+    return max(2 * reach_us, 1)
+
+
+def cell_of(us: Column, cell_us: int) -> Column:
     """Start of the cell a moment falls in."""
     return us - F.pmod(us, F.lit(cell_us))
 
 
-def cells_seen_from(us: Column, reach_us: int, cell_us: int = CELL_US) -> Column:
+def cells_seen_from(us: Column, reach_us: int, cell_us: int) -> Column:
     """Cells whose rows may look back at a row at ``us``: its own and maybe the next."""
     own = cell_of(us, cell_us)
     return F.when(us + reach_us >= own + cell_us, F.array(own, own + cell_us)).otherwise(F.array(own))
@@ -33,7 +37,7 @@ def last_before(
     reach_us: int,
     *,
     inclusive: bool = False,
-    cell_us: int = CELL_US,
+    cell_us: int | None = None,
 ) -> DataFrame:
     """As-of lookup: for each probe the last event of its key at most ``reach_us`` back.
 
@@ -41,6 +45,7 @@ def last_before(
     and a struct ``payload``. Order is ``(t, id)``. With ``inclusive`` an event at the
     probe's own moment counts. Adds ``found`` (the payload or null) and ``found_t``.
     """
+    cell_us = cell_us or width_for(reach_us)
     if reach_us > cell_us:
         raise ValueError("the look-back span must fit in one cell")
     side = F.lit(1) if inclusive else F.lit(0)

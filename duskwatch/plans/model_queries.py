@@ -323,7 +323,7 @@ def unsw_features(spark, sf_dir):
     rows = view(spark, sf_dir, "unsw_v")
     preprocessor, fill = models.unsw_preprocessor(rows, ["dur", "sbytes", "rate"])
     values = vector_to_array("features")
-    hot = F.aggregate(F.slice(values, 4, 1000), F.lit(0.0), lambda a, x: a + x)
+    hot = F.aggregate(F.slice(values, F.lit(4), F.greatest(F.size(values) - 3, F.lit(0))), F.lit(0.0), lambda a, x: a + x)
     return preprocessor.transform(rows.na.fill(fill)).select("id", F.size(values).alias("inputs"), hot.cast("int").alias("set_categories"))
 
 

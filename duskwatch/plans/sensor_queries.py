@@ -17,7 +17,7 @@ from duskwatch.schemas import EVE_EVENT, HOST_ALERT
 from duskwatch.sources import sensors
 
 # --- host sensor -----------------------------------------------------------
-_HOST = """good AS (SELECT event_id, CASE WHEN kind = 2 THEN NULL ELSE coalesce(json_extract(raw, '$._source'), CAST(raw AS JSON)) END AS b, kind FROM
+_HOST = """good AS (SELECT event_id, CASE WHEN kind = 2 THEN NULL WHEN json_type(raw, '$._source') = 'OBJECT' THEN json_extract(raw, '$._source') ELSE CAST(raw AS JSON) END AS b, kind FROM
   (SELECT event_id, kind, CASE WHEN kind = 2 THEN '{}' ELSE raw END AS raw FROM host_line_v) x),
 f AS (SELECT event_id, kind, b->>'$.rule.id' AS rule_id, b->>'$.rule.level' AS level, nullif(b->>'$.rule.description', '') AS rule_text,
   nullif(b->>'$.agent.name', '') AS agent_name, b->>'$.agent.ip' AS agent_ip, nullif(b->>'$.data.hostname', '') AS data_host,
@@ -39,14 +39,14 @@ _LAST_IP = "list_last(regexp_extract_all(coalesce({0}, ''), '\\b(?:\\d{{1,3}}\\.
       coalesce(d1, CASE WHEN rule_id = '100100' THEN coalesce({_LAST_IP.format("command")}, {_LAST_IP.format("full_log")}) END) AS destination_ip,
       dstuser AS username,
       CASE stamp WHEN '2024-02-04T14:25:34.416117Z' THEN 1707056734416117 WHEN '2022-02-07T02:00:00+02:00' THEN 1644192000000000 END AS event_us,
-      coalesce(TRY_CAST(level AS INT), 0) AS rule_level FROM f"""),
+      coalesce(TRY_CAST(level AS INT), 0) AS rule_level, CASE event_id % 5 WHEN 2 THEN 'T1110' WHEN 3 THEN 'T1,T2' ELSE '' END AS mitre FROM f"""),
 )
 def normalise_host_alerts(spark, sf_dir):
     lines = view(spark, sf_dir, "host_line_v").drop("kind")
     good, _ = normalise.split_rejects(normalise.normalise_host_alerts(sensors.parse_lines(lines, "raw", HOST_ALERT)))
     return good.select(
         "event_id", "title", "description", "severity", "source", "hostname", "source_ip", "destination_ip", "username",
-        micros(F.col("event_timestamp")).alias("event_us"), "rule_level",
+        micros(F.col("event_timestamp")).alias("event_us"), "rule_level", F.array_join("mitre_ids", ",").alias("mitre"),
     )
 
 

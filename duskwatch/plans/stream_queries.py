@@ -19,7 +19,7 @@ def _eve_stream(spark, sf_dir):
 
 @query(
     "stream_network_alerts",
-    oracle("eve_line_v", "SELECT CAST(user_id % 5 AS VARCHAR) AS severity_number, count(*) AS alerts FROM eve_line_v WHERE kind = 0 GROUP BY 1"),
+    oracle("eve_line_v", "SELECT CASE user_id % 5 WHEN 3 THEN 'high' ELSE CAST(user_id % 5 AS VARCHAR) END AS severity_number, count(*) AS alerts FROM eve_line_v WHERE kind = 0 GROUP BY 1"),
 )
 def stream_network_alerts(spark, sf_dir):
     out = run_folder(spark, "alerts")
@@ -50,25 +50,25 @@ def stream_normalise(spark, sf_dir):
 @query(
     "stream_severity_windows",
     oracle("incidents_v", """SELECT * FROM (SELECT epoch_us(created_at) // 600000000 * 600000000 AS start_us, epoch_us(created_at) // 600000000 * 600000000 + 600000000 AS end_us, severity, count(*) AS incidents
-      FROM incidents_v GROUP BY ALL) w WHERE end_us <= (SELECT max(epoch_us(created_at)) FROM incidents_v) // 1000 * 1000 - 600000000"""),
+      FROM incidents_v GROUP BY ALL) w"""),
 )
 def stream_severity_windows(spark, sf_dir):
     out = run_folder(spark, "severity")
     counts = jobs.severity_windows(stream_view(spark, sf_dir, "incidents_v"))
-    jobs.run_available(spark, jobs.append_parquet(counts, out))
-    return spark.read.parquet(out)
+    jobs.run_available(spark, jobs.update_parquet(counts, out))
+    return jobs.latest(spark, out, "start_us", "end_us", "severity")
 
 
 @query(
     "stream_request_rates",
     oracle("request_log_v", """SELECT * FROM (SELECT epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) + 60000000 * (k.k + 1) AS window_end_us, count(*) AS requests,
       round(count(*) / 300.0, 9) AS rate_per_second, round(sum(duration_s) / count(*), 9) AS mean_latency
-      FROM request_log_v, (VALUES (0), (1), (2), (3), (4)) k(k) GROUP BY 1) w WHERE window_end_us <= (SELECT max(epoch_us(ts)) FROM request_log_v) // 1000 * 1000 - 300000000"""),
+      FROM request_log_v, (VALUES (0), (1), (2), (3), (4)) k(k) GROUP BY 1) w"""),
 )
 def stream_request_rates(spark, sf_dir):
     out = run_folder(spark, "rates")
-    jobs.run_available(spark, jobs.append_parquet(jobs.request_rates(stream_view(spark, sf_dir, "request_log_v")), out))
-    return spark.read.parquet(out).withColumns({c: F.round(c, 9) for c in ("rate_per_second", "mean_latency")})
+    jobs.run_available(spark, jobs.update_parquet(jobs.request_rates(stream_view(spark, sf_dir, "request_log_v")), out))
+    return jobs.latest(spark, out, "window_end_us").withColumns({c: F.round(c, 9) for c in ("rate_per_second", "mean_latency")})
 
 
 @query("stream_suppress_repeats", ORACLE["suppress_repeats"] and f"SELECT * FROM ({ORACLE['suppress_repeats']}) r WHERE duplicate_of IS NOT NULL")

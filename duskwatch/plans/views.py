@@ -175,12 +175,13 @@ UNION ALL SELECT page_id AS text_id, 'page' AS kind, concat(url, ' ', html) AS t
 VIEWS["host_line_v"] = """
 SELECT event_id, kind,
   CASE kind WHEN 0 THEN '{}' WHEN 1 THEN '{"_source":{}}' WHEN 2 THEN 'no json here' WHEN 3 THEN '{"foo": 1}'
-    ELSE CASE WHEN event_id % 3 = 0 THEN concat('{"_source":', body, '}') ELSE body END END AS raw
+    ELSE CASE event_id % 3 WHEN 0 THEN concat('{"_source":', body, '}') WHEN 1 THEN concat('{"_source":"none",', substr(body, 2)) ELSE body END END AS raw
 FROM (
   SELECT event_id, event_id % 20 AS kind, concat(
     '{"rule":{"id":"', CASE WHEN event_id % 5 = 0 THEN '100100' ELSE '5710' END, '","level":',
     CASE event_id % 6 WHEN 0 THEN '"x"' WHEN 1 THEN '3' WHEN 2 THEN '7' WHEN 3 THEN '"11"' WHEN 4 THEN '12' ELSE '15' END,
     CASE WHEN event_id % 7 = 0 THEN '' ELSE concat(',"description":"', event_type, ' rule"') END,
+    CASE event_id % 5 WHEN 2 THEN ',"mitre":{"id":"T1110"}' WHEN 3 THEN ',"mitre":{"id":["T1","T2"]}' WHEN 4 THEN ',"mitre":"none"' ELSE '' END,
     '},"agent":{"id":"00', CAST(user_id % 3 AS STRING), '","name":"', CASE WHEN event_id % 8 = 0 THEN '' ELSE concat('agent', CAST(user_id % 4 AS STRING)) END,
     '","ip":"10.9.0.', CAST(user_id % 9 AS STRING), '"},"data":{',
     CASE event_id % 4 WHEN 0 THEN '"src_ip":"10.0.0.1"' WHEN 1 THEN '"srcip":"","source_ip":"10.0.0.2"' WHEN 2 THEN '"command":"nmap 10.1.1.1 then 10.2.2.2"' ELSE '"dstip":"10.3.3.3"' END,
@@ -195,10 +196,11 @@ VIEWS["eve_line_v"] = """
 SELECT event_id, kind, gap_s, user_id, value, event_type AS word,
   CASE kind
     WHEN 0 THEN concat('{"event_type":"alert","timestamp":"2024-01-01T00:00:0', CAST(event_id % 10 AS STRING), '+0000"',
-      CASE WHEN user_id % 4 = 0 THEN '' ELSE concat(',"src_ip":"10.0.0.', CAST(user_id % 6 AS STRING), '","src_port":', CAST(1000 + user_id AS STRING)) END,
+      CASE WHEN user_id % 4 = 0 THEN '' ELSE concat(',"src_ip":"10.0.0.', CAST(user_id % 6 AS STRING), CASE WHEN event_id % 2 = 0 THEN '","src_port":"' ELSE '","src_port":' END,
+        CAST(1000 + user_id AS STRING), CASE WHEN event_id % 2 = 0 THEN '"' ELSE '' END) END,
       ',"dest_ip":"10.0.1.', CAST(user_id % 2 AS STRING), '","proto":"TCP","alert":{"category":"', CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END,
       '"', CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(',"signature":"sig ', event_type, '","signature_id":', CAST(2000000 + user_id AS STRING)) END,
-      ',"severity":', CAST(user_id % 5 AS STRING), '}}')
+      ',"severity":', CASE user_id % 5 WHEN 3 THEN '"high"' WHEN 1 THEN '"1"' ELSE CAST(user_id % 5 AS STRING) END, '}}')
     WHEN 1 THEN concat('{"event_type":"flow","dest_port":', CAST(user_id AS STRING), ',"flow":{"pkts_toserver":', CAST(user_id AS STRING),
       ',"pkts_toclient":', CAST(user_id % 7 AS STRING), ',"bytes_toserver":', CAST(user_id * 100 AS STRING),
       CASE WHEN gap_s % 3 = 0 THEN ',"start":"2024-01-01T10:00:00.000000+0000"'

@@ -37,10 +37,11 @@ AUDIT_LOGS = (
     " details STRING, created_at TIMESTAMP_NTZ"
 )
 
+# Scalars of sensor records are text, whatever the sensor wrote; a list's text is read as a list where it is used.
 # Host-sensor alert body. The wrapper form carries the same body in ``_source``.
 _HOST_BODY = (
     "rule STRUCT<id:STRING,level:STRING,description:STRING,"
-    "mitre:STRUCT<id:ARRAY<STRING>,technique:ARRAY<STRING>,tactic:ARRAY<STRING>>>,"
+    "mitre:STRUCT<id:STRING,technique:STRING,tactic:STRING>>,"
     " agent STRUCT<id:STRING,name:STRING,ip:STRING>,"
     " data STRUCT<srcip:STRING,src_ip:STRING,source_ip:STRING,dstip:STRING,dst_ip:STRING,destination_ip:STRING,"
     "srcuser:STRING,dstuser:STRING,user:STRING,username:STRING,hostname:STRING,command:STRING,"
@@ -61,11 +62,11 @@ HOST_ALERT = f"{_HOST_BODY}, _source STRUCT<{_NESTED_BODY}>, _corrupt_record STR
 
 # Network-sensor event lines: alerts and flows share one schema.
 EVE_EVENT = (
-    "event_type STRING, timestamp STRING, src_ip STRING, dest_ip STRING, src_port INT, dest_port INT, proto STRING,"
-    " alert STRUCT<signature:STRING,signature_id:BIGINT,category:STRING,severity:INT,gid:BIGINT,rev:BIGINT>,"
-    " flow STRUCT<pkts_toserver:DOUBLE,pkts_toclient:DOUBLE,bytes_toserver:DOUBLE,bytes_toclient:DOUBLE,"
-    "start:STRING,`end`:STRING,age:DOUBLE,alerted:BOOLEAN>,"
-    " tcp STRUCT<syn:BOOLEAN,fin:BOOLEAN,psh:BOOLEAN,ack:BOOLEAN>, _corrupt_record STRING"
+    "event_type STRING, timestamp STRING, src_ip STRING, dest_ip STRING, src_port STRING, dest_port STRING, proto STRING,"
+    " alert STRUCT<signature:STRING,signature_id:STRING,category:STRING,severity:STRING,gid:STRING,rev:STRING>,"
+    " flow STRUCT<pkts_toserver:STRING,pkts_toclient:STRING,bytes_toserver:STRING,bytes_toclient:STRING,"
+    "start:STRING,`end`:STRING,age:STRING,alerted:STRING>,"
+    " tcp STRUCT<syn:STRING,fin:STRING,psh:STRING,ack:STRING>, _corrupt_record STRING"
 )
 
 CVE_RECORD = (

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import os
 import shutil
 import tempfile
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def build_session(app: str = "duskwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,6 +26,8 @@ def build_session(app: str = "duskwatch", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Work per row is heavy (JSON, patterns, vectors): read in splits smaller than the default.
+        "spark.sql.files.maxPartitionBytes": "32m",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     builder = SparkSession.builder.appName(app)
@@ -68,29 +73,41 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, for costly work on an input read as too few partitions.
-
-    A large table already has more partitions than there are cores and stays as it is.
-    Meant for plans without shuffles; streams are returned unchanged.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def run_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Stage tables written inside go to one folder, which is removed at the end. Results must be written before that."""
+    folder = run_folder(spark, "job")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        delete_folder(spark, folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Reading a table keeps no lineage, survives lost executors, and keeps file
     statistics for the next plan.
     """
-    path = run_folder(df.sparkSession, "stage")
+    base = _scratch.get()
+    path = f"{base}/stage-{uuid.uuid4().hex}" if base else run_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.columns import parse_iso_utc
 from duskwatch.schemas import EVE_EVENT, HOST_ALERT
-from duskwatch.session import spread
 
+# Loose fields are read as text and cast where they are used, so one field of an odd type never costs the record.
 _JSON = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -29,37 +29,43 @@ def stream_network_events(spark: SparkSession, folder: str, **options: str) -> D
     ``maxFileAge``, or a start-time filter on the result.
     """
     events = spark.readStream.schema(EVE_EVENT).options(**_JSON, **options).json(folder)
-    return events.filter(F.col("_corrupt_record").isNull() & (F.col("event_type") == "alert"))
+    return events.filter(~unreadable() & (F.col("event_type") == "alert"))
+
+
+def unreadable() -> Column:
+    """The line is no JSON object. A container of another type (text for an object) also fills ``_corrupt_record``, but the rest of it is read."""
+    return F.col("_corrupt_record").isNotNull() & F.json_object_keys("_corrupt_record").isNull()
 
 
 def parse_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
-    """JSON text already in a table, parsed as the file scans parse it. Blank lines are dropped."""
+    """JSON text already in a table, parsed as the file scans parse it, each line once. Blank lines are dropped.
+
+    The parsed record passes through a generator, over which the optimizer copies no expression, so filters and columns
+    above it read the record instead of parsing the line again.
+    """
     kept = [c for c in lines.columns if c != column]
-    return (
-        spread(lines.filter(F.col(column).rlike(r"\S")))
-        .select(*kept, F.from_json(F.col(column), schema, _JSON).alias("r"))
-        .select(*kept, "r.*")
-    )
+    parsed = lines.filter(F.col(column).rlike(r"\S")).select(*kept, F.explode(F.array(F.from_json(F.col(column), schema, _JSON))).alias("r"))
+    return parsed.select(*kept, "r.*")
 
 
 def flow_events(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("_corrupt_record").isNull() & (F.col("event_type") == "flow"))
+    return events.filter(~unreadable() & (F.col("event_type") == "flow"))
 
 
 def scan_counts(events: DataFrame) -> DataFrame:
     """Flows extracted and lines skipped as unreadable, in one pass."""
-    bad = F.col("_corrupt_record").isNotNull()
+    bad = unreadable()
     return events.agg(
         F.count_if(~bad & (F.col("event_type") == "flow")).alias("extracted"), F.count_if(bad).alias("skipped")
     )
 
 
 def _number(c: Column) -> Column:
-    return F.coalesce(c.cast("double"), F.lit(0.0))
+    return F.coalesce(c.try_cast("double"), F.lit(0.0))
 
 
 def _flag(c: Column) -> Column:
-    return F.coalesce(c.cast("double"), F.lit(0.0))
+    return F.coalesce(c.try_cast("double"), c.try_cast("boolean").cast("double"), F.lit(0.0))
 
 
 def flow_features(events: DataFrame, *keep: str) -> DataFrame:

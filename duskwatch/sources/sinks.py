@@ -22,15 +22,16 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def unstored(rows: DataFrame, stored: DataFrame | None, key: Sequence[str]) -> DataFrame:
-    """Rows whose business key is not stored yet, one per key."""
-    fresh = rows.dropDuplicates(list(key))
+def unstored(rows: DataFrame, stored: DataFrame | None, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows whose business key is not stored yet; of several with one key the first by ``order`` (all columns in turn, if not given)."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*(order or rows.columns)))
+    fresh = rows.groupBy(*key).agg(first.alias("first")).select("first.*")
     return fresh if stored is None else fresh.join(stored.select(*key).distinct(), list(key), "left_anti")
 
 
-def append_once(rows: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
+def append_once(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Append rows with new keys and return what was added; a rerun adds nothing."""
-    added = cut_lineage(unstored(rows, read_or_none(rows.sparkSession, path), key))
+    added = cut_lineage(unstored(rows, read_or_none(rows.sparkSession, path), key, order))
     added.write.mode("append").parquet(path)
     return added
 

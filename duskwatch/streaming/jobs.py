@@ -4,8 +4,9 @@ Windows over plain counts use watermarks. The two rules that look at earlier inc
 (repeat suppression, correlation) run per micro-batch with the batch operators, on the
 new rows plus the stored rows of the last few minutes. That keeps their exact semantics,
 spreads a hot key over time cells as in batch, and needs no state besides the output
-table. Every micro-batch writes its own ``epoch=`` folder, so a repeated batch replaces
-what it wrote before.
+table. That table is partitioned by hour and micro-batch: a batch opens the hours that it
+can look back to and no others, and a repeated batch replaces what it wrote before.
+Stage tables of a micro-batch are removed when it ends.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from duskwatch.functions import rules
 from duskwatch.operators import correlate, normalise, suppress
-from duskwatch.session import cut_lineage, run_folder
-from duskwatch.sources.sinks import read_or_none
+from duskwatch.session import cut_lineage, folder_exists, run_folder, scratch
 
 
 def start(writer: DataStreamWriter, checkpoint: str, once: bool = True, every: str = "10 seconds") -> StreamingQuery:
@@ -37,20 +37,39 @@ def epoch_path(folder: str, epoch: int) -> str:
     return f"{folder}/epoch={epoch}"
 
 
-def stored_before(spark: SparkSession, folder: str, epoch: int) -> DataFrame | None:
-    """Rows of earlier micro-batches of a folder of ``epoch=`` parts."""
-    rows = read_or_none(spark, folder)
-    return None if rows is None else rows.filter(F.col("epoch") < epoch)
+HOUR_US = 3_600_000_000
+
+
+def _hour(column: str = "created_at"):
+    """Whole hours since the epoch, the first partition of a stored table."""
+    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / HOUR_US).cast("bigint")
+
+
+def write_epoch(rows: DataFrame, folder: str, epoch: int) -> None:
+    """Rows of a micro-batch below ``hour=`` and ``epoch=``; the same batch again replaces them."""
+    parts = rows.withColumn("hour", _hour()).withColumn("epoch", F.lit(epoch))
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "epoch").parquet(folder)
+
+
+def stored_before(spark: SparkSession, folder: str, epoch: int, since_us: int, until_us: int) -> DataFrame | None:
+    """Rows of earlier micro-batches from the hours between two moments; other hours are neither listed nor opened."""
+    hours = range(since_us // HOUR_US, until_us // HOUR_US + 1)
+    paths = [p for p in (f"{folder}/hour={h}" for h in hours) if folder_exists(spark, p)]
+    if not paths:
+        return None
+    rows = spark.read.option("basePath", folder).parquet(*paths)
+    return rows.filter((F.col("epoch") < epoch) & (F.unix_micros(F.col("created_at").cast("timestamp")) >= since_us)).drop("hour", "epoch")
 
 
 def normalise_stream(events: DataFrame, incidents: str, quarantine: str, normaliser: Callable[[DataFrame], DataFrame] = normalise.normalise_network_alerts) -> DataStreamWriter:
     """Raw sensor events to incident rows, rejects to a quarantine folder."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        judged = cut_lineage(normaliser(batch))
-        good, bad = normalise.split_rejects(judged)
-        good.write.mode("overwrite").parquet(epoch_path(incidents, epoch))
-        bad.write.mode("overwrite").parquet(epoch_path(quarantine, epoch))
+        with scratch(batch.sparkSession):
+            judged = cut_lineage(normaliser(batch))
+            good, bad = normalise.split_rejects(judged)
+            good.write.mode("overwrite").parquet(epoch_path(incidents, epoch))
+            bad.write.mode("overwrite").parquet(epoch_path(quarantine, epoch))
 
     return events.writeStream.foreachBatch(write)
 
@@ -84,24 +103,43 @@ def append_parquet(df: DataFrame, folder: str) -> DataStreamWriter:
     return df.writeStream.outputMode("append").format("parquet").option("path", folder)
 
 
-def _reach_back(batch: DataFrame, stored: DataFrame | None, minutes: int) -> DataFrame | None:
-    """Stored rows young enough to matter for the batch."""
-    if stored is None:
-        return None
-    oldest = batch.agg((F.min("created_at") - F.expr(f"INTERVAL {minutes} MINUTES")).alias("from")).first()["from"]
-    return None if oldest is None else stored.filter(F.col("created_at") >= F.lit(oldest))
+def update_parquet(df: DataFrame, folder: str) -> DataStreamWriter:
+    """Every change of a window as it happens, so that windows still open when the input ends are there too; ``latest`` reads them."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(epoch_path(folder, epoch))
+
+    return df.writeStream.outputMode("update").foreachBatch(write)
+
+
+def latest(spark: SparkSession, folder: str, *key: str) -> DataFrame:
+    """The last state of each window of a table that ``update_parquet`` wrote."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    values = [c for c in rows.columns if c not in ("epoch", *key)]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*values), "epoch").alias("last"))
+    return last.select(*key, "last.*")
+
+
+def _reach(batch: DataFrame, minutes: int) -> tuple[int, int] | None:
+    """The moments between which stored rows can matter for the batch."""
+    ends = batch.agg(F.min("created_at").alias("low"), F.max("created_at").alias("high"))
+    ends = ends.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("low", "high")]).first()
+    return None if ends["low"] is None else (ends["low"] - minutes * 60_000_000, ends["high"])
 
 
 def suppress_stream(incidents: DataFrame, kept: str, repeats: str) -> DataStreamWriter:
     """Kept incidents and repeats of a stream of incidents, which arrive in time order."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = cut_lineage(batch)
-        earlier = _reach_back(batch, stored_before(batch.sparkSession, kept, epoch), rules.REPEAT_WINDOW_MINUTES)
-        verdicts = suppress.suppress_repeats(batch, kept_before=earlier)
-        judged = cut_lineage(batch.join(verdicts, "id", "left"))
-        judged.filter(F.col("duplicate_of").isNull()).drop("duplicate_of").write.mode("overwrite").parquet(epoch_path(kept, epoch))
-        judged.filter(F.col("duplicate_of").isNotNull()).select("id", "duplicate_of").write.mode("overwrite").parquet(epoch_path(repeats, epoch))
+        spark = batch.sparkSession
+        with scratch(spark):
+            batch = cut_lineage(batch)
+            reach = _reach(batch, rules.REPEAT_WINDOW_MINUTES)
+            earlier = stored_before(spark, kept, epoch, *reach) if reach else None
+            verdicts = suppress.suppress_repeats(batch, kept_before=earlier)
+            judged = cut_lineage(batch.join(verdicts, "id", "left"))
+            write_epoch(judged.filter(F.col("duplicate_of").isNull()).drop("duplicate_of"), kept, epoch)
+            write_epoch(judged.filter(F.col("duplicate_of").isNotNull()).select("id", "duplicate_of", "created_at"), repeats, epoch)
 
     return incidents.writeStream.foreachBatch(write)
 
@@ -110,12 +148,15 @@ def correlate_stream(incidents: DataFrame, labelled: str) -> DataStreamWriter:
     """Incidents with correlation ids; earlier incidents pass theirs on to new ones."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = cut_lineage(batch)
-        earlier = _reach_back(batch, stored_before(batch.sparkSession, labelled, epoch), rules.CORRELATION_WINDOW_MINUTES)
-        fresh = batch.withColumn("correlation_id", F.lit(None).cast("string"))
-        if earlier is not None:
-            fresh = fresh.unionByName(earlier.drop("epoch"))
-        out = correlate.correlate(cut_lineage(fresh))
-        out.join(batch.select("id"), "id", "left_semi").write.mode("overwrite").parquet(epoch_path(labelled, epoch))
+        spark = batch.sparkSession
+        with scratch(spark):
+            batch = cut_lineage(batch)
+            reach = _reach(batch, rules.CORRELATION_WINDOW_MINUTES)
+            earlier = stored_before(spark, labelled, epoch, *reach) if reach else None
+            fresh = batch.withColumn("correlation_id", F.lit(None).cast("string"))
+            if earlier is not None:
+                fresh = fresh.unionByName(earlier)
+            out = correlate.correlate(cut_lineage(fresh))
+            write_epoch(out.join(batch.select("id"), "id", "left_semi"), labelled, epoch)
 
     return incidents.writeStream.foreachBatch(write)

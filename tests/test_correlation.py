@@ -146,8 +146,7 @@ def test_ids_are_inherited_and_known_ids_kept(spark):
     assert ids[1] == ids[2] == ids[3] == "SOC-known"
 
 
-@pytest.mark.parametrize("cell_us", [1_000, 40_000, 10_000_000])
-def test_long_chains_resolve_to_their_first_row(spark, cell_us):
+def test_long_chains_resolve_to_their_first_row(spark):
     rng = random.Random(6)
     rows, root = [], {i: i for i in range(3)}
     for i in range(3, 600):
@@ -155,7 +154,7 @@ def test_long_chains_resolve_to_their_first_row(spark, cell_us):
         root[i] = root[parent]
         rows.append((i, parent, i * 1000))
     parents = spark.createDataFrame(rows, "id BIGINT, parent_id BIGINT, t BIGINT")
-    got = {r["id"]: r["root_id"] for r in correlate.resolve_roots(parents, cell_us).collect()}
+    got = {r["id"]: r["root_id"] for r in correlate.resolve_roots(parents).collect()}
     assert got == {i: root[i] for i in range(3, 600)}
 
 
@@ -219,14 +218,14 @@ def test_repeats_equal_brute_force(spark, seed):
     expected = brute_force_repeats(rows, suppress.FIELDS_BY_SENSOR)
     df = frame(spark, rows)
     assert verdicts(df) == expected
-    assert verdicts(df, hot_rows=3, span_us=300_000_000) == expected
+    assert verdicts(df, span_us=300_000_000) == expected
 
 
 def test_hot_key_split_into_spans(spark):
     rng = random.Random(5)
     times = sorted(rng.uniform(0, 7200) for _ in range(3000))
     rows = [incident(i, t) for i, t in enumerate(times)]
-    assert verdicts(frame(spark, rows), hot_rows=10, span_us=600_000_000) == brute_force_repeats(rows, suppress.FIELDS_BY_SENSOR)
+    assert verdicts(frame(spark, rows), span_us=600_000_000) == brute_force_repeats(rows, suppress.FIELDS_BY_SENSOR)
 
 
 def test_incidents_kept_earlier_suppress(spark):

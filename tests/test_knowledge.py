@@ -63,10 +63,15 @@ def test_nearest_chunks_in_blocks_equal_one_pass(spark):
     chunks = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "chunk_id BIGINT, embedding ARRAY<FLOAT>").repartition(4)
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors[:10])], "query_id BIGINT, vector ARRAY<DOUBLE>")
     one = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.nearest_chunks(queries, chunks, 3).collect()}
-    many = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.nearest_chunks(queries, chunks, 3, block=3).collect()}
+    many = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.nearest_chunks(queries, chunks, 3, query_block=3, chunk_block=7).collect()}
     assert one == many and all(one[i, 1] == i for i in range(10)) and len(one) == 30
 
 
+def test_no_questions_give_no_rows(spark):
+    chunks = spark.createDataFrame([(1, [1.0])], "chunk_id BIGINT, embedding ARRAY<FLOAT>")
+    assert retrieval.nearest_chunks(spark.createDataFrame([], "query_id BIGINT, vector ARRAY<DOUBLE>"), chunks, 3).count() == 0
+
+
 def test_equal_scores_go_to_the_lower_chunk(spark):
     chunks = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)], "chunk_id BIGINT, embedding ARRAY<FLOAT>").repartition(5)
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id BIGINT, vector ARRAY<DOUBLE>")
