@@ -58,10 +58,6 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def naive_ts(us: Column) -> Column:
-    return F.timestamp_micros(us).cast("timestamp_ntz")
-
-
 def parse_iso_utc(text: Column) -> Column:
     """ISO-8601 text to a naive UTC timestamp; anything else is null."""
     t = F.regexp_replace(strip(text), r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}),", "$1.")

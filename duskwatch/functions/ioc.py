@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from duskwatch.functions import net, rules
+from duskwatch.functions.columns import let
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -38,11 +39,11 @@ def _plausible_domain(domain: Column) -> Column:
     return ~bad_edge & ~F.element_at(labels, -1).isin(*rules.FILE_SUFFIXES)
 
 
-def extract_domains(text: Column) -> Column:
-    """Names in the text plus the hosts of its URLs; the latter skip the file-name filter."""
+def extract_domains(text: Column, urls: Column | None = None) -> Column:
+    """Names in the text plus the hosts of its URLs (given, or found here); the latter skip the file-name filter."""
     free = F.filter(F.transform(_all(text, rules.DOMAIN), F.lower), _plausible_domain)
     whole = r"^([a-z0-9-]+\.)+[a-z]{2,63}$"
-    hosts = F.filter(F.transform(extract_urls(text), url_host), lambda h: h.rlike(whole))
+    hosts = F.filter(F.transform(extract_urls(text) if urls is None else urls, url_host), lambda h: h.rlike(whole))
     return _sorted_distinct(F.concat(free, hosts))
 
 
@@ -56,19 +57,30 @@ def extract_hashes(text: Column) -> Column:
     return F.concat(*[_hashes_of(text, kind, pattern) for kind, pattern in rules.HASHES])
 
 
-def indicators(text: Column) -> Column:
-    """All indicators of a text as one array of ``(ioc_type, value, hash_type)``."""
+def _typed(values: Column, kind: str) -> Column:
+    return F.transform(
+        values,
+        lambda v: F.struct(F.lit(kind).alias("ioc_type"), v.alias("value"), F.lit(None).cast("string").alias("hash_type")),
+    )
 
-    def typed(values: Column, kind: str) -> Column:
-        return F.transform(
-            values,
-            lambda v: F.struct(F.lit(kind).alias("ioc_type"), v.alias("value"), F.lit(None).cast("string").alias("hash_type")),
-        )
 
-    hashes = F.transform(
+def _typed_hashes(text: Column) -> Column:
+    return F.transform(
         extract_hashes(text),
         lambda h: F.struct(F.lit("hash").alias("ioc_type"), h["value"].alias("value"), h["hash_type"].alias("hash_type")),
     )
-    return F.concat(
-        typed(extract_ips(text), "ip"), typed(extract_domains(text), "domain"), typed(extract_urls(text), "url"), hashes
+
+
+def indicators_of(text: Column, kind: str) -> Column:
+    """Indicators of one kind (ip, domain, url or hash), by its own patterns only."""
+    if kind == "hash":
+        return _typed_hashes(text)
+    return _typed({"ip": extract_ips, "domain": extract_domains, "url": extract_urls}[kind](text), kind)
+
+
+def indicators(text: Column) -> Column:
+    """All indicators of a text as one array of ``(ioc_type, value, hash_type)``; its URLs are looked for once."""
+    return let(
+        extract_urls(text),
+        lambda urls: F.concat(_typed(extract_ips(text), "ip"), _typed(extract_domains(text, urls), "domain"), _typed(urls, "url"), _typed_hashes(text)),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
 from duskwatch.functions.columns import strip
+from duskwatch.session import cut_lineage
 
-HASH_BUCKETS = 1024
+BUCKET_ROWS = 100_000  # distinct rows that one bucket of a class is meant to hold
 SEED = 42
 
 
@@ -135,17 +137,20 @@ def leakage(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataF
 
 
 # --- sampling and splits ---------------------------------------------------
-def hash_positions(df: DataFrame, by: str, columns: Sequence[str], seed: int = SEED, buckets: int = HASH_BUCKETS) -> DataFrame:
+def hash_positions(df: DataFrame, by: str, columns: Sequence[str], seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``position`` (1, 2, ... per class in hash order) and ``class_rows``.
 
-    A class may hold most of the rows, so it is not ordered in one task: rows are bucketed
-    by the top bits of their hash, buckets are counted, and a row's position is the rows
-    in lower buckets plus its place in its own.
+    Equal rows are counted first and take consecutive positions, so a row that is repeated millions of times is one row
+    here. A class may hold most of the rows, so it is not ordered in one task: distinct rows are bucketed by the top bits of
+    their hash, as many buckets as their number asks for, and a row's position is the rows in lower buckets plus its place in its own.
     """
-    bits = buckets.bit_length() - 1
+    names = list(df.columns)
     h = F.xxhash64(F.lit(seed), *[_quoted(c) for c in columns])
-    hashed = df.withColumn("row_hash", h).withColumn("bucket", F.shiftrightunsigned("row_hash", 64 - bits))
-    counts = hashed.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.groupBy(*[_quoted(c) for c in names]).agg(F.count(F.lit(1)).alias("row_copies"))
+    distinct = cut_lineage(counted.withColumn("row_hash", h))
+    bits = max(1, math.ceil(math.log2(max(distinct.count(), 1) / bucket_rows + 1)))
+    hashed = distinct.withColumn("bucket", F.shiftrightunsigned("row_hash", 64 - bits))
+    counts = hashed.groupBy(by, "bucket").agg(F.sum("row_copies").alias("n"))
     lower = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         by,
@@ -153,12 +158,10 @@ def hash_positions(df: DataFrame, by: str, columns: Sequence[str], seed: int = S
         F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("offset"),
         F.sum("n").over(Window.partitionBy(by)).alias("class_rows"),
     )
-    inside = Window.partitionBy(by, "bucket").orderBy("row_hash", *[_quoted(c) for c in columns])
-    return (
-        hashed.join(offsets, [by, "bucket"])
-        .withColumn("position", F.col("offset") + F.row_number().over(inside))
-        .drop("row_hash", "bucket", "offset")
-    )
+    inside = Window.partitionBy(by, "bucket").orderBy("row_hash", *[_quoted(c) for c in columns]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = hashed.join(offsets, [by, "bucket"]).withColumn("first", F.col("offset") + F.coalesce(F.sum("row_copies").over(inside), F.lit(0)))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("row_copies")))
+    return placed.withColumn("nth", copies).select(*[_quoted(c) for c in names], "class_rows", (F.col("first") + F.col("nth")).alias("position"))
 
 
 def cap_per_class(df: DataFrame, by: str, columns: Sequence[str], most: int = rules.MAX_PER_CLASS, seed: int = SEED) -> DataFrame:

@@ -17,6 +17,11 @@ def text_indicators(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(ioc.indicators(F.col(text))))
 
 
+def text_indicators_of(df: DataFrame, text: str, kind: str, *keep: str) -> DataFrame:
+    """The same for one kind of :data:`KINDS`, without looking for the others."""
+    return df.select(*keep, F.inline(ioc.indicators_of(F.col(text), kind)))
+
+
 def incident_indicators(incidents: DataFrame, *keep: str) -> DataFrame:
     """Indicators of title and description plus the explicit addresses, distinct per incident."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))

@@ -190,12 +190,14 @@ def build_reports(
     techniques: DataFrame,
     decisions: DataFrame,
     ml: DataFrame,
+    traces: DataFrame,
+    sources: DataFrame,
 ) -> DataFrame:
     """Final report rows: every stage joined to the incident that ran the workflow.
 
     ``incidents`` are the primaries with ``correlation_id``; ``groups`` their correlation
     summary; ``analyses`` (one per incident) carry the claimed technique already looked up
-    in ``techniques``' columns; all joins are equi-joins on one row per key.
+    in ``techniques``' columns; ``traces`` the stages each run went through, ``sources`` the knowledge it used; all joins are equi-joins on one row per key.
     """
     base = (
         incidents.withColumnRenamed("id", "incident_id")
@@ -203,6 +205,8 @@ def build_reports(
         .join(analyses, "incident_id", "left")
         .join(techniques, "incident_id", "left")
         .join(ml, "incident_id", "left")
+        .join(traces, "incident_id", "left")
+        .join(sources, "incident_id", "left")
     )
     cases = respond(route_by_risk(route_by_approval(base, decisions)))
     needs = F.col("human_approval_required")
@@ -217,6 +221,11 @@ def build_reports(
         "ml_prediction",
         "ml_engine",
         "ml_is_anomaly",
+        "ml_anomaly_score",
+        "ml_probabilities",
+        "thread_id",
+        F.coalesce("agent_trace", F.array().cast("array<string>")).alias("agent_trace"),
+        F.coalesce("rag_sources", F.array().cast("array<string>")).alias("rag_sources"),
         "technique_id",
         F.col("technique_name").alias("mitre_name"),
         F.coalesce("technique_valid", F.lit(False)).alias("mitre_valid"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -272,7 +275,11 @@ def combine_engines(spark, sf_dir):
 
 
 # --- models ----------------------------------------------------------------
-@query("prepared_traffic")
+@query(
+    "prepared_traffic",
+    oracle("traffic_v", f"""SELECT CAST({" + ".join(f"CASE WHEN label = '{c}' THEN {i} ELSE 0 END" for i, c in enumerate(rules.TRAFFIC_CLASSES))} AS INT) AS "Label", count(*) AS rows
+      FROM (SELECT DISTINCT destination_port, duration_seconds, pkts_to_server, pkts_to_client, bytes_to_server, bytes_to_client, syn_flag, fin_flag, psh_flag, ack_flag, label FROM traffic_v) d GROUP BY 1"""),
+)
 def prepared_traffic(spark, sf_dir):
     return datasets.class_counts(_prepared(spark, sf_dir))
 
@@ -288,11 +295,48 @@ def random_forest_metrics(spark, sf_dir):
     return models.evaluate_classes(models.predict(models.fit_forest(train, FEATURES), test, "Label"))
 
 
-@query("score_traffic")
+def _sound(predicted, *keep):
+    """What must hold of every prediction: probabilities that sum to one, the most probable class named."""
+    names = [models.probability_name(c) for c in rules.TRAFFIC_CLASSES]
+    best = F.greatest(*names)
+    return predicted.select(
+        *keep,
+        F.round(sum((F.col(n) for n in names), F.lit(0.0)), 6).alias("probability_sum"),
+        (F.element_at(F.array(*names), F.col("prediction_number") + 1) == best).alias("names_most_probable"),
+        (datasets.class_number(F.col("prediction")) == F.col("prediction_number")).alias("class_known"),
+    )
+
+
+@query(
+    "score_traffic",
+    oracle("traffic_v", "SELECT flow_id, 1.0::DOUBLE AS probability_sum, TRUE AS names_most_probable, TRUE AS class_known FROM traffic_v"),
+)
 def score_traffic(spark, sf_dir):
     """All flows scored by the forest, as a batch job does it."""
     train, _ = _train_test(spark, sf_dir)
-    return models.predict(models.fit_forest(train, FEATURES), _traffic(spark, sf_dir), "flow_id")
+    return _sound(models.predict(models.fit_forest(train, FEATURES), _traffic(spark, sf_dir), "flow_id"), "flow_id")
+
+
+@query(
+    "score_with_saved_models",
+    oracle("traffic_v", "SELECT flow_id, 1.0::DOUBLE AS probability_sum, TRUE AS names_most_probable, TRUE AS class_known, TRUE AS same_anomaly FROM traffic_v"),
+)
+def score_with_saved_models(spark, sf_dir):
+    """Forest, scaler, anomaly trees and offset are stored, read back and only then used; the anomaly verdicts are those of the fit."""
+    path = run_folder(spark, "models")
+    train, _ = _train_test(spark, sf_dir)
+    models.save_model(models.fit_forest(train, FEATURES, trees=20, depth=10), f"{path}/forest")
+    flows = sensors.with_flow_rates(view(spark, sf_dir, "traffic_v").withColumn("line", F.xxhash64(*FEATURES[:6], "label")), "flow_id", "line", "label")
+    stats = isolation.scaler_stats(flows, FEATURES)
+    scaled = isolation.scale(flows, stats, FEATURES)
+    nodes = isolation.grow_forest(scaled, FEATURES, trees=50)
+    fitted = cut_lineage(isolation.score(scaled, isolation.load_forest(nodes), FEATURES, "flow_id", "line"))
+    offset = isolation.offset_of(fitted)
+    isolation.save_scorer(nodes, stats, offset, f"{path}/anomaly")
+    again = isolation.score_with_saved(flows, f"{path}/anomaly", FEATURES, "flow_id", "line", "label", *FEATURES)
+    same = again.join(isolation.judge(fitted, offset).select(F.col("flow_id").alias("f"), F.col("line").alias("l"), F.col("is_anomaly").alias("then")).distinct(), (F.col("flow_id") == F.col("f")) & (F.col("line") == F.col("l")))
+    scored = models.predict(PipelineModel.load(f"{path}/forest"), same.withColumn("same_anomaly", F.col("is_anomaly") == F.col("then")).drop("prediction"), "flow_id", "same_anomaly")
+    return _sound(scored, "flow_id", "same_anomaly")
 
 
 @query("boosted_trees_metrics")
@@ -317,7 +361,10 @@ def most_frequent_values(spark, sf_dir):
     return models.value_modes(view(spark, sf_dir, "unsw_v"), rules.UNSW_CATEGORICAL)
 
 
-@query("unsw_features")
+@query(
+    "unsw_features",
+    oracle("unsw_v", """SELECT id, CAST((SELECT 3 + count(DISTINCT proto) + count(DISTINCT service) + count(DISTINCT state) FROM unsw_v) AS INT) AS inputs, 3 AS set_categories FROM unsw_v"""),
+)
 def unsw_features(spark, sf_dir):
     """Imputed and one-hot encoded rows: number of inputs and of set categories per row."""
     rows = view(spark, sf_dir, "unsw_v")
@@ -334,14 +381,32 @@ def external_evaluation(spark, sf_dir):
     return models.evaluate_external(models.predict(models.fit_forest(train, FEATURES), others, "truth"), "truth")
 
 
-@query("unsw_evaluation")
+def _adding_up(metrics):
+    """Test rows, and what must hold of the metrics whatever the model."""
+    shares = [F.col(c).between(0.0, 1.0) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")]
+    return metrics.select("rows", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("rows")).alias("counts_add_up"), reduce(lambda a, b: a & b, shares).alias("shares_in_range"),
+                          (F.round((F.col("tn") + F.col("tp")) / F.col("rows"), 9) == F.round("accuracy", 9)).alias("accuracy_follows"))
+
+
+_TEST_ROWS = "CAST(sum(n) AS BIGINT) AS rows, TRUE AS counts_add_up, TRUE AS shares_in_range, TRUE AS accuracy_follows"
+
+
+@query(
+    "unsw_evaluation",
+    oracle("unsw_v", f"""SELECT {_TEST_ROWS} FROM (SELECT label, floor(count(*) * 0.2 + 0.5) AS n FROM
+      (SELECT DISTINCT dur, sbytes, rate, proto, service, state, attack_cat, label FROM unsw_v WHERE dur IS NOT NULL AND proto IS NOT NULL) d GROUP BY label) t"""),
+)
 def unsw_evaluation(spark, sf_dir):
-    return models.evaluate_unsw(view(spark, sf_dir, "unsw_v"))
+    return _adding_up(models.evaluate_unsw(view(spark, sf_dir, "unsw_v")))
 
 
-@query("native_2018_evaluation")
+@query(
+    "native_2018_evaluation",
+    oracle("flow_2018_v", f"""SELECT {_TEST_ROWS} FROM (SELECT attack, floor(count(*) * 0.2 + 0.5) AS n FROM (SELECT DISTINCT "Dst Port", "Flow Duration", "Tot Fwd Pkts", "Fwd Header Len", "Flow Byts/s", "Flow Pkts/s",
+      lower(trim(Label)) <> 'benign' AS attack FROM flow_2018_v WHERE lower(trim(Label)) <> 'label' AND "Flow Byts/s" NOT IN ('Infinity', 'NaN', 'abc') AND "Flow Pkts/s" <> '') d GROUP BY attack) t"""),
+)
 def native_2018_evaluation(spark, sf_dir):
-    return models.evaluate_native_2018(view(spark, sf_dir, "flow_2018_v"), REFERENCE_2018)
+    return _adding_up(models.evaluate_native_2018(view(spark, sf_dir, "flow_2018_v"), REFERENCE_2018))
 
 
 @query(
@@ -362,14 +427,22 @@ def _anomalies(spark, sf_dir):
     return isolation.judge(scored, isolation.offset_of(scored))
 
 
-@query("isolation_forest")
+@query(
+    "isolation_forest",
+    oracle("traffic_v", "SELECT flow_id, TRUE AS verdicts_agree, TRUE AS score_in_range FROM traffic_v"),
+)
 def isolation_forest(spark, sf_dir):
-    return _anomalies(spark, sf_dir).select("flow_id", "prediction", "is_anomaly", F.round("anomaly_score", 9).alias("anomaly_score"))
+    """All flows scored by the trees fitted on them, with what must hold of every verdict."""
+    judged = _anomalies(spark, sf_dir)
+    agree = (F.col("is_anomaly") == (F.col("anomaly_score") < 0)) & ((F.col("prediction") == "ANOMALY") == F.col("is_anomaly"))
+    return judged.select("flow_id", agree.alias("verdicts_agree"), F.col("normality").between(-1.0, 0.0).alias("score_in_range"))
 
 
-@query("anomaly_rate")
+@query("anomaly_rate", "SELECT count(*) AS rows, TRUE AS parts_add_up, 0.01::DOUBLE AS anomaly_rate FROM lineitem")
 def anomaly_rate(spark, sf_dir):
-    return evaluation.anomaly_rate(_anomalies(spark, sf_dir))
+    """The share of anomalies, which the offset sets to the contamination asked for (rounded: the offset is a score, and scores may tie)."""
+    rate = evaluation.anomaly_rate(_anomalies(spark, sf_dir))
+    return rate.select("rows", (F.col("normal") + F.col("anomalies") == F.col("rows")).alias("parts_add_up"), F.round("anomaly_rate", 2).alias("anomaly_rate"))
 
 
 @query("anomaly_metrics")
@@ -416,11 +489,12 @@ def metrics_sink(spark, sf_dir):
     return spark.read.schema("total_incidents BIGINT").json(path)
 
 
-@query("stored_forest_nodes")
+@query("stored_forest_nodes", f"SELECT CAST(range AS INT) AS tree, TRUE AS binary FROM range({isolation.TREES})")
 def stored_forest_nodes(spark, sf_dir):
     """The fitted anomaly model written as a table of nodes and read back."""
     flows = sensors.with_flow_rates(view(spark, sf_dir, "traffic_v"), "flow_id")
     scaled = isolation.scale(flows, isolation.scaler_stats(flows, FEATURES), FEATURES)
     path = run_folder(spark, "forest")
     isolation.save_forest(isolation.grow_forest(scaled, FEATURES), path)
-    return isolation.read_forest(spark, path).groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"))
+    nodes, leaves = F.count(F.lit(1)), F.count_if(F.col("feature") < 0)
+    return isolation.read_forest(spark, path).groupBy("tree").agg((nodes == 2 * leaves - 1).alias("binary"))

@@ -223,6 +223,19 @@ def retry_cycle(spark, sf_dir):
     return lifecycle.retry_cycle(search.retry_batch(incidents), incidents.select("id", outcome.alias("outcome")))
 
 
+@query(
+    "run_end_states",
+    oracle("incidents_v", """SELECT id, CASE WHEN workflow_status = 'rate_limited' THEN 'rate_limited' WHEN severity = 'critical' AND status = 'open' THEN 'failed'
+      WHEN workflow_status = 'waiting_for_human' THEN 'waiting_for_human' ELSE 'completed' END AS workflow_status FROM incidents_v"""),
+)
+def run_end_states(spark, sf_dir):
+    """The state in which a run ends, by its failure (if any) and whether it waits for a person."""
+    limited = F.col("workflow_status") == "rate_limited"
+    failure = F.when(limited, "rate_limit").when((F.col("severity") == "critical") & (F.col("status") == "open"), "error")
+    state = lifecycle.run_state(failure, F.col("workflow_status") == "waiting_for_human")
+    return view(spark, sf_dir, "incidents_v").select("id", state.alias("workflow_status"))
+
+
 @query("stage_traces", oracle("stage_v", "SELECT incident_id, string_agg(stage, ' > ' ORDER BY seq) AS agent_trace FROM (SELECT DISTINCT incident_id, seq, stage FROM stage_v) s GROUP BY incident_id"))
 def stage_traces(spark, sf_dir):
     return lifecycle.stage_traces(view(spark, sf_dir, "stage_v")).withColumn("agent_trace", F.array_join("agent_trace", " > "))
@@ -273,34 +286,40 @@ def _report_inputs(spark, sf_dir):
     labelled = _labelled(spark, sf_dir)
     marked = correlate.mark_correlated(labelled).filter("is_primary").drop("primary_id", "is_primary")
     groups = correlate.correlation_summary(labelled)
-    analyses = search.latest_analysis(view(spark, sf_dir, "analysis_v"), "risk_level", "recommendation", "summary", "mitre_technique").drop("analysis_id")
+    analyses = search.latest_analysis(view(spark, sf_dir, "analysis_v"), "risk_level", "recommendation", "summary", "mitre_technique", "thread_id").drop("analysis_id")
     looked_up = validate_techniques(analyses.select("incident_id", "mitre_technique"), view(spark, sf_dir, "technique_v")).select(
         "incident_id", "technique_id", F.col("name").alias("technique_name"), F.col("valid").alias("technique_valid")
     )
     ml = view(spark, sf_dir, "report_v").groupBy("incident_id").agg(
-        F.max_by(F.struct("ml_status", "ml_prediction", "ml_engine", "ml_is_anomaly"), "id").alias("m")
+        F.max_by(F.struct("ml_status", "ml_prediction", "ml_engine", "ml_is_anomaly", "ml_anomaly_score", "ml_probabilities"), "id").alias("m")
     ).select("incident_id", "m.*")
-    return marked, groups, analyses.drop("mitre_technique"), looked_up, view(spark, sf_dir, "decision_v"), ml
+    traces = lifecycle.stage_traces(view(spark, sf_dir, "stage_v"))
+    documents = view(spark, sf_dir, "kb_v").select("doc_key").distinct()
+    found = analyses.select("incident_id", F.upper("mitre_technique").alias("doc_key")).join(documents, "doc_key")
+    sources = found.groupBy("incident_id").agg(F.array_sort(F.collect_set("doc_key")).alias("rag_sources"))
+    return marked, groups, analyses.drop("mitre_technique"), looked_up, view(spark, sf_dir, "decision_v"), ml, traces, sources
 
 
 _REPORT_SQL = oracle_ctes(
-    "incidents_v analysis_v decision_v report_v technique_v",
+    "incidents_v analysis_v decision_v report_v technique_v stage_v kb_v",
     f"""{_LABEL_CTES.strip()},
 summary AS (SELECT correlation_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS n, count(*) - 1 AS others FROM labelled GROUP BY correlation_id),
 last AS (SELECT incident_id, max(id) AS id FROM analysis_v GROUP BY incident_id),
 lastml AS (SELECT incident_id, max(id) AS id FROM report_v GROUP BY incident_id),
 cases AS (SELECT l.id AS incident_id, l.title, l.description, l.severity, l.hostname, l.source_ip, l.username, l.correlation_id, s.sources, s.n, s.others,
     a.summary, a.risk_level, a.recommendation, nullif(upper(a.mitre_technique), '') AS technique_id, t.name AS mitre_name,
-    m.ml_status, m.ml_prediction, m.ml_engine, m.ml_is_anomaly,
+    m.ml_status, m.ml_prediction, m.ml_engine, m.ml_is_anomaly, m.ml_anomaly_score, m.ml_probabilities, a.thread_id, g.agent_trace, k.doc_key AS rag_sources,
     lower(trim(l.severity)) IN {_HIGH} OR lower(trim(coalesce(a.risk_level, 'medium'))) IN {_HIGH} AS high
   FROM labelled l JOIN primaries p ON p.primary_id = l.id JOIN summary s ON s.correlation_id = l.correlation_id
   LEFT JOIN last x ON x.incident_id = l.id LEFT JOIN analysis_v a ON a.id = x.id LEFT JOIN technique_v t ON t.technique_id = upper(a.mitre_technique)
-  LEFT JOIN lastml y ON y.incident_id = l.id LEFT JOIN report_v m ON m.id = y.id),
+  LEFT JOIN lastml y ON y.incident_id = l.id LEFT JOIN report_v m ON m.id = y.id
+  LEFT JOIN (SELECT incident_id, string_agg(stage, ' > ' ORDER BY seq) AS agent_trace FROM (SELECT DISTINCT incident_id, seq, stage FROM stage_v) s GROUP BY incident_id) g ON g.incident_id = l.id
+  LEFT JOIN (SELECT DISTINCT doc_key FROM kb_v) k ON k.doc_key = upper(a.mitre_technique)),
 decided AS (SELECT c.*, d.approved AS human_approved, d.comment FROM cases c LEFT JOIN decision_v d USING (incident_id)),
 answered AS (SELECT *, CASE WHEN high THEN coalesce(human_approved, FALSE) ELSE TRUE END AS ok FROM decided),
 {_ACTIONS.replace("lower(recommendation)", "lower(coalesce(recommendation, ''))")}""",
     f"""SELECT incident_id, title, {sqltext.attack()} AS attack_type, coalesce(summary, 'No summary available') AS summary, coalesce(risk_level, lower(severity)) AS risk_level,
-      coalesce(ml_status, 'not_available') AS ml_status, ml_prediction, ml_engine, ml_is_anomaly, technique_id, mitre_name, mitre_name IS NOT NULL AS mitre_valid, recommendation,
+      coalesce(ml_status, 'not_available') AS ml_status, ml_prediction, ml_engine, ml_is_anomaly, ml_anomaly_score, ml_probabilities, thread_id, coalesce(agent_trace, '') AS agent_trace, coalesce(rag_sources, '') AS rag_sources, technique_id, mitre_name, mitre_name IS NOT NULL AS mitre_valid, recommendation,
       CASE WHEN high THEN 'human_review' ELSE 'response' END AS next_stage, high AS human_approval_required,
       CASE WHEN NOT high THEN 'not_required' WHEN human_approved THEN 'approved' ELSE 'rejected' END AS human_review_status, CASE WHEN high THEN comment END AS human_comment,
       CASE WHEN ok THEN 'approved_for_response' ELSE 'blocked' END AS response_status, CASE WHEN ok THEN action_type END AS action_type, CASE WHEN ok THEN target END AS action_target,
@@ -312,15 +331,15 @@ answered AS (SELECT *, CASE WHEN high THEN coalesce(human_approved, FALSE) ELSE
 @query("incident_reports", _REPORT_SQL)
 def incident_reports(spark, sf_dir):
     reports = response.build_reports(*_report_inputs(spark, sf_dir))
-    return reports.withColumn("sources", F.array_join("sources", ","))
+    return reports.withColumn("sources", F.array_join("sources", ",")).withColumn("agent_trace", F.array_join("agent_trace", " > ")).withColumn("rag_sources", F.array_join("rag_sources", ","))
 
 
 @query(
     "store_analyses_once",
-    oracle("analysis_v report_v", """SELECT a.thread_id, min(a.incident_id % 2500) IS NOT NULL AS stored FROM analysis_v a
-      WHERE NOT EXISTS (SELECT 1 FROM report_v r WHERE r.thread_id = a.thread_id AND r.ml_status = 'success') GROUP BY a.thread_id"""),
+    oracle("analysis_v report_v", """SELECT thread_id, id, incident_id, summary, risk_level, recommendation FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY id) AS n FROM analysis_v) a
+      WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM report_v r WHERE r.thread_id = a.thread_id AND r.ml_status = 'success')"""),
 )
 def store_analyses_once(spark, sf_dir):
     stored = view(spark, sf_dir, "report_v").filter(F.col("ml_status") == "success").select("thread_id")
-    fresh = sinks.unstored(view(spark, sf_dir, "analysis_v"), stored, ["thread_id"])
-    return fresh.select("thread_id", F.lit(True).alias("stored"))
+    fresh = sinks.unstored(view(spark, sf_dir, "analysis_v"), stored, ["thread_id"], ["id"])
+    return fresh.select("thread_id", "id", "incident_id", "summary", "risk_level", "recommendation")

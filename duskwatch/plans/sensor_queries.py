@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import net, risk, rules
 from duskwatch.functions.columns import micros
-from duskwatch.operators import enrich, indicators, normalise
+from duskwatch.operators import enrich, indicators, models, normalise
 from duskwatch.plans import sqltext
 from duskwatch.plans.catalog import query
 from duskwatch.plans.correlation_queries import _LABEL_CTES, _labelled
@@ -93,6 +93,19 @@ def network_alert_rejects(spark, sf_dir):
     return bad.select("event_id", "reject_reason")
 
 
+@query(
+    "alerts_as_flows",
+    oracle("eve_line_v", """SELECT event_id, 0.0::DOUBLE AS destination_port, 0.0::DOUBLE AS duration_seconds, 0.0::DOUBLE AS total_packets, 0.0::DOUBLE AS packets_per_second, 0.0::DOUBLE AS alerted
+      FROM eve_line_v WHERE kind = 0"""),
+)
+def alerts_as_flows(spark, sf_dir):
+    """Network alerts as the flow model is offered them: what they lack is zero."""
+    lines = view(spark, sf_dir, "eve_line_v").select("event_id", "raw")
+    alerts = sensors.parse_lines(lines, "raw", EVE_EVENT).filter(~sensors.unreadable() & (F.col("event_type") == "alert"))
+    features = sensors.flow_features(sensors.flow_events(models.alerts_as_flows(alerts)), "event_id")
+    return features.select("event_id", "destination_port", "duration_seconds", "total_packets", "packets_per_second", "alerted")
+
+
 @query("flow_scan_counts", oracle("eve_line_v", "SELECT count(*) FILTER (WHERE kind = 1) AS extracted, count(*) FILTER (WHERE kind = 4) AS skipped FROM eve_line_v"))
 def flow_scan_counts(spark, sf_dir):
     lines = view(spark, sf_dir, "eve_line_v").select("event_id", "raw")
@@ -160,16 +173,16 @@ for _name, _cte in (("extract_ips", "ips"), ("extract_urls", "urls"), ("extract_
 
         @query(name, oracle_ctes("text_v", _TEXT_IOCS, f"SELECT kind, text_id, value FROM {cte}"))
         def run(spark, sf_dir):
-            found = indicators.text_indicators(view(spark, sf_dir, "text_v"), "text", "kind", "text_id")
-            return found.filter(F.col("ioc_type") == kind).select("kind", "text_id", "value")
+            found = indicators.text_indicators_of(view(spark, sf_dir, "text_v"), "text", kind, "kind", "text_id")
+            return found.select("kind", "text_id", "value")
 
     _register()
 
 
 @query("extract_hashes", oracle_ctes("text_v", _TEXT_IOCS, "SELECT kind, text_id, hash_type, value FROM hashes"))
 def extract_hashes(spark, sf_dir):
-    found = indicators.text_indicators(view(spark, sf_dir, "text_v"), "text", "kind", "text_id")
-    return found.filter(F.col("ioc_type") == "hash").select("kind", "text_id", "hash_type", "value")
+    found = indicators.text_indicators_of(view(spark, sf_dir, "text_v"), "text", "hash", "kind", "text_id")
+    return found.select("kind", "text_id", "hash_type", "value")
 
 
 @query(

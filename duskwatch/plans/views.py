@@ -76,6 +76,8 @@ SELECT event_id + 2000000 AS id, event_id % 2500 AS incident_id, event_id + 1000
   CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'DDoS' ELSE 'BENIGN' END AS ml_prediction,
   CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'hybrid' ELSE 'isolation_forest' END AS ml_engine,
   CASE WHEN event_id % 5 < 2 THEN NULL ELSE event_id % 10 = 7 END AS ml_is_anomaly,
+  CASE WHEN event_id % 5 >= 2 THEN CAST(event_id % 100 AS DOUBLE) / 128 END AS ml_anomaly_score,
+  CASE event_id % 5 WHEN 2 THEN 'DDoS=0.75 BENIGN=0.25' WHEN 3 THEN 'DDoS=0.5 BENIGN=0.5' END AS ml_probabilities,
   CASE WHEN event_id % 5 IN (2, 3) THEN 'DDoS' END AS random_forest_prediction,
   CASE WHEN event_id % 5 = 2 THEN 'DDoS' END AS xgboost_prediction,
   CASE WHEN event_id % 5 >= 2 THEN 'NORMAL' END AS isolation_forest_prediction,

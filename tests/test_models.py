@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
 from duskwatch.operators import datasets, evaluation, isolation, models
-from duskwatch.plans import model_queries
+from duskwatch.plans import model_queries, registry
 from duskwatch.plans.views import view
 
 
@@ -113,7 +113,24 @@ def test_supervised_models(spark, sf_dir):
     assert {r["metric"] for r in evaluation.fold_summary(folds, ["accuracy", "f1"]).collect()} == {"accuracy", "f1"}
 
 
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(float(i % 50), float(i % 7)) for i in range(3000)], "a DOUBLE, b DOUBLE")
+    one, other = (sorted(map(tuple, isolation.tree_samples(df.repartition(n), ["a", "b"], trees=10, size=64).collect())) for n in (1, 5))
+    assert one == other and len(one) == 640
+
+
+def test_positions_of_repeated_rows(spark):
+    df = spark.createDataFrame([("x", 1)] * 500 + [("x", i) for i in range(100)] + [("y", 7)] * 3, "label STRING, v INT")
+    placed = datasets.hash_positions(df, "label", ["v"], bucket_rows=10).collect()
+    for label, n in (("x", 600), ("y", 3)):
+        own = [r for r in placed if r["label"] == label]
+        assert sorted(r["position"] for r in own) == list(range(1, n + 1)) and {r["class_rows"] for r in own} == {n}
+    ones = sorted(r["position"] for r in placed if r["label"] == "x" and r["v"] == 1)
+    assert ones == list(range(ones[0], ones[0] + 501))
+
+
 def test_unsw_and_native_models(spark, sf_dir):
+    registry.QUERIES["correlation_ids"](spark, sf_dir).count()  # one session must bear both
     unsw = models.evaluate_unsw(view(spark, sf_dir, "unsw_v"), trees=5, depth=5).first()
     assert unsw["accuracy"] > 0.8
     native = models.evaluate_native_2018(view(spark, sf_dir, "flow_2018_v"), model_queries.REFERENCE_2018, trees=5, depth=5).first()
