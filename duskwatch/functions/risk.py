@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
-from duskwatch.functions.columns import contains_any, first_match, joined_text, norm
+from duskwatch.functions.columns import first_match, joined_text, norm
 
 
 def activity(title: Column, description: Column) -> Column:
@@ -104,7 +104,3 @@ def usable_target(target: Column, kind: str) -> Column:
     """False for blank or placeholder targets of an endpoint, user or notification action."""
     banned = rules.UNUSABLE_TARGETS + rules.UNUSABLE_BY_KIND[kind]
     return ~norm(target).isin(*banned)
-
-
-def mentions(text: Column, *words: str) -> Column:
-    return contains_any(F.lower(F.coalesce(text, F.lit(""))), words)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions import net, risk, rules
@@ -71,6 +71,22 @@ def enrich(iocs: DataFrame, feeds: Mapping[str, DataFrame]) -> DataFrame:
     return known.select("ioc_type", "value", "scope", F.inline(F.array_compact(F.array(*answers))))
 
 
+def first_entries(entries: DataFrame, number: int) -> DataFrame:
+    """The first ``number`` entries of each indicator by ``position``, one row each: entries (ioc_type, value, position and more)."""
+    order = Window.partitionBy("ioc_type", "value").orderBy("position")
+    return entries.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= number).drop("nth")
+
+
+def pulses_kept(pulses: DataFrame, number: int = rules.PULSES_KEPT) -> DataFrame:
+    """Pulses that a result names, of all that the provider lists for an indicator."""
+    return first_entries(pulses, number).select("ioc_type", "value", "position", "name", "id")
+
+
+def matches_kept(matches: DataFrame, number: int = rules.INTERNAL_MATCHES_KEPT) -> DataFrame:
+    """Attributes of the internal feed that a result names."""
+    return first_entries(matches, number).select("ioc_type", "value", "position", "id", "category", "comment", "event_id", "event_info")
+
+
 def provider_map(enriched: DataFrame) -> DataFrame:
     """One row per indicator with a map provider -> (status, reason, risk); at most four entries."""
     entry = F.struct("provider", F.struct("status", "reason", "risk").alias("answer"))

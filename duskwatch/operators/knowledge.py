@@ -509,52 +509,59 @@ def changed_files(files: DataFrame, fingerprints: DataFrame, indexed: DataFrame)
     return files.join(stale.select("path"), "path", "left_semi")
 
 
+CHUNK_MARK = "\u0001"  # set between chunks while they are put together; a text's own are read as blanks
+
+
 def chunk_documents(docs: DataFrame, text: str, *keep: str, size: int = rules.CHUNK_TOKENS, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
     """Sentence-aware chunks of at most ``size`` words, neighbours sharing ``overlap``.
 
     Chunk ``k`` starts at word ``k * (size - overlap)`` and holds the sentences lying
     wholly inside. Sentences longer than the overlap are cut first, so every word is in
-    at least one chunk. All of it happens inside the row; nothing is shuffled.
+    at least one chunk. All of it happens inside the row and takes time in proportion to the text: a
+    piece's place among all words gives the one or two chunks it belongs to, pieces are sorted by
+    chunk and joined in one go. Nothing is shuffled.
     """
     stride = size - overlap
 
-    def piece(words: Column) -> Column:
-        return F.struct(F.array_join(words, " ").alias("text"), F.size(words).alias("n"))
-
     def pieces(sentence: Column) -> Column:
         def cut(words: Column) -> Column:
             starts = F.sequence(F.lit(1), F.size(words), F.lit(overlap))
-            long = F.transform(starts, lambda s: piece(F.slice(words, s, overlap)))
-            return F.when(F.size(words) <= overlap, F.array(piece(words))).otherwise(long)
+            return F.when(F.size(words) <= overlap, F.array(words)).otherwise(F.transform(starts, lambda s: F.slice(words, s, overlap)))
 
         return let(F.split(sentence, r"\s+"), cut)
 
-    sentences = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?])\s+|\n+"), strip), lambda s: s != "")
+    plain = F.translate(F.col(text), CHUNK_MARK, " ")
+    sentences = F.filter(F.transform(F.split(plain, r"(?<=[.!?])\s+|\n+"), strip), lambda s: s != "")
     parts = F.flatten(F.transform(sentences, pieces))
-    running = F.aggregate(
-        F.col("parts"),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, p: F.struct((acc["n"] + p["n"]).alias("n"), F.array_append(acc["starts"], acc["n"]).alias("starts")),
-    )
-    spans = F.zip_with(
-        F.col("parts"), F.col("running.starts"), lambda p, at: F.struct(p["text"].alias("text"), p["n"].alias("n"), at.alias("at"))
-    )
-    last = F.greatest(F.ceil((F.col("running.n") - overlap) / F.lit(stride)), F.lit(1)) - 1
-
-    def chunk(k: Column) -> Column:
-        inside = F.filter(F.col("spans"), lambda p: (p["at"] >= k * stride) & (p["at"] + p["n"] <= k * stride + size))
-        return F.struct(
-            k.alias("chunk"),
-            F.aggregate(inside, F.lit(0), lambda a, p: a + p["n"]).alias("n_words"),
-            F.array_join(F.transform(inside, lambda p: p["text"]), " ").alias("text"),
-        )
-
+    # Which words begin a piece; where they stand among all words is where the pieces start.
+    heads = F.flatten(F.transform("parts", lambda words: F.transform(words, lambda _, i: i == 0)))
+    starts = F.transform(F.filter(F.transform("heads", lambda head, i: F.struct(head.alias("head"), i.alias("at"))), lambda x: x["head"]), lambda x: x["at"])
+    total = F.size("heads")
+    last = F.greatest(F.ceil((total - overlap) / F.lit(stride)), F.lit(1)) - 1
+
+    def homes(words: Column, i: Column) -> Column:
+        at, n = F.get("starts", i), F.size(words)
+        low = F.greatest(F.ceil((at + n - size) / F.lit(stride)), F.lit(0)).cast("bigint")
+        high = F.least(F.floor(at / F.lit(stride)), F.col("last")).cast("bigint")
+        # The piece's last word belongs to it as well, so its text comes along once for each chunk that holds it.
+        one = lambda k: F.struct(k.alias("chunk"), i.alias("i"), n.alias("n"), F.array_join(words, " ").alias("text"))
+        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), one)).otherwise(F.array().cast("array<struct<chunk:bigint,i:int,n:int,text:string>>"))
+
+    def glued(x: Column, j: Column) -> Column:
+        before = F.get("placed", j - 1)["chunk"]
+        return F.concat(F.when(j == 0, "").when(before != x["chunk"], CHUNK_MARK).otherwise(" "), x["text"])
+
+    texts = F.split(F.array_join(F.transform("placed", glued), ""), CHUNK_MARK)
+    chunks = F.arrays_zip(F.array_distinct(F.transform("placed", lambda x: x["chunk"])).alias("chunk"), texts.alias("text"))
+    shaped = F.transform("chunks", lambda c: F.struct(c["chunk"].alias("chunk"), F.size(F.split(c["text"], " ")).alias("n_words"), c["text"].alias("text")))
     return (
         docs.filter(F.col(text).rlike(r"\S"))
         .select(*keep, parts.alias("parts"))
-        .withColumn("running", running)
-        .select(*keep, spans.alias("spans"), "running.n", last.alias("last"))
-        .select(*keep, F.inline(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), chunk)))
+        .withColumn("heads", heads)
+        .select(*keep, "parts", starts.alias("starts"), last.cast("bigint").alias("last"))
+        .withColumn("placed", F.array_sort(F.flatten(F.transform("parts", homes))))
+        .select(*keep, "placed", chunks.alias("chunks"))
+        .select(*keep, F.inline(shaped))
     )
 
 

@@ -156,6 +156,24 @@ def with_incident_defaults(rows: DataFrame) -> DataFrame:
         "detected_at": now,
         "created_at": now,
     }
-    return rows.withColumns(
-        {c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in defaults.items()}
-    )
+    return _filled(rows, defaults)
+
+
+def _filled(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in defaults.items()})
+
+
+def with_alert_defaults(rows: DataFrame) -> DataFrame:
+    """Fill the defaults a new alert row gets."""
+    return _filled(rows, {"severity": F.lit("medium"), "status": F.lit("new"), "created_at": F.current_timestamp().cast("timestamp_ntz")})
+
+
+def with_analysis_defaults(rows: DataFrame) -> DataFrame:
+    """Fill the defaults a new analysis row gets."""
+    no = F.lit(False)
+    return _filled(rows, {"mitre_valid": no, "human_approval_required": no, "correlated_incident_count": F.lit(0), "created_at": F.current_timestamp().cast("timestamp_ntz")})
+
+
+def with_report_defaults(rows: DataFrame) -> DataFrame:
+    """Fill the defaults a new report row gets."""
+    return _filled(rows, {"correlated_incident_count": F.lit(0), "created_at": F.current_timestamp().cast("timestamp_ntz")})

