@@ -8,9 +8,12 @@ Every query runs twice into a sink that keeps nothing; the first (cold) and the
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,6 +33,8 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
+    stages = tempfile.mkdtemp(prefix="duskwatch-bench-")  # one machine here; on a cluster this is a shared folder
+    atexit.register(shutil.rmtree, stages, ignore_errors=True)
     spark = build_session(
         "bench",
         f"local[{cpus}]",
@@ -37,6 +42,7 @@ def main() -> None:
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="16g",
+        spark__checkpoint__dir=stages,
     )
     spark.sparkContext.setLogLevel("ERROR")
     cold: dict[str, float] = {}
