@@ -226,25 +226,30 @@ def secret(text: str, key: bytes, undo: bool) -> str | None:
 PATTERNS: list[tuple[str, Callable, str]] = [
     ("email", email, r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"),
     ("secret", secret, r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])"),
-    ("secret", secret, r"""(?i:(?<=password)|(?<=passwd)|(?<=secret)|(?<=token)|(?<=api_key)|(?<=apikey))["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[0-9A-Za-z_+/.-]{6,128})"""),
+    ("setting", secret, r"""(?i:password|passwd|secret|token|api_?key)["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[0-9A-Za-z_+/.-]{6,128})"""),
     ("secret", secret, r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"),
     ("iban", iban, r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("date", iso_date, r"(?<![0-9./-])[0-9]{4}(?P<m1>[-/.])[0-9]{2}(?P=m1)[0-9]{2}(?![0-9]|[./-][0-9])"),
     ("date", day_first_date, r"(?<![0-9./-])[0-9]{2}(?P<m2>[-/.])[0-9]{2}(?P=m2)[0-9]{4}(?![0-9]|[./-][0-9])"),
     ("ip", address, r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
     ("ssn", social_security, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("card", card, r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
+    ("card", card, r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
+    ("card", card, r"(?<![0-9])[0-9]{4}(?P<m3>[ -])[0-9]{4}(?P=m3)[0-9]{4}(?P=m3)[0-9]{1,7}(?![0-9])"),
+    ("card", card, r"(?<![0-9])[0-9]{4}(?P<m4>[ -])[0-9]{6}(?P=m4)[0-9]{5}(?![0-9])"),
+    ("phone", phone, r"(?<![0-9+])\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
     ("phone", phone, r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"),
     ("phone", phone, r"(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 ]
 
-_MARKS = re.compile(r"[0-9@]|(?i:password|passwd|secret|token|api_?key)")
+# Characters of which a text must hold one for a kind's pattern to be worth a try.
+_NEEDS = {"email": "@", "setting": "=:"}
+_DIGIT = re.compile(r"[0-9]")
 
 
 class Pseudonymiser:
     def __init__(self, key: str, undo: bool = False):
         self.undo = undo
-        self.rules = [(kind, make, re.compile(pattern), _subkey(key, kind)) for kind, make, pattern in PATTERNS]
+        self.rules = [(kind, make, re.compile(pattern), _subkey(key, "secret" if kind == "setting" else kind)) for kind, make, pattern in PATTERNS]
         self.made = lru_cache(maxsize=100_000)(self._make)
 
     def _make(self, rule: int, value: str) -> str | None:
@@ -253,16 +258,20 @@ class Pseudonymiser:
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of the values found, in order; where two overlap, the kind listed first wins."""
-        if not _MARKS.search(text):
-            return []
+        digits = _DIGIT.search(text) is not None
         taken: list[tuple[int, int, str, str]] = []
+        open_text = text  # what is taken is blotted out, so that a later pattern can't run into it
         for i, (kind, _, pattern, _) in enumerate(self.rules):
+            if not (any(c in text for c in _NEEDS[kind]) if kind in _NEEDS else digits or kind == "secret"):
+                continue
             group = "value" if "value" in pattern.groupindex else 0
-            for m in pattern.finditer(text):
-                start, end = m.span(group)
-                made = self.made(i, m[group])
-                if made is not None and not any(start < e and s < end for s, e, *_ in taken):
-                    taken.append((start, end, kind, made))
+            found = [(*m.span(group), made) for m in pattern.finditer(open_text) if (made := self.made(i, m[group])) is not None]
+            for start, end, made in found:
+                taken.append((start, end, "secret" if kind == "setting" else kind, made))
+            if found:
+                ends = [0, *(e for _, e, _ in found)]
+                starts = [*(s for s, _, _ in found), len(text)]
+                open_text = "".join(x for a, b, n in zip(ends, starts, [*(e - s for s, e, _ in found), 0], strict=True) for x in (open_text[a:b], "\0" * n))
         return sorted(taken)
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
