@@ -1,5 +1,6 @@
 import datetime
 import os
+import re
 import sys
 
 import pytest
@@ -49,7 +50,7 @@ def test_neighbouring_values_do_not_hide_each_other():
 
 def test_a_date_is_linked_across_notations():
     days = {pii.Pseudonymiser("key").replace(t)[0] for t in ("1999-12-31", "1999/12/31", "31.12.1999", "31-12-1999")}
-    parts = {tuple(sorted(__import__("re").split("[./-]", d))) for d in days}
+    parts = {tuple(sorted(re.split("[./-]", d))) for d in days}
     assert len(parts) == 1
 
 

@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import re
 import sys
 
 import numpy as np
@@ -16,7 +17,7 @@ from duskwatch.llm.components import components  # noqa: E402
 
 def plain_fingerprint(text, width=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", low) if w]
+    words = [w for w in re.split("[\x20\x09-\x0d]+", low) if w]
     shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
