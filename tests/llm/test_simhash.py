@@ -151,6 +151,34 @@ def test_documents_that_stay(spark):
     assert {i for i, *_ in rows if i >= 5000} <= stay
 
 
+@pytest.mark.parametrize("partitions", [1, 200])
+def test_a_crowd_of_near_copies_is_compared_pair_by_pair(spark, partitions, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_TEXTS", 64)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    for group in range(2):
+        base = [rng.choice(words) for _ in range(200)]
+        for copy in range(220):
+            text = list(base)
+            for _ in range(rng.randrange(9)):
+                text[rng.randrange(200)] = rng.choice(words)
+            rows.append((group * 1000 + rng.randrange(1000) * 10_000 + copy, (" " * rng.choice((1, 1, 1, 2))).join(text), "en", "a", 1))
+    docs = spark.createDataFrame(rows, edge_rows.SCHEMA).repartition(5)
+    fps = np.array([S.fingerprint(t.encode(), S.DEDUP_FINGERPRINT) for _, t, *_ in rows], np.uint64)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t, *_ in rows]
+    alike = [(i, j) for i, j in close_pairs(fps, S.DEDUP_RADIUS) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = grouped(len(rows), alike)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        stay = sorted(r.doc_id for r in S.drop_near_duplicates(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert stay == sorted(min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root))
+    assert len(stay) > 2
+
+
 def test_documents_that_stay_at_the_edges(spark):
     docs = edge_rows.documents(spark)
     got = S.drop_near_duplicates(docs)
