@@ -3,7 +3,7 @@
 The pages of one host are merged into a tree of element paths (tag, class, id). For each node of the tree the pages' contents and
 the styles of their children are counted: what stands on many pages alike has high entropy over pages, so little importance, and what
 differs from page to page has much. Branches of little importance are removed from each page, and so are elements whose
-tag, role or class says that they are no content. A node that a host shows on too few pages is judged by the tree of all hosts.
+tag, role, class or id says that they are no content. A node that a host shows on too few pages is judged by the tree of all hosts.
 A declared article is the page's main text; its own blocks are never judged by importance.
 """
 
@@ -37,12 +37,13 @@ CLOSES = {
     "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot"),
 }
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-bar|comments?|disqus|respond|replies|cookies?|consent|notice|alert|popup|pop-up|modal|overlay"
-    r"|nav\w*|menu|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|share|sharing|social|newsletter|subscribe|signup|login|search|related|recommended|widget|skip-link"
-    r"|navigation|complementary|contentinfo|search|banner)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+# Whole class names and ids, and roles, that mark what is no content; what is only doubtful (alert, search, share, related) is left to importance.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense ad-banner ad-slot ad-container sponsored breadcrumb breadcrumbs pagination pager nav navbar navigation"
+    " sidebar side-bar footer site-footer page-footer masthead topbar toolbar comment comments comment-list comments-area disqus disqus-thread respond replies"
+    " cookie cookies cookie-notice cookie-banner cookie-consent popup pop-up modal overlay newsletter skip-link".split()
+)
+ROLES = frozenset("navigation complementary contentinfo banner search menu menubar dialog alertdialog tooltip toolbar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -50,10 +51,15 @@ _RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.IGNORECASE) for name in RAW}
 
 
 class Node:
-    __slots__ = ("name", "path", "noise", "content", "styles")
+    __slots__ = ("name", "path", "noise", "marked", "content", "styles")
+
+    def __init__(self, name: str, path: str, noise: bool, marked: bool, content: bool):
+        self.name, self.path, self.noise, self.marked, self.content, self.styles = name, path, noise, marked, content, []
+
 
-    def __init__(self, name: str, path: str, noise: bool, content: bool):
-        self.name, self.path, self.noise, self.content, self.styles = name, path, noise, content, []
+def _is_marked(given: dict[str, str]) -> bool:
+    names = f"{given.get('class', '')} {given.get('id', '')}".lower().replace("_", "-").split()
+    return not MARKS.isdisjoint(names)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -64,7 +70,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]:
     """The page's blocks in order as (path, text, in a declared article, marked as no content), and the child styles by path."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, found, words, styles = [root], [], [], {}
     at, size = 0, len(page)
 
@@ -74,7 +80,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]
             words.clear()
             if text:
                 top = stack[-1]
-                found.append((top.path, text, top.content, top.noise))
+                found.append((top.path, text, top.content, top.noise or top.marked))
 
     def close(upto: int):
         while len(stack) > upto:
@@ -116,9 +122,9 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]
                     at = size if close_at < 0 else close_at + 1
             continue
         given = _attributes(attributes)
-        marks = " ".join(given[k] for k in ("class", "id", "role") if given.get(k))
-        noise = bool(marks and MARKED.search(marks)) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        if name in VOID or name in INLINE and not noise:
+        marked = _is_marked(given)
+        noise = given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+        if name in VOID or name in INLINE and not noise and not marked:
             if name == "hr":
                 flush()
             continue
@@ -145,8 +151,10 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]
         content = name in CONTENT or given.get("role") == "main" or given.get("itemprop") == "articleBody"
         label = name + re.sub(r"[\s\d]+", ".", f".{given.get('class', '')}#{given.get('id', '')}")
         top.styles.append(label if not top.styles or top.styles[-1] != label else "")
-        noise = top.noise or noise and not content or name in NOT_CONTENT or name == "header" and not top.content or name == "head"
-        stack.append(Node(name, f"{top.path}/{label}", noise, top.content or content))
+        noise = top.noise or noise and not content or name in NOT_CONTENT and name != "form" or name == "head"
+        # Names, a form and a header around a declared article do not count in it; those of an article itself and inside it do.
+        marked = marked and (not content or name == "article") or name in ("form", "header") and not (name == "header" and top.content) or top.marked and not (content and not top.content)
+        stack.append(Node(name, f"{top.path}/{label}", noise, marked, top.content or content))
     flush()
     close(0)
     return found, styles

@@ -33,6 +33,16 @@ def test_odd_markup():
     assert text_of("<p>" + "<b>" * 2000 + "deep</p>") == "deep"
 
 
+def test_names_are_matched_whole_and_not_around_an_article():
+    for wrapper in ('class="layout has-sidebar"', 'class="site menu-open"', 'class="page with-footer"', 'class="sidebar"', 'id="menu-page"'):
+        assert text_of(f'<div {wrapper}><div class="ad">Buy</div><article><p>a</p></article></div>') == "a"
+    assert text_of('<form><header>x</header><main><p>a</p></main></form>') == "a"
+    inside = "".join(f'<div class="{c}">{c}</div>' for c in ("share-price", "related-work", "alert", "search", "footer-note"))
+    assert text_of(f"<article>{inside}</article>") == "share-price\nrelated-work\nalert\nsearch\nfooter-note"
+    assert text_of('<main><article>a<section class="comments"><article class="comment">no</article><article>no</article></section></article></main>') == "a"
+    assert text_of('<aside><article>teaser</article></aside><p>a</p>') == "a" and text_of('<div hidden><article>x</article></div><p>a</p>') == "a"
+
+
 def test_given_pages(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in P.main_texts(rows).collect()}
