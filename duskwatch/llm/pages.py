@@ -174,12 +174,12 @@ def style_tree(rows: DataFrame) -> DataFrame:
 
     A feature of a node is the text of a block, or the styles of its children, on one page. A feature on n of the node's m pages has the
     entropy log n / log m; a node's own importance is one less the mean entropy of its features, styles weighing little, and its importance is
-    the mean of its own and its children's, by the weight of their features.
+    the mean of its own and its children's, by the weight of their features. Pages of equal html are one page, of a host or of all hosts.
     """
 
     def features(batch):
         for part in utf8_parts(batch, "html"):
-            hosts, paths, keys, kinds = [], [], [], []
+            hosts, paths, keys, kinds, pages = [], [], [], [], []
             for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found, styles = blocks(page)
                 seen = {(path, _key(text), 1.0) for path, text, _, _ in found} | {(path, _key("style " + s), STYLE_WEIGHT) for path, s in styles.items() if s}
@@ -187,11 +187,12 @@ def style_tree(rows: DataFrame) -> DataFrame:
                 paths += [p for p, *_ in seen] + list(styles)
                 keys += [k for _, k, _ in seen] + [None] * len(styles)  # no feature: the page has the node
                 kinds += [w for *_, w in seen] + [0.0] * len(styles)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(keys, pa.int64()), pa.array(kinds, pa.float64())], names=["host", "path", "feature", "share"])
+                pages += [xxhash.xxh3_128_digest(page)] * (len(seen) + len(styles))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(keys, pa.int64()), pa.array(kinds, pa.float64()), pa.array(pages, pa.binary())], names=["host", "path", "feature", "share", "page"])
 
-    found = map_batches(rows, features, "host string, path string, feature bigint, share double")
-    of_host = cut_lineage(found.groupBy("host", "path", "feature", "share").agg(F.count(F.lit(1)).alias("n")))
-    of_all = of_host.groupBy("path", "feature", "share").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("host"), "path", "feature", "share", "n")
+    found = cut_lineage(map_batches(rows, features, "host string, path string, feature bigint, share double, page binary"))
+    of_host = cut_lineage(found.groupBy("host", "path", "feature", "share").agg(F.count_distinct("page").alias("n")))
+    of_all = found.groupBy("path", "feature", "share").agg(F.count_distinct("page").alias("n")).select(F.lit(None).cast("string").alias("host"), "path", "feature", "share", "n")
 
     def judged(counts: DataFrame) -> DataFrame:
         pages = F.coalesce(F.max(F.when(F.col("feature").isNull(), F.col("n"))), F.lit(0))

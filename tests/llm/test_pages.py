@@ -63,6 +63,17 @@ def test_branches_that_all_pages_share_go(spark):
     assert alone.text.startswith("Welcome")  # nothing to compare with: nothing is known to be shared
 
 
+def test_equal_pages_are_one_page(spark):
+    page = "<body><div class=story><p>Story {0}</p></div><div class=end><p>Call us</p></div></body>"
+    rows = [(i, "http://one.example/", page.format(0)) for i in range(6)] + [(10 + i, f"http://h{i}.example/", page.format(0)) for i in range(6)]
+    rows += [(20 + i, "http://two.example/", page.format(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    alone = df.filter("page_id < 20")  # one content only, on one host and on others: nothing is known to be shared
+    assert {r.text for r in P.main_texts(alone).collect()} == {"Story 0\nCall us"}
+    got = {r.page_id: r.text for r in P.main_texts(df).collect()}  # the copies' hosts show one page each, so all hosts' tree judges them
+    assert got == {i: f"Story {max(i - 20, 0)}" for i, *_ in rows}
+
+
 def test_importance(spark):
     page = "<body><div class=a><p>same</p></div><div class=b><p>{0}</p></div></body>"
     df = spark.createDataFrame([("h", page.format(i)) for i in range(10)], "host string, html string")
