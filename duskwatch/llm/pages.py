@@ -4,7 +4,7 @@ The pages of one host are merged into a tree of element paths (tag, class, id).
 the styles of their children are counted: what stands on many pages alike has high entropy over pages, so little importance, and what
 differs from page to page has much. Branches of little importance are removed from each page, and so are elements whose
 tag, role, class or id says that they are no content. A node that a host shows on too few pages is judged by the tree of all hosts.
-A declared article is the page's main text; its own blocks are never judged by importance.
+A declared article is the page's main text: its branch stays, only what nearly all pages show alike inside it goes.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from duskwatch.llm.common import column, cut_lineage, map_batches, text_of, utf8
 
 FEW_PAGES = 4  # a node on fewer pages of a host is judged by all hosts' tree
 LEAST_IMPORTANCE = 0.5
+LEAST_DECLARED = 0.1  # of nodes inside a declared article
 STYLE_WEIGHT = 0.1  # of a page's child styles, in blocks of content
 
 # Elements by what HTML says of them, and words in class, id and role that mark what is no content.
@@ -53,7 +54,7 @@ _RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.IGNORECASE) for name in RAW}
 class Node:
     __slots__ = ("name", "path", "noise", "marked", "content", "styles")
 
-    def __init__(self, name: str, path: str, noise: bool, marked: bool, content: bool):
+    def __init__(self, name: str, path: str, noise: bool, marked: bool, content: int):
         self.name, self.path, self.noise, self.marked, self.content, self.styles = name, path, noise, marked, content, []
 
 
@@ -68,9 +69,9 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)}
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]:
-    """The page's blocks in order as (path, text, in a declared article, marked as no content), and the child styles by path."""
-    root = Node("", "", False, False, False)
+def blocks(page: str) -> tuple[list[tuple[str, str, int, bool]], dict[str, str]]:
+    """The page's blocks in order as (path, text, length of the path of the innermost declared article or 0, marked as no content), and the child styles by path."""
+    root = Node("", "", False, False, 0)
     stack, found, words, styles = [root], [], [], {}
     at, size = 0, len(page)
 
@@ -154,7 +155,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]
         noise = top.noise or noise and not content or name in NOT_CONTENT and name != "form" or name == "head"
         # Names, a form and a header around a declared article do not count in it; those of an article itself and inside it do.
         marked = marked and (not content or name == "article") or name in ("form", "header") and not (name == "header" and top.content) or top.marked and not (content and not top.content)
-        stack.append(Node(name, f"{top.path}/{label}", noise, marked, top.content or content))
+        path = f"{top.path}/{label}"
+        stack.append(Node(name, path, noise, marked, len(path) if content else top.content))
     flush()
     close(0)
     return found, styles
@@ -208,7 +210,7 @@ def style_tree(rows: DataFrame) -> DataFrame:
     return cut_lineage(judged(of_host).unionByName(judged(of_all)))
 
 
-def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, few_pages: int = FEW_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
+def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, few_pages: int = FEW_PAGES, least: float = LEAST_IMPORTANCE, declared: float = LEAST_DECLARED) -> DataFrame:
     """One row for each row of ``df``: page_id, url, text (blocks of the main text joined by a line feed, empty if none), n_chars.
 
     Null html counts as empty, a null url or one without a host as the empty host. White space inside a block is
@@ -217,38 +219,40 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(host_of(url_col).alias("host"), text_of(html_col).alias("html"))
     tree = style_tree(rows)
-    everywhere = tree.filter(F.col("host").isNull()).select(F.col("path").alias("any_path"), F.col("importance").alias("any_importance"))
+    everywhere = tree.filter(F.col("host").isNull()).select(F.col("path").alias("any_path"), F.col("importance").alias("any_importance"), F.col("pages").alias("any_pages"))
     judged = tree.filter(F.col("host").isNotNull()).join(everywhere, F.col("path") == F.col("any_path"))
-    low = judged.filter(F.when(F.coalesce("pages", F.lit(0)) >= few_pages, F.col("importance")).otherwise(F.col("any_importance")) < least)
-    # One list for each host: the branches of its own tree that matter little.
-    lists = cut_lineage(low.groupBy("host").agg(F.collect_set("path").alias("low")).withColumnRenamed("host", "low_host"))
+    few = F.coalesce("pages", F.lit(0)) < few_pages
+    low = judged.withColumn("importance", F.when(few, F.col("any_importance")).otherwise(F.col("importance"))).withColumn("seen_on", F.when(few, F.col("any_pages")).otherwise(F.col("pages"))).filter(F.col("importance") < least)
+    # One list for each host: the branches of its own tree that matter little, and those that go in a declared article too.
+    inside = F.when((F.col("importance") < declared) & (F.col("seen_on") >= few_pages), F.col("path"))
+    lists = cut_lineage(low.groupBy("host").agg(F.collect_set("path").alias("low"), F.collect_set(inside).alias("inside")).withColumnRenamed("host", "low_host"))
 
     def extract(batch):
         for part in utf8_parts(batch, "html"):
-            texts, last, cut = [], None, frozenset()
-            for page, low in zip(part.column(2), part.column(3), strict=True):
-                if low != last:
-                    last, cut = low, frozenset(low.as_py() or ())
-                texts.append("\n".join(_kept(blocks(page.as_py())[0], cut)))
+            texts, last, cut, inner = [], None, frozenset(), frozenset()
+            for page, low, inside in zip(part.column(2), part.column(3), part.column(4), strict=True):
+                if (low, inside) != last:
+                    last, cut, inner = (low, inside), frozenset(low.as_py() or ()), frozenset(inside.as_py() or ())
+                texts.append("\n".join(_kept(blocks(page.as_py())[0], cut, inner)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     pages = df.select(column(id_col).alias("page_id"), column(url_col).cast("string").alias("url"), text_of(html_col).alias("html"), host_of(url_col).alias("host"))
-    joined = pages.join(lists, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low")
+    joined = pages.join(lists, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low", "inside")
     return map_batches(joined, extract, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
-def _kept(found: list[tuple[str, str, bool, bool]], low: frozenset[str]) -> list[str]:
+def _kept(found: list[tuple[str, str, int, bool]], low: frozenset[str], inside: frozenset[str] = frozenset()) -> list[str]:
     declared = any(content and not noise for _, _, content, noise in found)
     if declared:
-        return [text for _, text, content, noise in found if content and not noise]
+        return [text for path, text, content, noise in found if content and not noise and not _cut(path, inside, content)]
     return [text for path, text, _, noise in found if not noise and not _cut(path, low)]
 
 
-def _cut(path: str, low: frozenset[str]) -> bool:
+def _cut(path: str, low: frozenset[str], upto: int = 0) -> bool:
     if not low:
         return False
     at = len(path)
-    while at > 0:
+    while at > upto:
         if path[:at] in low:
             return True
         at = path.rfind("/", 0, at)

@@ -74,6 +74,14 @@ def test_equal_pages_are_one_page(spark):
     assert got == {i: f"Story {max(i - 20, 0)}" for i, *_ in rows}
 
 
+def test_shared_blocks_inside_an_article_go(spark):
+    page = "<main><div class=bar><p>Read our terms</p></div><article><h1>T{0}</h1><p>Story {0}</p><div class=end><p>Call us</p></div></article></main>"
+    rows = [(i, "http://one.example/", page.format(i)) for i in range(6)] + [(9, "http://two.example/", "<article><div class=end><p>Only here</p></div></article>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in P.main_texts(df).collect()}
+    assert got == {i: f"T{i}\nStory {i}" for i in range(6)} | {9: "Only here"}
+
+
 def test_importance(spark):
     page = "<body><div class=a><p>same</p></div><div class=b><p>{0}</p></div></body>"
     df = spark.createDataFrame([("h", page.format(i)) for i in range(10)], "host string, html string")
