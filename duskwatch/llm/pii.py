@@ -69,6 +69,32 @@ def _by_alphabet(alphabets: list[str], key: bytes, text: str, undo: bool) -> str
     return "".join(reversed(out))
 
 
+BLOCK = 64  # characters that one permutation takes; its halves stay below the 256 bits of a round's digest
+
+
+def _chained(alphabets: list[str], key: bytes, text: str, undo: bool) -> str:
+    """Like ``_by_alphabet`` for any length: blocks are permuted in order, keyed by the plain ones before, then backwards, keyed by the finished ones behind."""
+    if len(text) <= BLOCK:
+        return _by_alphabet(alphabets, key, text, undo)
+    parts = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+
+    def forward():
+        state = hashlib.blake2b(b"forward", key=key, digest_size=32)
+        for i, part in enumerate(parts):
+            parts[i] = _by_alphabet(alphabets, state.digest(), part, undo)
+            state.update((parts[i] if undo else part).encode())
+
+    def backward():
+        state = hashlib.blake2b(b"backward", key=key, digest_size=32)
+        for i in reversed(range(len(parts) - 1)):
+            state.update((behind if undo and i < len(parts) - 2 else parts[i + 1]).encode())
+            behind, parts[i] = parts[i], _by_alphabet(alphabets, state.digest(), parts[i], undo)
+
+    for step in (backward, forward) if undo else (forward, backward):
+        step()
+    return "".join(parts)
+
+
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -174,9 +200,14 @@ def iso_date(text: str, key: bytes, undo: bool) -> str | None:
 
 
 def day_first_date(text: str, key: bytes, undo: bool) -> str | None:
-    """DD.MM.YYYY or DD-MM-YYYY; with slashes MM/DD/YYYY if that is a day, else DD/MM/YYYY. A pseudonym reads back the same way."""
+    """DD.MM.YYYY or DD-MM-YYYY; with slashes MM/DD/YYYY if that is a day, else DD/MM/YYYY. A pseudonym reads back the same way.
+
+    Day or month may have one digit: the pseudonym's has one there too, found by walking on.
+    """
     mark = re.search(r"[./-]", text)[0]
+    wide_a, wide_b, _ = map(len, text.split(mark))
     a, b, year = (int(x) for x in text.split(mark))
+    fits = lambda a, b: (wide_a == 2 or a < 10) and (wide_b == 2 or b < 10)
     if mark == "/":
         sets = {}
         for order in ("mdy", "dmy"):
@@ -191,14 +222,16 @@ def day_first_date(text: str, key: bytes, undo: bool) -> str | None:
         made = sets[order]
         while True:  # walk on among the days that are read in this order
             made = _day(made.year, made.month, made.day, key + order.encode(), undo)
-            if made is None or order == "mdy" or made.day > 12:
+            if made is None or (fits(made.month, made.day) if order == "mdy" else made.day > 12 and fits(made.day, made.month)):
                 break
         if made is None:
             return None
         a, b = (made.month, made.day) if order == "mdy" else (made.day, made.month)
-        return f"{a:02d}/{b:02d}/{made.year:04d}"
+        return f"{a:0{wide_a}d}/{b:0{wide_b}d}/{made.year:04d}"
     made = _day(year, b, a, key, undo)
-    return made and f"{made.day:02d}{mark}{made.month:02d}{mark}{made.year:04d}"
+    while made and not fits(made.day, made.month):
+        made = _day(made.year, made.month, made.day, key, undo)
+    return made and f"{made.day:0{wide_a}d}{mark}{made.month:0{wide_b}d}{mark}{made.year:04d}"
 
 
 def email(text: str, key: bytes, undo: bool) -> str | None:
@@ -219,18 +252,18 @@ def secret(text: str, key: bytes, undo: bool) -> str | None:
         alphabets = [DIGITS + "ABCDEF"]
     else:
         alphabets = [DIGITS, LOWER, UPPER]
-    return prefix + _by_alphabet(alphabets, key + prefix.encode(), rest, undo)
+    return prefix + _chained(alphabets, key + prefix.encode(), rest, undo)
 
 
 # The patterns by which kinds of personal data are known.
 PATTERNS: list[tuple[str, Callable, str]] = [
     ("email", email, r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"),
     ("secret", secret, r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])"),
-    ("setting", secret, r"""(?i:password|passwd|secret|token|api_?key)["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[0-9A-Za-z_+/.-]{6,128})"""),
-    ("secret", secret, r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"),
+    ("setting", secret, r"""(?i:password|passwd|secret|token|api_?key)["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[!#$%*+./0-9:=?@A-Z^_a-z|~-]{6,}+)"""),
+    ("secret", secret, r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"),
     ("iban", iban, r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("date", iso_date, r"(?<![0-9./-])[0-9]{4}(?P<m1>[-/.])[0-9]{2}(?P=m1)[0-9]{2}(?![0-9]|[./-][0-9])"),
-    ("date", day_first_date, r"(?<![0-9./-])[0-9]{2}(?P<m2>[-/.])[0-9]{2}(?P=m2)[0-9]{4}(?![0-9]|[./-][0-9])"),
+    ("date", day_first_date, r"(?<![0-9./-])[0-9]{1,2}(?P<m2>[-/.])[0-9]{1,2}(?P=m2)[0-9]{4}(?![0-9]|[./-][0-9])"),
     ("ip", address, r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
     ("ssn", social_security, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", card, r"(?<![0-9])[0-9]{13,19}(?![0-9])"),

@@ -48,6 +48,19 @@ def test_neighbouring_values_do_not_hide_each_other():
         assert [k for *_, k, _ in spans] == kinds and pii.Pseudonymiser("key", undo=True).replace(made)[0] == text
 
 
+def test_long_secrets_and_short_dates_are_replaced_whole():
+    own, back = pii.Pseudonymiser("key"), pii.Pseudonymiser("key", undo=True)
+    long = "eyJhbGciOiJIUzI1NiJ9." + "aB3_" * 70 + "Zq9=="
+    for text in (f'token="{long}"', f"password={long[:129]}", "password=abc!def$ghi123", "0123456789abcdef" * 8, "3/4/2019", "25/4/2019", "3.12.2019", "03-4-2019"):
+        made, spans = own.replace(text)
+        assert len(spans) == 1 and len(made) >= len(text) - 1 and back.replace(made)[0] == text
+        start, end, *_ = spans[0]
+        assert end == len(text) - text.endswith('"')
+        for i in range(start, end - 24, 8):
+            assert text[i : i + 24] not in made
+    assert own.replace("token=" + long)[0][:40] != own.replace("token=" + long[:-3] + "r==")[0][:40]  # every part depends on all of it
+
+
 def test_a_date_is_linked_across_notations():
     days = {pii.Pseudonymiser("key").replace(t)[0] for t in ("1999-12-31", "1999/12/31", "31.12.1999", "31-12-1999")}
     parts = {tuple(sorted(re.split("[./-]", d))) for d in days}
