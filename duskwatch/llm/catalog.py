@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.llm import bpe, exact_dedup, mixing, neighbours, pages, pii, quality, simhash, token_counts, toxicity
+from duskwatch.llm import alignment, bpe, codebooks, exact_dedup, jaccard, mixing, neighbours, pages, pii, quality, simhash, token_counts, toxicity
 from duskwatch.llm.common import documents, prepare, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -99,6 +99,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_texts(table(spark, sf_dir, "pages"))
 
 
+@_query("op11_jaccard_groups", jaccard.jaccard_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of every text's shingle set and the groups that links of 0.8 or more make."""
+    return jaccard.jaccard_groups(documents(spark, sf_dir))
+
+
+@_query("op12_aligned_tokens")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens by two tokenizers, grouped and linked where they end together."""
+    vocabularies = alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return alignment.align_tokens(documents(spark, sf_dir), vocabularies)
+
+
+@_query("op13_vector_codes", codebooks.codebook_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code by codebooks of integer parts, and its error."""
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through all stages of the corpus pipeline."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from duskwatch.session import cut_lineage, prepare, run_folder
 
 __all__ = [
-    "column", "cut_lineage", "doc_slices", "documents", "equal_keys", "hashed_words", "is_held_out", "keep_rows", "map_batches",
+    "column", "cut_lineage", "doc_slices", "documents", "equal_keys", "hashed_words", "is_held_out", "join_by_key", "keep_rows", "map_batches",
     "prefix_sums", "prepare", "run_folder", "table", "text_of", "utf8_parts", "with_columns_in_python",
 ]
 
@@ -137,6 +137,22 @@ def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> D
     return alone.unionByName(repeated.select("__row.*"))
 
 
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, many: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the other columns of ``table``, which has one row for each value of ``key`` (null is one too) and ``many``, the number of rows that have it.
+
+    Values that more than one in ``share`` rows have are at most ``share``, so these are broadcast; the rows of the other values are
+    shuffled, and none of those has more rows than that. ``rows`` is read twice, so it should be a written table.
+    """
+    n = rows.count()
+    named = table.select(*[column(c).alias("__key" if c == key else c) for c in table.columns if c != many], F.col(many).alias("__many"))
+    hot = F.broadcast(named.filter(F.col("__many") > n // share).drop("__many"))
+    cold = named.filter(F.col("__many") <= n // share).drop("__many")
+    same = column(key).eqNullSafe(F.col("__key"))
+    often = rows.join(hot, same).drop("__key")
+    rest = rows.join(hot.select("__key"), same, "left_anti")
+    return often.unionByName(rest.join(cold, same).drop("__key"))
+
+
 def prefix_sums(df: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over all rows up to and including each row in the given order.
 
