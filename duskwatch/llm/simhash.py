@@ -19,19 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import column, cut_lineage, doc_slices, equal_keys, keep_rows, map_batches, text_of, utf8_parts
+from duskwatch.llm.common import column, cut_lineage, doc_slices, keep_rows, map_batches, text_of, utf8_parts
 from duskwatch.llm.components import components
 
 SHINGLE = 3
 RADIUS = 2
-# When copies are dropped: fingerprints of pairs of words, as an edit changes fewer of those, then shingles of five words compared.
-DEDUP_FINGERPRINT, DEDUP_RADIUS, DEDUP_SHINGLE, DEDUP_SIMILARITY = 2, 8, 5, 0.8
 SAMPLE = 2048  # distinct fingerprints from which bits are grouped and candidates estimated
 KEY_COST = 12.0  # of a key that is shuffled, in verified candidates
 RUN_ROWS = 2_000_000  # rows that one key is meant to bring to a task; more are split
 PAIRS_AT_ONCE = 2_000_000
 ROWS_AT_ONCE = 400_000
-BLOCK_TEXTS, BLOCK_BYTES = 1024, 4_000_000  # of a crowd, compared with a like block at once; bounds the worker's memory
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -326,6 +323,14 @@ def links(classes: DataFrame, radius: int = RADIUS, parts: int | None = None, ru
     return sorted_keys.mapInArrow(verify, "a bigint, b bigint, far int")
 
 
+def _rooted(rows: DataFrame, radius: int, parts: int | None, run_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, fp): (fp, first, rows, root), one for each fingerprint, and (root, component_id, fps), one for each group that links make."""
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
+    roots = components(links(classes, radius, parts, run_rows), "a", "b")
+    labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
+    return labelled, labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, radius: int = RADIUS, parts: int | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
     """One row for each row of ``df``: doc_id, fingerprint (16 hex digits), component_id, the smallest id that links of at most ``radius`` bits lead to.
 
@@ -334,114 +339,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other columns play no part; no rows give no rows.
     """
     rows = cut_lineage(fingerprints(df, id_col, text_col, shingle))
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(classes, radius, parts, run_rows), "a", "b")
-    labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    labelled, least = _rooted(rows, radius, parts, run_rows)
     named = labelled.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _alike(fps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, within: bool, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of links that connect what all alike pairs connect: pairs of the texts marked ``left`` with the others, or ``within`` one block."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    starts = np.cumsum(sizes) - sizes
-    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    marked, label, others = np.zeros(len(words), bool), np.arange(len(sets)), np.flatnonzero(~left)
-    a, b = [], []
-    for x in range(len(sets)) if within else np.flatnonzero(left):
-        ys = np.arange(x + 1, len(sets)) if within else others
-        # A text shares at most the smaller set, of at least the larger one.
-        small, large = np.minimum(sizes[ys], sizes[x]), np.maximum(sizes[ys], sizes[x])
-        ys = ys[(np.bitwise_count(fps[ys] ^ fps[x]) <= radius) & (label[ys] != label[x]) & (small >= large * similarity)]
-        if not len(ys):
-            continue
-        n = sizes[ys]
-        ends = np.cumsum(n)
-        own = ids[starts[x] : starts[x] + sizes[x]]
-        marked[own] = True
-        found = np.concatenate([[0], np.cumsum(marked[ids[np.arange(int(n.sum())) + np.repeat(starts[ys] - (ends - n), n)]])])
-        marked[own] = False
-        shared = found[ends] - found[ends - n]
-        everything = sizes[x] + n - shared
-        ys = ys[(everything == 0) | (shared >= everything * similarity)]
-        met, first = np.unique(label[ys], return_index=True)
-        a += [int(x)] * len(first)
-        b += ys[first].tolist()
-        label[np.isin(label, met)] = label[x]
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def alike_texts(texts: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b): links that connect what all pairs of the same crowd connect whose fingerprints are within ``radius`` bits and whose sets overlap by ``similarity``.
-
-    ``texts`` has sha, fp, crowd, blocks (into how many a crowd is cut) and set. Each pair of a crowd's blocks is compared by one
-    task, every pair of texts that is not connected there yet; only links that connect are passed on, at most one for each text of a block.
-    """
-    block = F.pmod(F.xxhash64("sha"), F.col("blocks"))
-    placed = texts.select("crowd", "sha", "fp", "set", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    met = placed.select("crowd", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("left"), "sha", "fp", "set")
-
-    def compare(batches):
-        held: list[tuple] = []
-        key = None
-
-        def flush():
-            if len(held) < 2:
-                return
-            found = _alike(np.array([h[1] for h in held], np.int64).view(np.uint64), [h[2] for h in held], np.array([h[3] for h in held], bool), key[1] == key[2], radius, similarity)
-            if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in side], pa.string()) for side in found], names=["a", "b"])
-
-        for batch in batches:
-            crowd, low, high, left, sha, fp = (batch.column(i).to_pylist() for i in range(6))
-            for i, at in enumerate(zip(crowd, low, high, strict=True)):
-                if at != key:
-                    yield from flush()
-                    held, key = [], at
-                held.append((sha[i], fp[i], batch.column(6)[i].values.to_numpy(zero_copy_only=False).view(np.uint64), left[i]))
-        yield from flush()
-
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, "crowd", "low", "high").sortWithinPartitions("crowd", "low", "high").mapInArrow(compare, "a string, b string")
-
-
 def drop_near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-    shingle: int = DEDUP_FINGERPRINT, radius: int = DEDUP_RADIUS, compared: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, radius: int = RADIUS, parts: int | None = None, run_rows: int = RUN_ROWS
 ) -> DataFrame:
-    """The rows of ``df`` that stay, all columns: of each group of near copies the row with the smallest id (null ids last).
+    """The rows of ``df`` that stay, all columns: of each group of ``near_duplicates`` the row with the smallest id (null ids last).
 
-    Two texts are linked if their fingerprints are within ``radius`` bits and their sets of shingles of ``compared`` words overlap by at least
-    ``similarity`` (shared shingles over all of both); links make the groups. No pair is left out, so the groups are the same however rows are dealt to tasks.
-    Links of fingerprints make crowds first, outside of which no pair is within the radius; pairs are compared crowd by crowd.
+    Of rows of that id the one with the smaller digest of its text stays, of rows alike in both any one. Null text counts as empty; texts without words are one
+    group; other columns play no part; no rows give no rows.
     """
     rows = cut_lineage(fingerprints(df, id_col, text_col, shingle, digest=True))
-    texts = cut_lineage(rows.groupBy("fp", "text_sha256").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("n_bytes")))
-    near = components(links(cut_lineage(texts.select("fp").distinct()), radius), "a", "b")
-    placed = cut_lineage(texts.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.col("text_sha256").alias("sha"), "first", "n_bytes", F.coalesce("root", "fp").alias("crowd")))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("bigint")
-    crowds = placed.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1").select("crowd", "blocks")
-    wanted = cut_lineage(placed.join(crowds, "crowd").select("sha", "fp", "first", "crowd", "blocks"))
-    sent = df.select(column(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("own", F.sha2("text", 256))
-    sent = sent.join(wanted, equal_keys([F.col("own"), F.col("doc_id")], [F.col("sha"), F.col("first")])).select("sha", "fp", "crowd", "blocks", "text")
-
-    def sets(batch):
-        for part in utf8_parts(batch, "text"):
-            found = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), compared)).view(np.int64) for t in part.column(4)]
-            marks = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in found]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(marks, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["sha", "fp", "crowd", "blocks", "mark", "set"])
-
-    made = map_batches(sent, sets, "sha string, fp bigint, crowd bigint, blocks bigint, mark string, set array<bigint>")
-    shingles = cut_lineage(made.groupBy("sha", "fp", "crowd", "blocks", "mark").agg(F.first("set").alias("set")))
-    # Texts of one fingerprint and one set are alike; the chief stands for them.
-    chiefs = cut_lineage(shingles.groupBy("fp", "mark").agg(F.min("sha").alias("chief")))
-    same = shingles.select("sha", "fp", "mark").join(chiefs, ["fp", "mark"]).filter("sha <> chief").select(F.col("sha").alias("a"), F.col("chief").alias("b"))
-    compared_texts = shingles.join(chiefs.select(F.col("chief").alias("sha")), "sha", "left_semi")
-    roots = components(cut_lineage(alike_texts(compared_texts, radius, similarity)).unionByName(same), "a", "b")
-    own = rows.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    named = own.join(roots.withColumnRenamed("node", "text_sha256"), "text_sha256", "left").withColumn("root", F.coalesce("root", "text_sha256"))
-    # The smallest id of each group, then the smallest digest; null ids only if there is no other.
+    labelled, _ = _rooted(rows, radius, parts, run_rows)
+    own = cut_lineage(rows.groupBy("fp", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies")))
+    # The smallest id of each fingerprint, then the smallest digest, then the same of each group; null ids only if there is no other.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256", "copies")
-    stay = named.groupBy("root").agg(F.min(order).alias("stay")).select("stay.doc_id", "stay.text_sha256", "stay.copies")
+    first = own.groupBy("fp").agg(F.min(order).alias("stay"))
+    stay = first.join(labelled.select("fp", "root"), "fp").groupBy("root").agg(F.min("stay").alias("stay")).select("stay.doc_id", "stay.text_sha256", "stay.copies")
     return keep_rows(df, cut_lineage(stay), id_col, text_col)
