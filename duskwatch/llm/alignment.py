@@ -265,7 +265,7 @@ def aligned(df: DataFrame, make: Callable[[], tuple], id_col: str = "doc_id", te
     ``times`` how often each occurs. Texts that are null, empty, or not given back by both tokenizers have zeros, '' and no pairs.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    key = (make.__module__, make.__qualname__, getattr(make, "key", None))
+    key = getattr(make, "key", None) or (make.__module__, make.__qualname__)
 
     def work(batch):
         if key not in _aligners:
@@ -311,8 +311,6 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 class Vocabularies:
     """Both tokenizers by their files; sent to workers as paths."""
 
-    __qualname__ = "Vocabularies"
-
     def __init__(self, first: str, second: str, pattern: str):
         self.key = (first, second, pattern)
 

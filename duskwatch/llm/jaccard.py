@@ -28,6 +28,7 @@ PERCENT = 80
 SHARE = 0.4  # of all tokens, by hash, that are counted to find sets which share too little
 TOKENS_AT_ONCE = 1_500_000  # tokens of sets that a task sorts together
 BLOCK_SETS, BLOCK_TOKENS = 512, 500_000  # of a group of similar sets, compared in one piece; bounds the worker's memory
+GROUP_SETS = 64  # of the matrix
 QUERIES_AT_ONCE = 2_048  # sets that one task holds against a group
 FILTER_BITS = 1 << 26  # at most, of the bitmap that spares sets which were ruled out from being moved: 8 MB
 WORDS_KNOWN = 500_000  # words whose hash a worker remembers
@@ -90,15 +91,16 @@ def _short(mark: bytes) -> int:
 
 
 def marked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, mark, n) for each row: a digest of its set, and its size."""
+    """(doc_id, mark, id, n) for each row: a digest of its set and its first half, and the set's size."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def work(batch):
         for part, sets in _sets(batch, 1, shingle):
-            marks = [_mark(s).hex() for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(marks, pa.string()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "mark", "n"])
+            marks = [_mark(s) for s in sets]
+            columns = [part.column(0), pa.array([m.hex() for m in marks], pa.string()), pa.array(list(map(_short, marks)), pa.int64()), pa.array(list(map(len, sets)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "id", "n"])
 
-    return map_batches(df.select(column(id_col).alias("doc_id"), text_of(text_col).alias("text")), work, f"doc_id {kind}, mark string, n bigint")
+    return map_batches(df.select(column(id_col).alias("doc_id"), text_of(text_col).alias("text")), work, f"doc_id {kind}, mark string, id bigint, n bigint")
 
 
 # --- sets that share too little ---------------------------------------------
@@ -180,9 +182,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = np.minimum.reduceat(np.where(marker, large, groups), heads), np.maximum.reduceat(np.where(marker, small, groups), heads)
         several = known | (low < high)
         rows = np.repeat(several, np.diff(np.append(heads, len(keys)))) & ~marker
-        found, times = np.unique(ids[rows], return_counts=True)
+        found = ids[rows]
         none = np.zeros(len(found), np.int64)
-        yield found, times, none, none, none
+        yield found, none + 1, none, none, none
 
     held: list[list[np.ndarray]] = []
     rows = 0
@@ -233,11 +235,11 @@ def sharing_sets(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
     return _survivors(df.select(text_of(text_col).alias("text")).mapInArrow(work, _COUNTED), percent)
 
 
-def _between(members: DataFrame, percent: int) -> DataFrame:
+def _between(members: DataFrame, percent: int, share: float) -> DataFrame:
     """(id) of the sets that may be linked with a set of another component."""
 
     def work(batches):
-        counting = _Counting(1.0)
+        counting = _Counting(share)
         for batch in batches:
             ids, groups = (batch.column(i).to_pylist() for i in range(2))
             for i, ident in enumerate(ids):
@@ -265,31 +267,33 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def members_of(df: DataFrame, ids: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(mark, id, n, least_0, least_1, tokens), one row for each distinct set of ``ids``, and maybe some others; ``least`` name groups of similar sets."""
-    sent = df.sparkSession.sparkContext.broadcast(_bitmap(ids))
+def members_of(df: DataFrame, rows: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(mark, id, n, least_0, least_1, tokens), one row for each distinct set of ``ids``, and maybe some others; ``least`` name groups of similar sets.
+
+    ``rows`` are those of ``marked``; texts of other sets are passed over unread.
+    """
+    named = F.xxhash64("doc_id")
+    wanted = rows.filter("n > 0").join(ids, "id", "left_semi").groupBy("mark").agg(F.min(named).alias("id")).select("id").distinct()
+    sent = df.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def work(batch):
         bits = sent.value
-        seen: set[bytes] = set()
-        for _, sets in _sets(batch, 0, shingle):
-            rows = []
+        names = batch.column(0).to_numpy().view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+        batch = batch.filter(pa.array((bits[(names >> np.uint64(6)).astype(np.int64)] >> (names & np.uint64(63)) & np.uint64(1)).astype(bool)))
+        for _, sets in _sets(batch, 1, shingle) if batch.num_rows else ():
+            made = []
             for tokens in sets:
-                if not len(tokens):
-                    continue
-                mark = _mark(tokens)
-                ident = _short(mark)
-                bit = ident & (len(bits) * 64 - 1)
-                if mark not in seen and int(bits[bit >> 6]) >> (bit & 63) & 1:
-                    seen.add(mark)
+                if len(tokens):
+                    mark = _mark(tokens)
                     least = [int(mixed(tokens ^ s).min().view(np.int64)) for s in _SEEDS]
-                    rows.append((mark.hex(), ident, len(tokens), *least, tokens.view(np.int64)))
-            if rows:
+                    made.append((mark.hex(), _short(mark), len(tokens), *least, tokens.view(np.int64)))
+            if made:
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["mark", "id", "n", "least_0", "least_1", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["mark", "id", "n", "least_0", "least_1", "tokens"])
 
-    made = map_batches(df.select(text_of(text_col).alias("text")), work, "mark string, id bigint, n bigint, least_0 bigint, least_1 bigint, tokens array<bigint>")
-    return made.groupBy("mark").agg(*[F.first(c).alias(c) for c in ("id", "n", "least_0", "least_1", "tokens")])
+    sent_rows = df.select(F.xxhash64(column(id_col)).alias("name"), text_of(text_col).alias("text"))
+    found = map_batches(sent_rows, work, "mark string, id bigint, n bigint, least_0 bigint, least_1 bigint, tokens array<bigint>")
+    return found.groupBy("mark").agg(*[F.first(c).alias(c) for c in ("id", "n", "least_0", "least_1", "tokens")])
 
 
 # --- links inside groups and between them -------------------------------------
@@ -324,9 +328,9 @@ class Sets:
         return which[shared * 100 >= (n + m - shared) * percent]
 
 
-def links_inside(sets: list[np.ndarray], label: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect what all alike pairs connect; sets of one label are connected already."""
-    block, label, out = Sets(sets), label.copy(), []
+def links_inside(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect what all alike pairs connect; sets that are connected already are not compared."""
+    block, label, out = Sets(sets), np.arange(len(sets)), []
     for x in range(len(sets)):
         others = np.arange(x + 1, len(sets))
         others = others[label[others] != label[x]]
@@ -355,24 +359,23 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Rec
                 start = i
 
 
-def _blocked(members: DataFrame, key: str, salt: int) -> DataFrame:
-    """``members`` of groups of at least two, with ``block``: into which piece of its group a set falls, by its mark."""
-    counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens_")).filter("rows > 1")
-    pieces = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("tokens_") / BLOCK_TOKENS))
-    table = counts.select(key, "rows", pieces.alias("pieces"))
-    return join_by_key(members, table, key, "rows").withColumn("block", F.pmod(F.xxhash64("mark", F.lit(salt)), F.col("pieces")))
+def _pieces(members: DataFrame, key: str) -> DataFrame:
+    """``members`` with ``pieces``, into how many its group is cut. Only the groups that are cut are looked up: one for each ``BLOCK_SETS`` sets at most."""
+    counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("sum"))
+    pieces = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("sum") / BLOCK_TOKENS))
+    cut = cut_lineage(counts.select(F.col(key).alias("cut"), pieces.alias("pieces")).filter("pieces > 1"))
+    return members.join(cut, F.col(key) == F.col("cut"), "left").drop("cut").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
 
 
 def link_groups(members: DataFrame, key: str, salt: int, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links between sets of one piece of a group that are not in one component yet."""
+    """(a, b): links that connect what all alike pairs of one piece of a group connect."""
 
     def compare(batches):
-        held: list[tuple[str, str, np.ndarray]] = []
+        held: list[tuple[str, np.ndarray]] = []
 
         def flush():
             if len(held) > 1:
-                label = np.unique([h[1] for h in held], return_inverse=True)[1]
-                found = links_inside([h[2] for h in held], label, percent)
+                found = links_inside([h[1] for h in held], percent)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([held[p[side]][0] for p in found], pa.string()) for side in (0, 1)], names=["a", "b"])
 
@@ -380,20 +383,21 @@ def link_groups(members: DataFrame, key: str, salt: int, percent: int = PERCENT)
             if first:
                 yield from flush()
                 held = []
-            held += [(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), _tokens(batch.column(4), i)) for i in range(start, end)]
+            held += [(batch.column(2)[i].as_py(), _tokens(batch.column(3), i)) for i in range(start, end)]
         yield from flush()
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _blocked(members, key, salt).select(key, "block", "mark", "component", "tokens")
+    block = F.pmod(F.xxhash64("mark", F.lit(salt)), F.col("pieces")).alias("block")
+    rows = _pieces(members, key).select(key, block, "mark", "tokens")
     return rows.repartition(n, key, "block").sortWithinPartitions(key, "block").mapInArrow(compare, "a string, b string")
 
 
 def token_groups(members: DataFrame) -> DataFrame:
-    """``members`` with ``group``: similar sets have one, of bounded size."""
-    counts = members.groupBy("least_0").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens_"))
-    pieces = F.greatest(F.ceil(F.col("rows") / BLOCK_SETS), F.ceil(F.col("tokens_") / BLOCK_TOKENS))
-    placed = join_by_key(members, counts.select("least_0", "rows", pieces.alias("pieces")), "least_0", "rows")
-    return placed.withColumn("group", F.xxhash64("least_0", F.pmod(F.xxhash64("mark", F.lit("group")), F.col("pieces")))).drop("pieces")
+    """``members`` with ``group``: sets of one least token have one, unless they are too many, and small ones are put together; about ``GROUP_SETS`` in each."""
+    groups = max(1, -(-members.count() // GROUP_SETS))
+    piece = F.pmod(F.xxhash64("mark", F.lit("group")), F.ceil(F.col("pieces") * (BLOCK_SETS / GROUP_SETS)))
+    placed = F.when(F.col("pieces") > 1, F.xxhash64("least_0", piece)).otherwise(F.xxhash64("least_0"))
+    return _pieces(members, "least_0").withColumn("group", F.pmod(placed, F.lit(groups))).drop("pieces")
 
 
 def candidate_groups(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -459,21 +463,16 @@ def open_groups(grouped: DataFrame, candidates: DataFrame, percent: int = PERCEN
     return rows.repartition(n, "group", "part").sortWithinPartitions("group", "part", "role").mapInArrow(compare, "a string, b string")
 
 
-def _with_components(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_sets(df: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT, share: float = SHARE) -> DataFrame:
+    """(node, root): for the mark of each set that is linked with another one, the smallest mark of its component. ``rows`` are those of ``marked``."""
+    ids = cut_lineage(sharing_sets(df, text_col, shingle, percent, share))
+    members = cut_lineage(members_of(df, rows, ids, id_col, text_col, shingle))
+    links = cut_lineage(link_groups(members, "least_0", 0, percent).unionByName(link_groups(members, "least_1", 1, percent)))
     roots = components(links, "a", "b")
-    joined = members.drop("component").join(roots.withColumnRenamed("node", "mark"), "mark", "left")
-    return cut_lineage(joined.withColumn("component", F.coalesce("root", "mark")).drop("root")), roots
-
-
-def linked_sets(df: DataFrame, text_col: str = "text", *, shingle: int = SHINGLE, percent: int = PERCENT, share: float = SHARE) -> DataFrame:
-    """(node, root): for the mark of each set that is linked with another one, the smallest mark of its component."""
-    members = cut_lineage(members_of(df, cut_lineage(sharing_sets(df, text_col, shingle, percent, share)), text_col, shingle))
-    members = members.withColumn("component", F.col("mark"))
-    links = cut_lineage(link_groups(members, "least_0", 0, percent))
-    members, _ = _with_components(members, links)
-    links = cut_lineage(links.unionByName(link_groups(members, "least_1", 1, percent)))
-    members, _ = _with_components(members, links)
-    rest = cut_lineage(members.join(_between(members, percent), "id", "left_semi"))
+    placed = cut_lineage(members.select("mark", "id").join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("id", "mark", F.coalesce("root", "mark").alias("component")))
+    joined = members.join(placed.select("mark", "component"), "mark")
+    between = _between(joined, percent, share)
+    rest = cut_lineage(joined.join(cut_lineage(between), "id", "left_semi"))
     grouped = cut_lineage(token_groups(rest))
     candidates = cut_lineage(candidate_groups(grouped, percent))
     return components(links.unionByName(open_groups(grouped, candidates, percent)), "a", "b")
@@ -489,13 +488,13 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     them in the same order each time.
     """
     rows = cut_lineage(marked(df, id_col, text_col, shingle))
-    roots = linked_sets(df, text_col, shingle=shingle, percent=percent, share=share)
+    roots = linked_sets(df, rows, id_col, text_col, shingle=shingle, percent=percent, share=share)
     sets = rows.filter("n > 0").groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     labelled = cut_lineage(sets.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark")))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets"))
     named = join_by_key(labelled, least, "root", "sets").select("mark", "component_id", "rows")
-    some = join_by_key(rows.filter("n > 0"), cut_lineage(named), "mark", "rows")
-    none = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
+    some = join_by_key(rows.filter("n > 0").drop("id"), cut_lineage(named), "mark", "rows")
+    none = rows.filter("n = 0").drop("id").withColumn("component_id", F.col("doc_id"))
     return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
