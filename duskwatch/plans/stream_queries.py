@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from duskwatch.plans.catalog import ORACLE, query
 from duskwatch.plans.views import oracle, stream_view, view
-from duskwatch.session import run_folder
+from duskwatch.session import cut_lineage, run_folder
 from duskwatch.sources import sensors
 from duskwatch.streaming import jobs
 
+LOGS = 4
+
 
 def _eve_stream(spark, sf_dir):
     folder = run_folder(spark, "eve-lines")
@@ -28,6 +32,42 @@ def stream_network_alerts(spark, sf_dir):
     return spark.read.parquet(out).groupBy(F.col("severity").cast("string").alias("severity_number")).agg(F.count(F.lit(1)).alias("alerts"))
 
 
+def _write_logs(lines, folder, parts):
+    """Each task writes its lines to a log of its own, those of earlier parts first; a later call with more parts makes the logs grow."""
+    from duskwatch.sources.tail import open_store
+
+    def write(batches):
+        store, root = open_store(folder)
+        store.create_dir(root)
+        number = TaskContext.get().partitionId()
+        rows = 0
+        with store.open_output_stream(f"{root}/eve-{number}.json") as out:
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    out.write(raw.replace("\n", " ").encode() + b"\n")
+                    rows += 1
+        yield pa.RecordBatch.from_arrays([pa.array([rows])], names=["rows"])
+
+    dealt = lines.filter(F.col("event_id") % 3 < parts).repartition(LOGS, "event_id").sortWithinPartitions(F.col("event_id") % 3, "event_id")
+    dealt.select("raw").mapInArrow(write, "rows bigint").agg(F.sum("rows")).collect()
+
+
+@query(
+    "stream_network_tail",
+    oracle("eve_line_v", """SELECT CASE user_id % 5 WHEN 3 THEN 'high' ELSE CAST(user_id % 5 AS VARCHAR) END AS severity_number, count(*) AS alerts
+      FROM eve_line_v WHERE kind = 0 AND event_id % 3 > 0 GROUP BY 1"""),
+)
+def stream_network_tail(spark, sf_dir):
+    """Logs that grow between runs of a stream: what stood in them before it started is passed over, all that is added arrives once."""
+    folder, out, offsets = (run_folder(spark, name) for name in ("eve-logs", "alerts", "offsets"))
+    lines = cut_lineage(view(spark, sf_dir, "eve_line_v").select("event_id", "raw"))
+    for parts in (1, 2, 3):
+        _write_logs(lines, folder, parts)
+        alerts = sensors.tail_network_events(spark, folder, prefix="eve-").select("alert.severity", "timestamp")
+        jobs.start(jobs.append_parquet(alerts, out), offsets).awaitTermination()
+    return spark.read.schema("severity string").parquet(out).groupBy(F.col("severity").alias("severity_number")).agg(F.count(F.lit(1)).alias("alerts"))
+
+
 _TITLE = "coalesce(CASE WHEN event_id % 3 <> 0 THEN 'sig ' || word END, 'Suricata network alert')"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.columns import parse_iso_utc
 from duskwatch.schemas import EVE_EVENT, HOST_ALERT
+from duskwatch.sources.tail import EventTail
 
 # Loose fields are read as text and cast where they are used, so one field of an odd type never costs the record.
 _JSON = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -23,7 +24,7 @@ def read_network_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_network_events(spark: SparkSession, folder: str, **options: str) -> DataFrame:
-    """New event files of a folder as a stream of alerts; blank and bad lines are left out.
+    """New event files of a folder as a stream of alerts; blank and bad lines are left out. A file that grows is read once: see ``tail_network_events``.
 
     Starting from now instead of from the first file is ``latestFirst`` with
     ``maxFileAge``, or a start-time filter on the result.
@@ -32,6 +33,17 @@ def stream_network_events(spark: SparkSession, folder: str, **options: str) -> D
     return events.filter(~unreadable() & (F.col("event_type") == "alert"))
 
 
+def tail_network_events(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Alerts that are written to a growing event file, or to the files of a folder, from now on (``from="start"``: from their beginning).
+
+    Files are followed by position, through rotation and restarts; blank and bad lines are left out. ``path`` and ``position`` say where a line began.
+    """
+    spark.dataSource.register(EventTail)
+    lines = spark.readStream.format("event_tail").options(path=path, **options).load()
+    events = parse_lines(lines, "line", EVE_EVENT)
+    return events.filter(~unreadable() & (F.col("event_type") == "alert"))
+
+
 def unreadable() -> Column:
     """The line is no JSON object. A container of another type (text for an object) also fills ``_corrupt_record``, but the rest of it is read."""
     return F.col("_corrupt_record").isNotNull() & F.json_object_keys("_corrupt_record").isNull()
