@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
-from duskwatch.operators import datasets, evaluation
+from duskwatch.operators import datasets, evaluation, forest
 from duskwatch.session import cut_lineage, run_folder
 
 # --- fixed values: model settings ------------------------------------------
@@ -108,13 +108,32 @@ def evaluate_external(predicted: DataFrame, truth: str) -> DataFrame:
     return metrics.join(area, "one").drop("one")
 
 
-def cross_validate(rows: DataFrame, features: Sequence[str], folds: int = 5, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> DataFrame:
-    """The five metrics of each of the stratified folds: ``fold, accuracy, ..., roc_auc``."""
+def _named(scored: DataFrame, *keep: str) -> DataFrame:
+    """``keep..., prediction_number, prediction`` and one probability column per class, from ``shares``; the lowest class of equal shares."""
+    number = F.array_position("shares", F.array_max("shares")).cast("int") - 1
+    return scored.select(
+        *keep,
+        number.alias("prediction_number"),
+        datasets.class_name(number.cast("double")).alias("prediction"),
+        *[F.coalesce(F.get("shares", F.lit(i)), F.lit(0.0)).alias(probability_name(c)) for i, c in enumerate(rules.TRAFFIC_CLASSES)],
+    )
+
+
+def predict_deep(nodes: DataFrame, rows: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
+    """As ``predict``, by the nodes of a forest without a depth limit (``forest.fit``)."""
+    return _named(forest.score(nodes, rows, features, *keep), *keep)
+
+
+def cross_validate(rows: DataFrame, features: Sequence[str], folds: int = 5, trees: int = FOREST_TREES) -> DataFrame:
+    """The five metrics of each of the stratified folds: ``fold, accuracy, ..., roc_auc``. Trees of all folds grow at once, without a depth limit.
+
+    ``rows`` is a training table, which is capped by class (``prepare_traffic``).
+    """
     placed = cut_lineage(datasets.stratified_folds(rows, "Label", list(features)))
+    predicted = cut_lineage(_named(forest.out_of_fold(placed, features, "Label", "fold", folds, trees).withColumnRenamed("label", "Label"), "fold", "Label"))
     results: DataFrame | None = None
     for fold in range(folds):
-        model = fit_forest(placed.filter(F.col("fold") != fold).drop("fold"), features, trees, depth)
-        metrics = evaluate_classes(predict(model, placed.filter(F.col("fold") == fold), "Label"))
+        metrics = evaluate_classes(predicted.filter(F.col("fold") == fold).drop("fold"))
         row = metrics.select(F.lit(fold).alias("fold"), "accuracy", "precision", "recall", "f1", "roc_auc")
         results = row if results is None else results.unionByName(row)
     if results is None:

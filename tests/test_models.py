@@ -109,7 +109,7 @@ def test_supervised_models(spark, sf_dir):
     assert quality["accuracy"] > 0.8 and quality["roc_auc"] > 0.9
     boosted = models.fit_boosted(train, model_queries.FEATURES, rounds=5, parallelism=5)
     assert models.evaluate_classes(models.predict(boosted, test, "Label")).first()["accuracy"] > 0.7
-    folds = models.cross_validate(rows, model_queries.FEATURES, folds=2, trees=5, depth=5)
+    folds = models.cross_validate(rows, model_queries.FEATURES, folds=2, trees=5)
     assert {r["metric"] for r in evaluation.fold_summary(folds, ["accuracy", "f1"]).collect()} == {"accuracy", "f1"}
 
 

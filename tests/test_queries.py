@@ -6,7 +6,7 @@ from oracle_check import compare, connect
 from duskwatch.plans import registry
 
 # Full-size model fits; covered with small settings in test_models.py.
-LONG = {"random_forest_metrics", "score_traffic", "external_evaluation", "boosted_trees_metrics", "cross_validation", "unsw_evaluation", "native_2018_evaluation"}
+LONG = {"boosted_trees_metrics", "unsw_evaluation", "native_2018_evaluation"}
 
 
 @pytest.fixture(scope="module")
