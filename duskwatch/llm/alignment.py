@@ -7,6 +7,7 @@ on their token ids alone. A window is aligned once and remembered by its ids; te
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from duskwatch.llm.common import column, cut_lineage, map_batches, text_of, utf8_parts
 
 MEMO_WINDOWS = 200_000  # window alignments that a worker remembers
+MEMO_TOKENS = 48  # longer windows hardly come again; they are aligned anew, which bounds what is remembered
 PIECE_CHARS = 200_000  # longer texts are given to the piece tokenizer in parts that cannot merge with each other
 PAIRS_HELD = 2_000_000  # counted links that a task holds before it adds them up
 _MARK = "▁"
@@ -139,7 +141,7 @@ class Aligner:
         self.memo: dict[tuple, tuple] = {}
         self.aligned = 0
 
-    def align(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> list[tuple[str, list[int]]]:
+    def align(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> list[tuple[str, tuple[int, ...]]]:
         """For each window its groups as text and its links as keys: the last tokens of each group, which end together.
 
         ``a`` and ``b`` are the windows' ids one after another, ``ends`` says how many ids of both stand before each window's end.
@@ -158,20 +160,21 @@ class Aligner:
         group_ends = np.searchsorted(np.cumsum(in_a + in_b), ends, "right").tolist()
         out, start, first = [], 0, 0
         for end, group in zip(ends.tolist(), group_ends, strict=True):
-            out.append(("".join(words[start:end])[:-1], links[first:group]))
+            out.append(("".join(words[start:end])[:-1], tuple(links[first:group])))
             start, first = end, group
         return out
 
-    def look_up(self, a: np.ndarray, b: np.ndarray, start_a: np.ndarray, count_a: np.ndarray, start_b: np.ndarray, count_b: np.ndarray) -> list[tuple[str, list[int]]]:
+    def look_up(self, a: np.ndarray, b: np.ndarray, start_a: np.ndarray, count_a: np.ndarray, start_b: np.ndarray, count_b: np.ndarray) -> list[tuple[str, tuple[int, ...]]]:
         """The alignment of each of these windows, which differ from each other; new ones are aligned and remembered by their ids."""
         spots = [_spots(start_a, count_a), _spots(start_b, count_b)]
         plain_a, plain_b = a[spots[0]].tolist(), b[spots[1]].tolist()
         ends_a, ends_b = np.cumsum(count_a), np.cumsum(count_b)
-        windows, i, j = [], 0, 0
+        windows: list[tuple | None] = []
+        i = j = 0
         for m, n in zip(ends_a.tolist(), ends_b.tolist(), strict=True):
-            windows.append((tuple(plain_a[i:m]), tuple(plain_b[j:n])))
+            windows.append((tuple(plain_a[i:m]), tuple(plain_b[j:n])) if m - i + n - j <= MEMO_TOKENS else None)
             i, j = m, n
-        found = list(map(self.memo.get, windows))
+        found = list(map(self.memo.get, windows))  # None is no key
         new = [i for i, f in enumerate(found) if f is None]
         if new:
             m, n = count_a[new], count_b[new]
@@ -179,9 +182,10 @@ class Aligner:
             self.aligned += len(new)
             for i, f in zip(new, made, strict=True):
                 found[i] = f
-            if len(self.memo) + len(new) > MEMO_WINDOWS:
+            kept = [(windows[i], f) for i, f in zip(new, made, strict=True) if windows[i] is not None][:MEMO_WINDOWS]
+            if len(self.memo) + len(kept) > MEMO_WINDOWS:
                 self.memo.clear()
-            self.memo.update(zip((windows[i] for i in new[:MEMO_WINDOWS]), made, strict=False))
+            self.memo.update(kept)
         return found
 
     def tokens(self, texts: list[str]) -> tuple[list, list]:
@@ -271,7 +275,11 @@ def aligned(df: DataFrame, make: Callable[[], tuple], id_col: str = "doc_id", te
         if key not in _aligners:
             _aligners[key] = Aligner(*make())
         for part in utf8_parts(batch, "text"):
-            n_a, n_b, groups, digests, (pairs, times, bounds) = _aligners[key].texts(part.column(1).to_pylist())
+            gc.disable()  # many small tuples and no cycles: collecting only costs time
+            try:
+                n_a, n_b, groups, digests, (pairs, times, bounds) = _aligners[key].texts(part.column(1).to_pylist())
+            finally:
+                gc.enable()
             lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, t)) for x, t in ((pairs, pa.int64()), (times, pa.int32()))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(x, pa.int64()) for x in (n_a, n_b, groups)), pa.array(digests, pa.string()), *lists],
