@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import column, cut_lineage, doc_slices, join_by_key, map_batches, text_of, utf8_parts
+from duskwatch.llm.common import SLICE_BYTES, column, cut_lineage, doc_slices, hashed_words, join_by_key, map_batches, text_of, utf8_parts
 from duskwatch.llm.components import components
 
 SHINGLE = 5
@@ -31,8 +31,10 @@ BLOCK_SETS, BLOCK_TOKENS = 512, 500_000  # of a group of similar sets, compared
 GROUP_SETS = 64  # of the matrix
 QUERIES_AT_ONCE = 2_048  # sets that one task holds against a group
 FILTER_BITS = 1 << 26  # at most, of the bitmap that spares sets which were ruled out from being moved: 8 MB
-WORDS_KNOWN = 500_000  # words whose hash a worker remembers
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+SHORT_WORD = 64  # bytes of a word that are told apart by their places; longer words are hashed by XXH64
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _rng = np.random.default_rng(20260311)
 _PLACES = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _SEEDS = _rng.integers(1, 2**63, 2, dtype=np.uint64)
@@ -49,37 +51,76 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return value
+def _long_word(word: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(word.tobytes(), 11)
 
 
-_words = _Words()
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of texts in lower case begins, and a 64-bit hash of it. White space is 20 and 09 to 0D.
+
+    A text of over ``SLICE_BYTES`` is cut at white space, so memory does not grow with it; a longer word than that is hashed by itself.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    pos, alone = 0, len(starts) == 2
+    while pos < len(data):
+        end = min(pos + SLICE_BYTES, len(data)) if alone else len(data)
+        piece = data[pos:end]
+        in_word = ~_BLANK[piece]
+        if end < len(data):
+            blanks = np.flatnonzero(~in_word)
+            if not len(blanks):
+                while end < len(data) and not _BLANK[data[end]]:
+                    ahead = np.flatnonzero(_BLANK[data[end : end + SLICE_BYTES]])
+                    end = end + int(ahead[0]) if len(ahead) else min(end + SLICE_BYTES, len(data))
+                found.append((np.array([pos]), mixed(np.array([_long_word(data[pos:end])], np.uint64))))
+                pos = end
+                continue
+            piece, in_word = piece[: blanks[-1] + 1], in_word[: blanks[-1] + 1]
+        at, hashes = hashed_words(piece, in_word, np.array([0, len(piece)]) if alone else starts)
+        if len(at):
+            sizes = np.add.reduceat(in_word[at[0] :].view(np.uint8), at - at[0], dtype=np.int64)
+            for i in np.flatnonzero(sizes > SHORT_WORD).tolist():
+                hashes[i] = _long_word(piece[at[i] : at[i] + sizes[i]])
+        found.append((at + pos, mixed(hashes)))
+        pos += len(piece)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def shingle_sets(data: np.ndarray, starts: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles of words, A-Z in lower case; with fewer words, of all of them as one; without words, none."""
+
+    def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+        n = max(0, len(hashes) - width + 1)
+        total = np.full(n, width, np.uint64)
+        for i in range(width):
+            total += hashes[i : i + n] * _PLACES[i % 64]
+        return mixed(total)
+
+    at, hashes = word_hashes(_FOLD[data], starts)
+    bounds = np.searchsorted(at, starts).tolist()
+    whole = rolled(hashes, shingle)
+    out = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        tokens = np.sort(whole[a : b - shingle + 1]) if b - a >= shingle else rolled(hashes[a:b], b - a) if b > a else whole[:0]
+        if len(tokens) > 1:
+            fresh = np.ones(len(tokens), bool)
+            np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
+            tokens = tokens[fresh]
+        out.append(tokens)
+    return out
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of words, A-Z in lower case; with fewer words, of all of them as one; without words, none."""
-    words = text.translate(_LOWER).split()  # white space here is 20 and 09 to 0D
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(shingle, len(words))
-    n = len(words) - width + 1
-    total = np.full(n, width, np.uint64)
-    for i in range(width):
-        total += hashes[i : i + n] * _PLACES[i % 64]
-    return np.unique(mixed(total))
+    """``shingle_sets`` of one text."""
+    return shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shingle)[0]
 
 
 def _sets(batch: pa.RecordBatch, at: int, shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of a batch with the sets of their texts."""
     for part in utf8_parts(batch, batch.schema.names[at]):
-        data, starts = doc_slices(part.column(at))
-        whole, starts = data.tobytes(), starts.tolist()
-        yield part, [shingle_set(whole[a:b], shingle) for a, b in zip(starts, starts[1:], strict=False)]
+        yield part, shingle_sets(*doc_slices(part.column(at)), shingle)
 
 
 def _mark(tokens: np.ndarray) -> bytes:
