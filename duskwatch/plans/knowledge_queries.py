@@ -305,6 +305,30 @@ def section_sink(spark, sf_dir):
     return stored.join(lines, heading == F.col("line"), "left").select("doc_key", F.col("line").isNotNull().alias("stored_text"))
 
 
+@query("scan_cve_files", f"WITH {_CVE.strip()} SELECT cve_id, title, cwe_ids, cvss_version, cvss_score FROM cves")
+def scan_cve_files(spark, sf_dir):
+    """Each record written as a file of its own, beside files that are cut short and files of other names, and scanned."""
+    path = run_folder(spark, "cves")
+    rows = view(spark, sf_dir, "cve_line_v")
+    number = F.col("p_partkey").cast("string")
+    whole = rows.select(F.concat(F.pmod("p_partkey", F.lit(100)), F.lit("/CVE-"), number, F.lit(".json")).alias("path"), F.col("raw").alias("content"))
+    cut = rows.filter("p_partkey % 17 = 3").select(F.concat(F.lit("cut/CVE-"), number, F.lit(".json")).alias("path"), F.expr("left(raw, length(raw) div 2)").alias("content"))
+    other = rows.filter("p_partkey % 17 = 4").select(F.concat(F.lit("other/delta-"), number, F.lit(".json")).alias("path"), F.col("raw").alias("content"))
+    sinks.write_files(whole.unionByName(cut).unionByName(other), path)
+    fields = knowledge.cve_fields(catalogues.read_cve_records(spark, path))
+    return fields.select("cve_id", "title", F.array_join("cwe_ids", ", ").alias("cwe_ids"), "cvss_version", "cvss_score")
+
+
+@query("scan_markdown_tree", oracle("kb_file_v", r"SELECT doc_id || '/' || path AS path, content FROM kb_file_v WHERE regexp_matches(content, '\S')"))
+def scan_markdown_tree(spark, sf_dir):
+    """Every markdown file written to a tree of folders and scanned; blank ones and those of other kinds are left out."""
+    path = run_folder(spark, "markdown")
+    files = view(spark, sf_dir, "kb_file_v").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("path")).alias("path"), "content")
+    others = files.filter("doc_id % 10 = 0").select(F.concat("path", F.lit(".txt")).alias("path"), "content")
+    sinks.write_files(files.select("path", "content").unionByName(others), path)
+    return catalogues.read_markdown_tree(spark, path)
+
+
 @query("scan_weakness_file", f"WITH {_WEAK.strip()} SELECT cwe_id, name, status, likelihood FROM weak")
 def scan_weakness_file(spark, sf_dir):
     """Weakness elements written as XML catalogues of 500 and scanned."""

@@ -12,7 +12,8 @@ from duskwatch.plans import sqltext
 from duskwatch.plans.catalog import query
 from duskwatch.plans.correlation_queries import _LABEL_CTES, _labelled
 from duskwatch.plans.views import oracle, oracle_ctes, view
-from duskwatch.sources import sinks
+from duskwatch.session import cut_lineage, run_folder
+from duskwatch.sources import committed, sinks
 
 
 def _cases(spark, sf_dir):
@@ -107,6 +108,20 @@ def store_actions_once(spark, sf_dir):
     return sinks.unstored(rows, view(spark, sf_dir, "action_v"), ["incident_id", "action_type", "target"])
 
 
+@query(
+    "store_actions_committed",
+    oracle_ctes(_SOURCES, f"{_CASES}, {_ACTIONS}, {_STORED}", "SELECT incident_id, action_type, target, requires_approval FROM stored"),
+)
+def store_actions_committed(spark, sf_dir):
+    """Actions appended by a run that saw only those that need no approval, by one that saw all, and by a rerun: the table holds each once."""
+    path = run_folder(spark, "actions")
+    rows = cut_lineage(response.stored_actions(_answered(spark, sf_dir)).select("incident_id", "action_type", "target", "requires_approval"))
+    for batch in (rows.filter("NOT requires_approval"), rows, rows):
+        committed.append_committed(batch, path, ["incident_id", "action_type", "target"])
+    stored = committed.read_committed(spark, path)
+    return rows if stored is None else stored
+
+
 @query(
     "action_creation_log",
     oracle_ctes(_SOURCES, f"{_CASES}, {_ACTIONS}, {_STORED}", """SELECT incident_id, action_type, target, 'created' AS event_type, NULL::VARCHAR AS previous_status, 'pending' AS new_status FROM stored

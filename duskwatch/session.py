@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -111,3 +112,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{base}/stage-{uuid.uuid4().hex}" if base else run_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def name_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that is renamed into place whole; False if there is one of that name already."""
+    jvm = spark.sparkContext._jvm
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = draft.getFileSystem(conf)
+    out = files.create(draft)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    # FileContext refuses an existing target, which FileSystem may replace.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(draft).toUri(), conf)
+    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(files.makeQualified(draft), files.makeQualified(target), no_options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in str(error.java_exception):
+            raise
+        files.delete(draft, False)
+        return False
+    return True

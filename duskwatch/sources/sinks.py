@@ -1,7 +1,8 @@
-"""Table writes: appends, idempotent appends and one-row JSON."""
+"""Table writes: appends, idempotent appends, one-row JSON and files of one row each."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.operators.normalise import with_alert_defaults, with_analysis_defaults, with_incident_defaults, with_report_defaults
 from duskwatch.session import cut_lineage
+from duskwatch.sources.tail import open_store
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -70,3 +72,24 @@ def write_sections(sections: DataFrame, path: str, order: str = "doc_key") -> No
 def write_section_text(sections: DataFrame, path: str, order: str = "doc_key") -> None:
     """Section texts as text files whose order is the id order."""
     sections.orderBy(order).select(F.concat(F.col("text"), F.lit("\n"))).write.mode("overwrite").text(path)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """One file for each row (``path, content``) below ``folder``, a local, mounted or other path that pyarrow opens. A task that runs again writes the same files again."""
+
+    def write(rows):
+        store, root = open_store(folder)
+        made = set()
+        for row in rows:
+            target = f"{root}/{row['path']}"
+            parent = target.rsplit("/", 1)[0]
+            if parent not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
+            # Readers see a file whole: it is written beside and moved, so two runs of a task do no harm either.
+            draft = f"{parent}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as out:
+                out.write((row["content"] or "").encode())
+            store.move(draft, target)
+
+    files.select("path", "content").foreachPartition(write)

@@ -80,6 +80,17 @@ def test_markdown_tree(spark, tmp_path):
     assert [(r["path"], r["content"]) for r in catalogues.read_markdown_tree(spark, str(tmp_path / "kb")).collect()] == [("notes/a.md", "text")]
 
 
+def test_files_of_one_row_each(spark, tmp_path):
+    folder = tmp_path / "files"
+    files = spark.createDataFrame([("a/x.md", "É\ntext\r\n"), ("a/blank.md", " \n"), ("b/c/null.md", None), ("b/y.txt", "no")], "path STRING, content STRING")
+    for _ in range(2):
+        sinks.write_files(files, str(folder))
+    assert sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file()) == ["a/blank.md", "a/x.md", "b/c/null.md", "b/y.txt"]
+    assert [tuple(r) for r in catalogues.read_markdown_tree(spark, str(folder)).collect()] == [("a/x.md", "É\ntext\r\n")]
+    sinks.write_files(files, f"file://{folder}-2")
+    assert catalogues.read_markdown_tree(spark, f"{folder}-2").count() == 1
+
+
 def test_append_once(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k INT, v STRING")
