@@ -123,11 +123,23 @@ def missing_features(df: DataFrame, features: str, required: Sequence[str]) -> D
     return df.withColumn("missing", F.array_except(wanted, F.map_keys(features)))
 
 
+def _row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A digest of a row's values. Each is preceded by its length, so that no two rows spell the same; a missing number (null, not-a-number) has a mark no value has."""
+
+    def spelt(name: str) -> Column:
+        value = _quoted(name)
+        if df.select(value).schema[0].dataType.typeName() in ("double", "float"):
+            value = F.when(~F.isnan(value), value + 0.0)  # -0.0 is 0.0
+        text = value.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.sha2(F.concat(*[spelt(c) for c in columns]), 256)
+
+
 def leakage(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Test rows also in the training rows, and duplicated feature rows overall."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(_quoted(c).cast("string"), F.lit("nan")) for c in features]), 256).alias("row")
-    trained = train.select(row).groupBy("row").agg(F.count(F.lit(1)).alias("n_train"))
-    tested = test.select(row).groupBy("row").agg(F.count(F.lit(1)).alias("n_test"))
+    """Test rows also in the training rows, and duplicated feature rows overall. Nulls are alike, and differ from any text."""
+    trained = train.select(_row_digest(train, features).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_train"))
+    tested = test.select(_row_digest(test, features).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_test"))
     # Both sides are counted per row first, so a much repeated row is one row in the join.
     both = trained.join(tested, "row", "full").na.fill(0, ["n_train", "n_test"])
     return both.agg(

@@ -61,6 +61,15 @@ def test_leakage(spark):
     assert (r["overlap"], r["duplicates"]) == (1, 3)
 
 
+def test_leakage_of_rows_that_look_alike(spark):
+    kinds = "x STRING, y STRING, z DOUBLE"
+    train = spark.createDataFrame([("a|b", "c", 0.0), ("nan", None, float("nan")), ("1:a", "", 1.0), ("-", "-", 2.0)], kinds)
+    test = spark.createDataFrame([("a", "b|c", 0.0), (None, "nan", None), ("1", ":a", 1.0), ("-", None, 2.0)], kinds)
+    assert tuple(datasets.leakage(train, test, ["x", "y", "z"]).first()) == (0, 0)
+    same = spark.createDataFrame([("a|b", "c", -0.0), ("nan", None, None)], kinds)
+    assert tuple(datasets.leakage(train, same, ["X", "y", "z"]).first()) == (2, 2)
+
+
 def test_roc_area_against_pairs(spark):
     rng = np.random.default_rng(1)
     y, s = rng.integers(0, 2, 300), np.round(rng.random(300), 2)
