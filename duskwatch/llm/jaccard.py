@@ -63,7 +63,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     found: list[tuple[np.ndarray, np.ndarray]] = []
     pos, alone = 0, len(starts) == 2
     while pos < len(data):
-        end = min(pos + SLICE_BYTES, len(data)) if alone else len(data)
+        end = min(pos + max(SLICE_BYTES, SHORT_WORD + 1), len(data)) if alone else len(data)  # without a blank it is part of a long word
         piece = data[pos:end]
         in_word = ~_BLANK[piece]
         if end < len(data):

@@ -88,6 +88,20 @@ def test_sets():
     assert not set(J.shingle_set(b"a b c d e").tolist()) & set(J.shingle_set(b"b a c d e").tolist())
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aBcé") for _ in range(rng.choice((1, 3, 9, 63, 64, 65, 200)))) for _ in range(400)]
+    text = " ".join(words) + "\t" + "A" * 3000 + " \n " + "b" * 2999 + " c  d"
+    whole = J.shingle_set(text.encode())
+    assert len(whole) == len(plain_set(text))
+    for size in (10, 64, 1000, 2999, 3000, 3001):
+        monkeypatch.setattr(J, "SLICE_BYTES", size)
+        assert np.array_equal(J.shingle_set(text.encode()), whole)
+    # Words beyond 64 bytes are not told apart by places that repeat.
+    a, b = "x" + "y" * 64, "y" * 64 + "x"
+    assert not np.array_equal(J.shingle_set(a.encode()), J.shingle_set(b.encode()))
+
+
 def test_links_and_bounds():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 100, dtype=np.uint64)
