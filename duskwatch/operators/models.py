@@ -1,18 +1,18 @@
-"""Supervised traffic models with MLlib, and the combination of engines."""
+"""Supervised traffic models, their evaluation, and the combination of engines."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
-from duskwatch.operators import datasets, evaluation, forest
+from duskwatch.operators import boosting, datasets, evaluation, forest
 from duskwatch.session import cut_lineage, run_folder
 
 # --- fixed values: model settings ------------------------------------------
@@ -52,30 +52,15 @@ def fit_forest(train: DataFrame, features: Sequence[str], trees: int = FOREST_TR
     return stored(Pipeline(stages=[assembler, random_forest(trees, depth)]).fit(weighted))
 
 
-def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = BOOST_ROUNDS, parallelism: int = 1) -> PipelineModel:
-    """Boosted trees, one binary model per class."""
-    booster = GBTClassifier(
-        featuresCol="features", labelCol="Label", maxIter=rounds, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP,
-        subsamplingRate=BOOST_SHARE, featureSubsetStrategy=str(BOOST_SHARE), seed=SEED,
-    )
-    each = OneVsRest(classifier=booster, labelCol="Label", featuresCol="features", parallelism=parallelism)
-    return stored(Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), each]).fit(train))
-
-
-def _boosted_probabilities() -> Column:
-    """Margins of the per-class models squashed to (0, 1) and normalised to sum 1."""
-    squashed = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(squashed, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(squashed, lambda x: x / total)
+def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = BOOST_ROUNDS) -> DataFrame:
+    """Boosted trees as one softmax model: its nodes."""
+    settings = boosting.Settings(rounds, BOOST_DEPTH, BOOST_STEP, BOOST_SHARE, BOOST_SHARE, seed=SEED)
+    return boosting.fit(train, features, "Label", len(rules.TRAFFIC_CLASSES), settings)
 
 
 def predict(model: PipelineModel, rows: DataFrame, *keep: str) -> DataFrame:
     """``keep..., prediction_number, prediction`` and one probability column per class."""
-    scored = model.transform(rows)
-    if "probability" in scored.columns:
-        scored = scored.withColumn("p", vector_to_array("probability"))
-    else:
-        scored = scored.withColumn("p", _boosted_probabilities())
+    scored = model.transform(rows).withColumn("p", vector_to_array("probability"))
     return scored.select(
         *keep,
         F.col("prediction").cast("int").alias("prediction_number"),
@@ -124,6 +109,11 @@ def predict_deep(nodes: DataFrame, rows: DataFrame, features: Sequence[str], *ke
     return _named(forest.score(nodes, rows, features, *keep), *keep)
 
 
+def predict_boosted(nodes: DataFrame, rows: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
+    """As ``predict``, by the nodes of a softmax model (``fit_boosted``)."""
+    return _named(boosting.score(nodes, rows, features, len(rules.TRAFFIC_CLASSES), *keep), *keep)
+
+
 def cross_validate(rows: DataFrame, features: Sequence[str], folds: int = 5, trees: int = FOREST_TREES) -> DataFrame:
     """The five metrics of each of the stratified folds: ``fold, accuracy, ..., roc_auc``. Trees of all folds grow at once, without a depth limit.
 

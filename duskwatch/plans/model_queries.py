@@ -328,8 +328,7 @@ def score_with_saved_models(spark, sf_dir):
 @query("boosted_trees_metrics")
 def boosted_trees_metrics(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
-    boosted = models.fit_boosted(train, FEATURES, parallelism=len(rules.TRAFFIC_CLASSES))
-    return _rounded(models.evaluate_classes(models.predict(boosted, test, "Label")))
+    return _rounded(models.evaluate_classes(models.predict_boosted(models.fit_boosted(train, FEATURES), test, FEATURES, "Label")))
 
 
 @query("cross_validation")

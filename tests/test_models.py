@@ -116,8 +116,8 @@ def test_supervised_models(spark, sf_dir):
     assert total[0] == pytest.approx(1.0) and total[1] == pytest.approx(1.0)
     quality = models.evaluate_classes(predicted).first()
     assert quality["accuracy"] > 0.8 and quality["roc_auc"] > 0.9
-    boosted = models.fit_boosted(train, model_queries.FEATURES, rounds=5, parallelism=5)
-    assert models.evaluate_classes(models.predict(boosted, test, "Label")).first()["accuracy"] > 0.7
+    boosted = models.fit_boosted(train, model_queries.FEATURES, rounds=10)
+    assert models.evaluate_classes(models.predict_boosted(boosted, test, model_queries.FEATURES, "Label")).first()["accuracy"] > 0.7
     folds = models.cross_validate(rows, model_queries.FEATURES, folds=2, trees=5)
     assert {r["metric"] for r in evaluation.fold_summary(folds, ["accuracy", "f1"]).collect()} == {"accuracy", "f1"}
 
