@@ -201,7 +201,8 @@ def _predictions(spark, sf_dir):
     )
 
 
-def _rounded(df, *columns):
+def _rounded_to_sql(df, *columns):
+    """The columns that the query's SQL rounds."""
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
@@ -212,7 +213,7 @@ def _rounded(df, *columns):
     SELECT rows, round((tn + tp) / rows, 9) AS accuracy, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, tn, fp, fn, tp FROM n""",
 )
 def binary_metrics(spark, sf_dir):
-    return _rounded(evaluation.binary_metrics(_predictions(spark, sf_dir), "y", "p"), "accuracy", "precision", "recall", "f1")
+    return _rounded_to_sql(evaluation.binary_metrics(_predictions(spark, sf_dir), "y", "p"), "accuracy", "precision", "recall", "f1")
 
 
 _REPORT = f"""WITH {_PRED}, k AS (SELECT k.k AS class, count(*) FILTER (WHERE c = k.k) AS support, count(*) FILTER (WHERE pc = k.k) AS claimed, count(*) FILTER (WHERE c = k.k AND pc = k.k) AS hits
@@ -224,7 +225,7 @@ _REPORT = f"""WITH {_PRED}, k AS (SELECT k.k AS class, count(*) FILTER (WHERE c
 @query("class_report", _REPORT + "SELECT class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM r")
 def class_report(spark, sf_dir):
     report = evaluation.class_report(_predictions(spark, sf_dir), "c", "pc").drop("hits")
-    return _rounded(report, "precision", "recall", "f1")
+    return _rounded_to_sql(report, "precision", "recall", "f1")
 
 
 @query(
@@ -233,7 +234,7 @@ def class_report(spark, sf_dir):
       round(sum(recall * support) / sum(support), 9) AS recall, round(sum(f1 * support) / sum(support), 9) AS f1 FROM r""",
 )
 def weighted_metrics(spark, sf_dir):
-    return _rounded(evaluation.weighted_metrics(_predictions(spark, sf_dir), "c", "pc"), "accuracy", "precision", "recall", "f1")
+    return _rounded_to_sql(evaluation.weighted_metrics(_predictions(spark, sf_dir), "c", "pc"), "accuracy", "precision", "recall", "f1")
 
 
 @query(
@@ -243,7 +244,7 @@ def weighted_metrics(spark, sf_dir):
     SELECT round(sum(pos * (below + neg / 2)) / (sum(pos)::DOUBLE * sum(neg)), 9) AS roc_auc, CAST(sum(pos) AS BIGINT) AS positives FROM o""",
 )
 def roc_auc(spark, sf_dir):
-    return _rounded(evaluation.roc_auc(_predictions(spark, sf_dir), "y", "s"), "roc_auc")
+    return _rounded_to_sql(evaluation.roc_auc(_predictions(spark, sf_dir), "y", "s"), "roc_auc")
 
 
 @query(
