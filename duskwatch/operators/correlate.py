@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,13 @@ from duskwatch.functions.columns import micros, truthy
 from duskwatch.operators.timecells import MICROS_PER_MINUTE, cell_of, cells_seen_from, width_for
 from duskwatch.session import cut_lineage
 
+TASK_INCIDENTS = 50_000  # whose entries one task sorts, on average
+
+
+def tasks_for(incidents: DataFrame) -> int:
+    """Tasks that grow in step with the rows, so that none gets more of them on a larger table; a number that is stated is not merged again."""
+    return max(incidents.sparkSession.sparkContext.defaultParallelism, math.ceil(incidents.count() / TASK_INCIDENTS))
+
 
 def _lookup_keys() -> Column:
     """Keys under which a row can be found, each with its kind (also the key's first word)."""
@@ -82,7 +90,7 @@ def related_incidents(
         )
     )
     group = ["key", "cell"]
-    rows = rows.repartition(*group)
+    rows = rows.repartition(tasks_for(incidents), *group)
     earlier = (Window.unboundedPreceding, -1)
 
     in_group = Window.partitionBy(*group).orderBy("t", "id").rowsBetween(*earlier)

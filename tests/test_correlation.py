@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import risk, rules
 from duskwatch.operators import correlate, suppress
+from duskwatch.plans.views import view
 
 START = datetime(2024, 1, 1)
 SCHEMA = (
@@ -233,3 +234,13 @@ def test_incidents_kept_earlier_suppress(spark):
     rows = [incident(10, 60), incident(11, 100, src=None), incident(12, 130), incident(13, 400)]
     got = verdicts(frame(spark, rows), kept_before=frame(spark, before))
     assert got == brute_force_repeats(rows, suppress.FIELDS_BY_SENSOR, before)
+
+
+def test_tasks_grow_with_the_incidents(spark, sf_dir, monkeypatch):
+    """Merged to as many tasks as there are cores, a task's sorts grew with the table."""
+    rows = view(spark, sf_dir, "incidents_v")
+    expected = sorted(map(tuple, correlate.related_incidents(rows).collect()))
+    monkeypatch.setattr(correlate, "TASK_INCIDENTS", 3)
+    related = correlate.related_incidents(rows)
+    assert related.rdd.getNumPartitions() == -(-rows.count() // 3)
+    assert sorted(map(tuple, related.collect())) == expected
