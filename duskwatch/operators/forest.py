@@ -113,18 +113,19 @@ def best_cuts(at: np.ndarray, values: np.ndarray, labels: np.ndarray, weights: n
     return score, cut
 
 
-def grow_tree(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes: int, rng: np.random.Generator, drawn: int | None = None) -> Tree:
-    """A tree grown until nodes are pure or cannot be cut. Each node looks at ``drawn`` features (the square root of all), and at more only until one can be cut."""
+def grow_tree(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes: int, rng: np.random.Generator, drawn: int | None = None, depth: int | None = None) -> Tree:
+    """A tree grown until nodes are pure or cannot be cut, or have the given depth. Each node looks at ``drawn`` features (the square root of all), and at more only until one can be cut."""
     n_features = bins.shape[1]
     drawn = drawn or max(1, int(np.sqrt(n_features)))
     rows = np.flatnonzero(weights > 0)
     at = np.zeros(len(rows), np.int64)
     parts: list[tuple[np.ndarray, ...]] = []
-    made, count = 0, 1
+    made, count, level = 0, 1, 0
     while count:
         y, w = labels[rows], weights[rows]
         totals = np.bincount(at * classes + y, w, count * classes).reshape(count, classes)
-        open_ = (totals > 0).sum(1) > 1
+        open_ = ((totals > 0).sum(1) > 1) & (depth is None or level < depth)
+        level += 1
         order = np.argsort(rng.random((count, n_features)), axis=1)
         best, feature, cut = np.full(count, -np.inf), np.full(count, -1), np.zeros(count, np.int64)
         for k in range(n_features):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.functions import rules
-from duskwatch.operators import boosting, datasets, evaluation, forest
+from duskwatch.operators import boosting, datasets, evaluation, forest, spread_forest
 from duskwatch.session import cut_lineage, run_folder
 
 # --- fixed values: model settings ------------------------------------------
@@ -154,20 +154,9 @@ def unsw_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Seq
     return stored(Pipeline(stages=stages).fit(train.na.fill(fill))), fill
 
 
-def fit_binary_forest(train: DataFrame, label: str, trees: int = UNSW_TREES, depth: int = FOREST_DEPTH) -> PipelineModel:
-    """Forest on ready-made ``features``, weighted by class."""
-    return stored(Pipeline(stages=[random_forest(trees, depth, label=label)]).fit(datasets.balanced_weights(train, label)))
-
-
-def evaluate_binary(scored: DataFrame, label: str) -> DataFrame:
-    """Binary metrics and ROC area of a model's output."""
-    out = cut_lineage(
-        scored.select(
-            F.col(label).alias("truth"),
-            F.col("prediction").cast("int").alias("predicted"),
-            F.get(vector_to_array("probability"), F.lit(1)).alias("p"),
-        )
-    )
+def evaluate_binary(scored: DataFrame) -> DataFrame:
+    """Binary metrics and ROC area of ``truth, predicted, p``."""
+    out = cut_lineage(scored)
     metrics = evaluation.binary_metrics(out, "truth", "predicted").withColumn("one", F.lit(1))
     return metrics.join(evaluation.roc_auc(out, "truth", "p").select("roc_auc", F.lit(1).alias("one")), "one").drop("one")
 
@@ -178,21 +167,23 @@ def evaluate_unsw(rows: DataFrame, trees: int = UNSW_TREES, depth: int = FOREST_
     features = [c for c in clean.columns if c not in rules.UNSW_NON_FEATURES]
     numeric = [c for c in features if c not in rules.UNSW_CATEGORICAL]
     split = cut_lineage(datasets.stratified_split(clean, "label", [*features, "id"]))
-    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-    preprocessor, fill = unsw_preprocessor(train, numeric)
-    model = fit_binary_forest(preprocessor.transform(train.na.fill(fill)).select("label", "features"), "label", trees, depth)
-    return evaluate_binary(model.transform(preprocessor.transform(test.na.fill(fill)).select("label", "features")), "label")
+    preprocessor, fill = unsw_preprocessor(split.filter(~F.col("is_test")), numeric)
+    ready = cut_lineage(preprocessor.transform(split.na.fill(fill)).select("label", "is_test", vector_to_array("features").alias("inputs")))
+    first = ready.select(F.size("inputs").alias("n")).first()
+    names = [f"input_{i}" for i in range(first["n"] if first else 0)]
+    ready = ready.select("label", "is_test", *[F.get("inputs", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    model = spread_forest.fit(ready.filter(~F.col("is_test")), names, "label", trees, depth)
+    return evaluate_binary(spread_forest.score(model, ready.filter("is_test"), names, "label"))
 
 
 def evaluate_native_2018(rows: DataFrame, features: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> DataFrame:
     """Align, clean, split, train and evaluate the 2018 rows as benign against attack."""
     labelled = datasets.normalise_labels(rows, "cse-cic-ids2018").withColumn("Label", datasets.binary_label(F.col("Label")))
     clean = datasets.distinct_rows(datasets.finite_rows(datasets.align_to_reference(labelled, features), features))
-    # MLlib takes a dot in a column name for a struct field.
     plain = [f"feature_{i}" for i in range(len(features))]
     split = cut_lineage(datasets.stratified_split(clean.toDF(*plain, "Label"), "Label", plain))
-    model = fit_forest(split.filter(~F.col("is_test")), plain, trees, depth)
-    return evaluate_binary(model.transform(split.filter("is_test")), "Label")
+    model = spread_forest.fit(split.filter(~F.col("is_test")), plain, "Label", trees, depth)
+    return evaluate_binary(spread_forest.score(model, split.filter("is_test"), plain, "Label"))
 
 
 # --- combining engines -----------------------------------------------------

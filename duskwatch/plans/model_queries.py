@@ -16,7 +16,7 @@ from duskwatch.sources import datasets as dataset_files
 from duskwatch.sources import sensors, sinks
 
 FEATURES = list(rules.FLOW_FEATURES)
-# Of the two evaluations whose tables are not capped and which MLlib therefore fits: its deepest trees (30) took 695 s for one of them.
+# Of the two evaluations whose tables are not capped; with MLlib, which fitted them at first, depth 30 took 695 s for one of them.
 QUERY_DEPTH = 14
 REFERENCE_2018 = (
     "Destination Port", "Flow Duration", "Total Fwd Packets", "Fwd Header Length", "Flow Bytes/s", "Flow Packets/s", "Fwd Header Length.1",
