@@ -202,3 +202,20 @@ def test_each_line_is_parsed_once(spark):
     good, _ = normalise.split_rejects(normalise.normalise_host_alerts(sensors.parse_lines(lines, "raw", HOST_ALERT)))
     plan = good._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(StructField(rule") == 1
+
+
+def test_small_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """A deep tree, hidden names, encodings, empty and broken files; no task for each few dozen files."""
+    deep = tmp_path / "tree" / "a" / "b"
+    deep.mkdir(parents=True)
+    record = json.dumps({"cveMetadata": {"cveId": "CVE-2024-É", "state": "PUBLISHED"}, "containers": {"cna": {}}}, ensure_ascii=False)
+    for name, raw in (("CVE-1", record.encode()), ("CVE-2", record.encode("utf-8-sig")), ("CVE-3", record.encode("utf-16")), ("CVE-4", b""), ("CVE-5", record.encode()[:40]), (".CVE-6", record.encode()), ("cve-7", record.encode())):
+        (deep / f"{name}.json").write_bytes(raw)
+    (tmp_path / "tree" / "_hidden").mkdir()
+    (tmp_path / "tree" / "_hidden" / "CVE-8.json").write_bytes(record.encode())
+    for root in (str(tmp_path / "tree"), f"file://{tmp_path}/tree/"):
+        assert [r["cveMetadata"]["cveId"] for r in catalogues.read_cve_records(spark, root).collect()] == ["CVE-2024-É"] * 3
+    sinks.write_files(spark.range(2_000).selectExpr("concat(id % 3, '/', id, '.md') AS path", "concat('text ', id) AS content"), str(tmp_path / "many"))
+    many = catalogues.read_markdown_tree(spark, str(tmp_path / "many"))
+    assert many.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {tuple(r) for r in many.collect()} == {(f"{i % 3}/{i}.md", f"text {i}") for i in range(2_000)}
