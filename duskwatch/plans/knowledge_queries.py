@@ -173,7 +173,7 @@ def render_techniques(spark, sf_dir):
 
 
 def _weaknesses(spark, sf_dir):
-    lines = view(spark, sf_dir, "weakness_line_v")
+    lines = view(spark, sf_dir, "weakness_line_v", spread=True)
     rows = lines.select(F.from_xml("raw", WEAKNESS_ROW, {"rowTag": "Weakness"}).alias("r")).select("r.*")
     return knowledge.weakness_fields(rows)
 

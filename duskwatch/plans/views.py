@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwatch.session import prepare
+from duskwatch.session import dealt, prepare
 
 _EVENT_US = "(1704067200000000 + (@us(ts) - 1704067200000000) @div 20"
 
@@ -372,10 +372,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """The derived view as a DataFrame. With ``spread`` its inputs' rows are dealt to all cores first, for work that takes long on each."""
     text = VIEWS[name]
-    inputs = {t: table(spark, sf_dir, t) for t in set(re.findall(r"@t\((\w+)\)", text))}
+    inputs = {t: dealt(table(spark, sf_dir, t)) if spread else table(spark, sf_dir, t) for t in set(re.findall(r"@t\((\w+)\)", text))}
     return spark.sql(_spark_sql(text), **inputs)
 
 

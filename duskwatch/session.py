@@ -13,6 +13,7 @@ import zipfile
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
@@ -114,6 +115,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt to a few tasks for each core, for work on a row that takes many times as long as moving it.
+
+    A scan has no more tasks than its files have row groups. Rows are dealt by the hash of their values, so nothing is sorted for it.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def name_once(spark: SparkSession, path: str, text: str) -> bool:
     """A small file that is renamed into place whole; False if there is one of that name already."""
     jvm = spark.sparkContext._jvm

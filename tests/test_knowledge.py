@@ -90,3 +90,13 @@ def test_changed_files_only(spark):
 def test_catalog_text(spark, raw, expected):
     df = spark.createDataFrame([(raw,)], "t STRING")
     assert df.select(knowledge.clean_catalog_text(F.col("t"))).first()[0] == expected
+
+
+def test_catalogue_rows_are_dealt_to_all_cores(spark, sf_dir):
+    """A small file is one task of a scan, whatever is done with its rows."""
+    from duskwatch.plans import knowledge_queries
+    from duskwatch.plans.views import table
+
+    rows = knowledge_queries._weaknesses(spark, sf_dir)
+    assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert rows.count() == table(spark, sf_dir, "part").count()
