@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.session import cut_lineage
+from duskwatch.session import cut_lineage, dealt
 
 BINS = 255
 MOST_ROWS = 1_000_000  # rows of a training table that is sent to every task: a byte for each value
@@ -244,4 +244,4 @@ def score(nodes: DataFrame, rows: DataFrame, features: Sequence[str], *keep: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(list(total / len(heads)), pa.list_(pa.float64()))], names=[*keep, "shares"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, *features).mapInArrow(run, f"{kinds}{', ' if keep else ''}shares array<double>")
+    return dealt(rows.select(*dict.fromkeys([*keep, *features]))).select(*keep, *features).mapInArrow(run, f"{kinds}{', ' if keep else ''}shares array<double>")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duskwatch.session import cut_lineage
+from duskwatch.session import cut_lineage, dealt
 
 TREES = 300
 SAMPLE = 256
@@ -191,7 +191,7 @@ def score(scaled: DataFrame, forest: Forest, features: Sequence[str], *keep: str
 
     kept = ", ".join(f"`{c}` {scaled.schema[c].dataType.simpleString()}" for c in keep)
     needed = list(dict.fromkeys([*keep, *features]))
-    return scaled.select(*needed).mapInPandas(run, f"{kept}{', ' if kept else ''}normality double")
+    return dealt(scaled.select(*needed)).mapInPandas(run, f"{kept}{', ' if kept else ''}normality double")
 
 
 def offset_of(scored: DataFrame, contamination: float = CONTAMINATION) -> float:
