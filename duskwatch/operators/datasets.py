@@ -13,6 +13,7 @@ from duskwatch.functions.columns import strip
 from duskwatch.session import cut_lineage
 
 BUCKET_ROWS = 100_000  # distinct rows that one bucket of a class is meant to hold
+RANGE_BITS = 12  # of the hash, by which the rows of a class are counted before it is capped
 SEED = 42
 
 
@@ -149,8 +150,8 @@ def leakage(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataF
 
 
 # --- sampling and splits ---------------------------------------------------
-def hash_positions(df: DataFrame, by: str, columns: Sequence[str], seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``position`` (1, 2, ... per class in hash order) and ``class_rows``.
+def hash_positions(df: DataFrame, by: str, columns: Sequence[str], seed: int = SEED, bucket_rows: int = BUCKET_ROWS, most: int | None = None) -> DataFrame:
+    """Adds ``position`` (1, 2, ... per class in hash order, to ``most`` if given) and ``class_rows``.
 
     Equal rows are counted first and take consecutive positions, so a row that is repeated millions of times is one row
     here. A class may hold most of the rows, so it is not ordered in one task: distinct rows are bucketed by the top bits of
@@ -172,13 +173,27 @@ def hash_positions(df: DataFrame, by: str, columns: Sequence[str], seed: int = S
     )
     inside = Window.partitionBy(by, "bucket").orderBy("row_hash", *[_quoted(c) for c in columns]).rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.join(offsets, [by, "bucket"]).withColumn("first", F.col("offset") + F.coalesce(F.sum("row_copies").over(inside), F.lit(0)))
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("row_copies")))
+    last = F.col("row_copies")
+    if most is not None:  # copies beyond it are not even made
+        placed, last = placed.filter(F.col("first") < most), F.least(last, most - F.col("first"))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), last))
     return placed.withColumn("nth", copies).select(*[_quoted(c) for c in names], "class_rows", (F.col("first") + F.col("nth")).alias("position"))
 
 
 def cap_per_class(df: DataFrame, by: str, columns: Sequence[str], most: int = rules.MAX_PER_CLASS, seed: int = SEED) -> DataFrame:
-    """At most ``most`` rows of each class, chosen by hash order."""
-    return hash_positions(df, by, columns, seed).filter(F.col("position") <= most).drop("position", "class_rows")
+    """At most ``most`` rows of each class, chosen by hash order.
+
+    Rows are counted by class and range of the hash first. Only those up to the range in which their class is full are put in order, so what is
+    moved hardly grows with the rows.
+    """
+    span = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[_quoted(c) for c in columns]), 64 - RANGE_BITS)
+    counts = df.groupBy(_quoted(by).alias("class"), span.alias("span")).agg(F.count(F.lit(1)).alias("n"))
+    lower = Window.partitionBy("class").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("before", F.coalesce(F.sum("n").over(lower), F.lit(0))).filter(F.col("before") < most)
+    # One row for each class, written so that the join knows its size.
+    last = cut_lineage(needed.groupBy("class").agg(F.max("span").alias("last_span")))
+    near = df.join(last, (_quoted(by) == F.col("class")) & (span <= F.col("last_span")), "left_semi")
+    return hash_positions(near, by, columns, seed, most=most).drop("position", "class_rows")
 
 
 def stratified_split(df: DataFrame, by: str, columns: Sequence[str], test_share: float = 0.2, seed: int = SEED) -> DataFrame:

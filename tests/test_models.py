@@ -138,6 +138,32 @@ def test_positions_of_repeated_rows(spark):
     assert ones == list(range(ones[0], ones[0] + 501))
 
 
+def test_only_the_start_of_a_class_is_put_in_order(spark, monkeypatch):
+    """All rows of a class were ordered to keep a fixed number of them."""
+    df = spark.range(40_000).selectExpr("if(id % 4 = 0, 'a', if(id < 30, null, 'b')) AS label", "if(id % 5 = 0, 7, id) AS v").unionByName(spark.sql("SELECT 'c' AS label, 1L AS v"))
+    plain = datasets.hash_positions(df, "label", ["v"]).filter("position <= 300").select("label", "v")
+    ordered = []
+    positions = datasets.hash_positions
+
+    def counted(rows, *args, **kwargs):
+        ordered.append(rows.count())
+        return positions(rows, *args, **kwargs)
+
+    monkeypatch.setattr(datasets, "hash_positions", counted)
+    got = datasets.cap_per_class(df, "label", ["v"], most=300)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert got.groupBy("label").count().filter("label <> 'c' AND count <> 300").isEmpty()
+    assert 601 <= ordered[0] < 1_200
+
+
+def test_copies_beyond_the_cap_are_not_made(spark):
+    """A row that a class has often was multiplied before the class was capped."""
+    df = spark.range(500).selectExpr("'a' AS label", "1L AS v")
+    plan = datasets.cap_per_class(df, "label", ["v"], most=20)
+    assert plan.count() == 20
+    assert [r.position for r in datasets.hash_positions(df, "label", ["v"], most=20).orderBy("position").collect()] == list(range(1, 21))
+
+
 def test_unsw_and_native_models(spark, sf_dir):
     registry.QUERIES["correlation_ids"](spark, sf_dir).count()  # one session must bear both
     unsw = models.evaluate_unsw(view(spark, sf_dir, "unsw_v"), trees=5, depth=5).first()
