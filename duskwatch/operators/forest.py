@@ -20,6 +20,7 @@ from duskwatch.session import cut_lineage, dealt
 
 BINS = 255
 MOST_ROWS = 1_000_000  # rows of a training table that is sent to every task: a byte for each value
+STEPS = 6  # down a tree before the rows that are in leaves are put aside
 SEED = 42
 _NODES = "tree int, node int, feature int, threshold double, below int, above int, shares array<double>"
 
@@ -220,6 +221,42 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, trees: int, seed:
     return cut_lineage(spark.range(0, trees, 1, min(trees, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(grow, _NODES))
 
 
+@dataclass
+class Walks:
+    """Nodes of many trees to walk rows down: a step takes a row to ``below``, or to the node after it. At a leaf a step changes nothing."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    below: np.ndarray
+    leaf: np.ndarray
+
+    @classmethod
+    def of(cls, feature: np.ndarray, threshold: np.ndarray, below: np.ndarray, above: np.ndarray) -> Walks:
+        leaf = feature < 0
+        if (above[~leaf] != below[~leaf] + 1).any():
+            raise ValueError("a node's two children do not follow each other")
+        return cls(np.where(leaf, 0, feature), np.where(leaf, np.inf, threshold), np.where(leaf, np.arange(len(feature)), below), leaf)
+
+    def leaves(self, values: np.ndarray, head: int) -> np.ndarray:
+        """The leaf of each row below the node ``head``. Values are not NaN. Rows in leaves are put aside every ``STEPS`` steps only."""
+        flat, start = values.ravel(), np.arange(len(values)) * values.shape[1]
+        done = at = np.full(len(values), head)
+        open_ = None
+        while True:
+            for _ in range(STEPS):
+                high = flat.take(start + self.feature.take(at)) > self.threshold.take(at)
+                at = self.below.take(at) + high
+            if open_ is None:
+                done = at
+            else:
+                done[open_] = at
+            left = np.flatnonzero(~self.leaf.take(at))
+            if not len(left):
+                return done
+            open_ = left if open_ is None else open_[left]
+            start, at = start[left], at[left]
+
+
 def score(nodes: DataFrame, rows: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
     """``keep..., shares`` of every row: the mean of its leaves' class shares. The node table is bounded by trees and training rows, so it is broadcast."""
     table = nodes.orderBy("tree", "node").toArrow()
@@ -227,21 +264,19 @@ def score(nodes: DataFrame, rows: DataFrame, features: Sequence[str], *keep: str
     heads = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
     base = np.repeat(heads, np.diff(np.append(heads, len(tree))))
     shares = np.array(table.column("shares").to_pylist(), np.float64)
-    sent = rows.sparkSession.sparkContext.broadcast((heads, feature, table.column("threshold").to_numpy(), below + base, above + base, shares))
+    sent = rows.sparkSession.sparkContext.broadcast((heads, Walks.of(feature, table.column("threshold").to_numpy(), below + base, above + base), shares))
 
     def run(batches):
-        heads, feature, threshold, below, above, shares = sent.value
+        heads, walks, shares = sent.value
         for batch in batches:
             values = np.stack([batch.column(len(keep) + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(features))], axis=1)
+            values[np.isnan(values)] = np.inf  # above every threshold
             total = np.zeros((len(values), shares.shape[1]))
             for head in heads.tolist():
-                at, open_ = np.full(len(values), head), np.arange(len(values))
-                while len(open_):
-                    open_ = open_[feature[at[open_]] >= 0]
-                    here = at[open_]
-                    at[open_] = np.where(values[open_, feature[here]] <= threshold[here], below[here], above[here])
-                total += shares[at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(list(total / len(heads)), pa.list_(pa.float64()))], names=[*keep, "shares"])
+                total += shares.take(walks.leaves(values, head), axis=0)
+            ends = np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array((total / len(heads)).ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), found], names=[*keep, "shares"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return dealt(rows.select(*dict.fromkeys([*keep, *features]))).select(*keep, *features).mapInArrow(run, f"{kinds}{', ' if keep else ''}shares array<double>")

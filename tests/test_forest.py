@@ -120,3 +120,32 @@ def test_scoring_uses_all_cores(spark):
     scored = forest.score(forest.fit(rows, ["a", "b"], "y", 5), rows, ["a", "b"], "id", "a")
     assert scored.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert sorted(r["id"] for r in scored.collect()) == list(range(200))
+
+
+def test_walks_of_stored_nodes_end_in_the_leaves_of_single_steps():
+    """Also for rows in a leaf long before others, and values above every threshold."""
+    rng = np.random.default_rng(3)
+    bins, labels = rng.integers(0, 250, (3_000, 3)).astype(np.uint8), rng.integers(0, 3, 3_000)
+    tree = forest.grow_tree(bins, labels, np.ones(3_000), 3, np.random.default_rng(1))
+    head = 5  # nodes of another tree come first
+    feature = np.append(np.full(head, -1), tree.feature)
+    threshold = np.append(np.full(head, np.nan), np.where(tree.feature >= 0, tree.cut.astype(float), np.nan))
+    below, above = (np.append(np.full(head, -1), x + head) for x in (tree.below, tree.above))
+    values = rng.integers(0, 250, (900, 3)).astype(float)
+    values[::50, rng.integers(0, 3)] = np.inf
+    got = forest.Walks.of(feature, threshold, below, above).leaves(values, head)
+    for row, leaf in zip(values, got, strict=True):
+        at = head
+        while feature[at] >= 0:
+            at = below[at] if row[feature[at]] <= threshold[at] else above[at]
+        assert at == leaf
+    assert len(forest.Walks.of(feature, threshold, below, above).leaves(values[:0], head)) == 0
+    with pytest.raises(ValueError, match="children"):
+        forest.Walks.of(feature, threshold, above, below)
+
+
+def test_missing_values_go_above(spark):
+    rows = spark.range(300).selectExpr("double(id % 10) AS a", "double(id % 3) AS b", "int(id % 10 > 5) AS y")
+    nodes = forest.fit(rows, ["a", "b"], "y", 5)
+    asked = spark.sql("SELECT 1 AS k, double('NaN') AS a, double('NaN') AS b UNION ALL SELECT 2, null, null UNION ALL SELECT 3, double('Infinity'), double('Infinity')")
+    assert len({tuple(r.shares) for r in forest.score(nodes, asked, ["a", "b"], "k").collect()}) == 1
