@@ -6,18 +6,20 @@ enough of its own tokens, so a set opens only the groups whose union does; membe
 Three steps keep the matrix small, and none of them loses a link. Sets with too many tokens that no other set has are linked with nothing; counting a fixed
 part of all tokens (by hash, the same for every set) proves that for most. The others are grouped by their least token under a random
 order, large groups are cut into blocks, and links inside blocks join most near copies into components. What remains is links between components: sets too
-many of whose tokens stay in their own component are done, and only the rest goes through the matrix.
+many of whose tokens stay in their own component are done. Of the rest, sets that no other component has a partner for, by size and tokens, are left out in rounds, and only what then
+is left goes through the matrix.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import SLICE_BYTES, column, cut_lineage, doc_slices, hashed_words, join_by_key, map_batches, text_of, utf8_parts
@@ -29,6 +31,8 @@ SHARE = 0.4  # of all tokens, by hash, that are counted to find sets which share
 TOKENS_AT_ONCE = 1_500_000  # tokens of sets that a task sorts together
 BLOCK_SETS, BLOCK_TOKENS = 512, 500_000  # of a group of similar sets, compared in one piece; bounds the worker's memory
 GROUP_SETS = 64  # of the matrix
+SIZE_STEP = 1.1  # between the classes of sizes by which a token's sets are told apart
+ROUNDS = 8  # at most, in which sets without partners are left out; more would only leave out more
 QUERIES_AT_ONCE = 2_048  # sets that one task holds against a group
 FILTER_BITS = 1 << 26  # at most, of the bitmap that spares sets which were ruled out from being moved: 8 MB
 SHORT_WORD = 64  # bytes of a word that are told apart by their places; longer words are hashed by XXH64
@@ -433,29 +437,66 @@ def link_groups(members: DataFrame, key: str, salt: int, percent: int = PERCENT)
     return rows.repartition(n, key, "block").sortWithinPartitions(key, "block").mapInArrow(compare, "a string, b string")
 
 
-def token_groups(members: DataFrame) -> DataFrame:
-    """``members`` with ``group``: sets of one least token have one, unless they are too many, and small ones are put together; about ``GROUP_SETS`` in each."""
+def _left(tokens: DataFrame, percent: int) -> DataFrame:
+    """(id, smallest, largest): how many tokens a set of another component may have to be linked with this one, told by how many of its tokens are left; no row where none can."""
+    smallest = F.ceil(F.col("n") * percent / 100)
+    largest = F.expr(f"({100 + percent} * left - {percent} * n) div {percent}")  # with x shared, both sets together have at most x (100 + percent) / percent
+    return tokens.groupBy("id", "n", "class").agg(F.count(F.lit(1)).alias("left")).select("id", smallest.alias("smallest"), largest.alias("largest")).filter("smallest <= largest")
+
+
+def _size_class(n: str) -> Column:
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(SIZE_STEP)).cast("int")
+
+
+def shared_tokens(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, n, class, token): the sets that may still be linked with a set of another component, and of their tokens those that such sets may share; ``class`` names the component.
+
+    A token counts for a set if a set of another component has it, which may be linked with a set of this size and is of a size this one may be linked with.
+    Sets are left out when too few of their tokens count, their tokens then count for no other set, and so on in rounds until little changes. A set and one it is linked with keep
+    all they share through every round, so no link is lost; a token makes one row for each set and size class, however many sets have it.
+    """
+    tokens = members.select("id", "n", F.xxhash64("component").alias("class"), F.explode("tokens").alias("token"))
+    several = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    tokens = cut_lineage(tokens.join(several, "token", "left_semi"))
+    before, now = math.inf, tokens.count()
+    for _ in range(ROUNDS):
+        if not now or now > before * 0.9:
+            break
+        open_ = cut_lineage(tokens.join(cut_lineage(_left(tokens, percent)), "id"))
+        sizes = F.explode(F.sequence(_size_class("smallest"), _size_class("largest")))
+        held = open_.select("token", "class", "n", sizes.alias("size")).groupBy("token", "size")
+        held = held.agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+        met = open_.withColumn("size", _size_class("n")).join(held, ["token", "size"]).filter("(low <> class or high <> class) and least <= largest and most >= smallest")
+        tokens = cut_lineage(met.select("id", "n", "class", "token"))
+        before, now = now, tokens.count()
+    return cut_lineage(tokens.join(cut_lineage(_left(tokens, percent)), "id"))
+
+
+def token_groups(members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``members`` of ``tokens`` with ``group``, about ``GROUP_SETS`` in each: sets of a large component have groups of their own, others one for the least token they have left."""
+    left = tokens.groupBy("id", "class").agg(F.min(F.xxhash64("token")).alias("least"))
+    large = cut_lineage(left.groupBy("class").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") >= GROUP_SETS)).select("class")
+    named = left.join(large.withColumnRenamed("class", "large"), F.col("class") == F.col("large"), "left").select("id", F.coalesce("large", "least").alias("alike"))
+    members = cut_lineage(members.join(cut_lineage(named), "id"))
     groups = max(1, -(-members.count() // GROUP_SETS))
     piece = F.pmod(F.xxhash64("mark", F.lit("group")), F.ceil(F.col("pieces") * (BLOCK_SETS / GROUP_SETS)))
-    placed = F.when(F.col("pieces") > 1, F.xxhash64("least_0", piece)).otherwise(F.xxhash64("least_0"))
-    return _pieces(members, "least_0").withColumn("group", F.pmod(placed, F.lit(groups))).drop("pieces")
+    placed = F.when(F.col("pieces") > 1, F.xxhash64("alike", piece)).otherwise(F.xxhash64("alike"))
+    return _pieces(members, "alike").withColumn("group", F.pmod(placed, F.lit(groups))).drop("pieces")
 
 
-def candidate_groups(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(mark, group): for each set the groups whose union holds one of its rarest tokens and which have members of other components.
+def candidate_groups(grouped: DataFrame, tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(mark, group): for each set the groups whose union holds one of its rarest tokens and which have members of other components and of its size or more.
 
-    Of a set's tokens, those of its own component alone come first, then those that few groups have. A set shares all but so many of its
-    tokens with what it is linked with, so one of the first so many and one is among them.
+    The smaller of two linked sets shares all but so many of its tokens with the other, so one of any so many and one of them is among those. Those that few groups have are
+    looked up; only ``tokens`` (``shared_tokens``) count.
     """
-    tokens = grouped.select("mark", "n", "component", "group", F.explode("tokens").alias("token"))
-    matrix = cut_lineage(tokens.groupBy("token", "group").agg(F.min("component").alias("low"), F.max("component").alias("high")))
-    useful = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
-    useful = cut_lineage(useful.select("token", "groups"))
-    ranked = tokens.join(useful, "token").groupBy("mark", "n", "component").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("found"))
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    probes = spare + 1 - (F.col("n") - F.size("found"))
-    probing = ranked.filter(probes > 0).select("mark", "component", F.explode(F.slice("found", F.lit(1), probes.cast("int"))).alias("t")).select("mark", "component", "t.token")
-    met = probing.join(matrix, "token").filter("low <> high or low <> component")
+    placed = tokens.join(grouped.select("id", "mark", "group"), "id")
+    matrix = cut_lineage(placed.groupBy("token", "group").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("n").alias("most"), F.min("n").alias("least")))
+    useful = cut_lineage(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")))
+    ranked = placed.join(useful, "token").groupBy("mark", "n", "class", "largest").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("found"))
+    probes = F.size("found") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1
+    probing = ranked.filter(probes > 0).select("mark", "n", "class", "largest", F.explode(F.slice("found", F.lit(1), probes.cast("int"))).alias("t")).select("mark", "n", "class", "largest", "t.token")
+    met = probing.join(matrix, "token").filter("(low <> high or low <> class) and most >= n and least <= largest")
     return met.select("mark", "group").distinct()
 
 
@@ -514,8 +555,9 @@ def linked_sets(df: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col
     joined = members.join(placed.select("mark", "component"), "mark")
     between = _between(joined, percent, share)
     rest = cut_lineage(joined.join(cut_lineage(between), "id", "left_semi"))
-    grouped = cut_lineage(token_groups(rest))
-    candidates = cut_lineage(candidate_groups(grouped, percent))
+    tokens = shared_tokens(rest, percent)
+    grouped = cut_lineage(token_groups(rest, tokens))
+    candidates = cut_lineage(candidate_groups(grouped, tokens, percent))
     return components(links.unionByName(open_groups(grouped, candidates, percent)), "a", "b")
 
 

@@ -117,3 +117,27 @@ def test_links_and_bounds():
         assert inside == {j for j in range(20) if (min(i, j), max(i, j)) in alike}
         if inside:
             assert len(own) >= J.needed(len(sets[i]))
+
+
+def test_copies_that_are_not_near_enough_are_not_paired(spark, monkeypatch):
+    """Of a crowd of texts that share four fifths of their shingles, each opened every group of the crowd."""
+    monkeypatch.setattr(J, "GROUP_SETS", 4)
+    rng = random.Random(5)
+    base, asked = [f"w{i}" for i in range(150)], []
+    rows = []
+    for copy in range(120):
+        text = list(base)
+        for place in rng.sample(range(0, 150, 7), 4):
+            text[place] = f"c{copy}x{place}"
+        rows.append((copy, " ".join(text), "en", "a", 1))
+    rows += [(500, " ".join(base), "en", "a", 1), (501, " ".join([*base[:-1], "end"]), "en", "a", 1)]
+    opened = J.open_groups
+
+    def counted(grouped, candidates, *args):
+        asked.append(candidates.count())
+        return opened(grouped, candidates, *args)
+
+    monkeypatch.setattr(J, "open_groups", counted)
+    got = sorted(tuple(r) for r in J.jaccard_groups(spark.createDataFrame(rows, edge_rows.SCHEMA).repartition(4)).collect())
+    assert sorted(got, key=str) == expected(rows)
+    assert asked[0] < len(rows)
