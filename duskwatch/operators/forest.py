@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.operators.descent import Descent, floats, in_chunks
 from duskwatch.session import cut_lineage, dealt
 
 BINS = 255
 MOST_ROWS = 1_000_000  # rows of a training table that is sent to every task: a byte for each value
-STEPS = 6  # down a tree before the rows that are in leaves are put aside
 SEED = 42
 _NODES = "tree int, node int, feature int, threshold double, below int, above int, shares array<double>"
 
@@ -223,38 +223,28 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, trees: int, seed:
 
 @dataclass
 class Walks:
-    """Nodes of many trees to walk rows down: a step takes a row to ``below``, or to the node after it. At a leaf a step changes nothing."""
+    """Nodes of many trees to walk rows down: a step takes a row to ``below``, or to the node after it."""
 
     feature: np.ndarray
     threshold: np.ndarray
     below: np.ndarray
-    leaf: np.ndarray
+    above: np.ndarray
 
     @classmethod
     def of(cls, feature: np.ndarray, threshold: np.ndarray, below: np.ndarray, above: np.ndarray) -> Walks:
-        leaf = feature < 0
-        if (above[~leaf] != below[~leaf] + 1).any():
+        inner = feature >= 0
+        if (above[inner] != below[inner] + 1).any():
             raise ValueError("a node's two children do not follow each other")
-        return cls(np.where(leaf, 0, feature), np.where(leaf, np.inf, threshold), np.where(leaf, np.arange(len(feature)), below), leaf)
+        return cls(feature, threshold, below, above)
+
+    def descent(self, heads: Sequence[int], features: int) -> Descent:
+        """The trees below the nodes ``heads``."""
+        return Descent.of(self.feature, self.threshold, self.below, self.above, heads, features)
 
     def leaves(self, values: np.ndarray, head: int) -> np.ndarray:
-        """The leaf of each row below the node ``head``. Values are not NaN. Rows in leaves are put aside every ``STEPS`` steps only."""
-        flat, start = values.ravel(), np.arange(len(values)) * values.shape[1]
-        done = at = np.full(len(values), head)
-        open_ = None
-        while True:
-            for _ in range(STEPS):
-                high = flat.take(start + self.feature.take(at)) > self.threshold.take(at)
-                at = self.below.take(at) + high
-            if open_ is None:
-                done = at
-            else:
-                done[open_] = at
-            left = np.flatnonzero(~self.leaf.take(at))
-            if not len(left):
-                return done
-            open_ = left if open_ is None else open_[left]
-            start, at = start[left], at[left]
+        """The leaf of each row below the node ``head``. A value that is not a number is above every threshold."""
+        down = self.descent([head], values.shape[1])
+        return down.nodes[0].take(down.trees[0].leaves(down.ranks(values)))
 
 
 def score(nodes: DataFrame, rows: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
@@ -264,18 +254,20 @@ def score(nodes: DataFrame, rows: DataFrame, features: Sequence[str], *keep: str
     heads = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
     base = np.repeat(heads, np.diff(np.append(heads, len(tree))))
     shares = np.array(table.column("shares").to_pylist(), np.float64)
-    sent = rows.sparkSession.sparkContext.broadcast((heads, Walks.of(feature, table.column("threshold").to_numpy(), below + base, above + base), shares))
+    down = Walks.of(feature, table.column("threshold").to_numpy(), below + base, above + base).descent(heads.tolist(), len(features))
+    sent = rows.sparkSession.sparkContext.broadcast((down, down.by_tree(shares.T)))
 
     def run(batches):
-        heads, walks, shares = sent.value
-        for batch in batches:
-            values = np.stack([batch.column(len(keep) + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(features))], axis=1)
-            values[np.isnan(values)] = np.inf  # above every threshold
-            total = np.zeros((len(values), shares.shape[1]))
-            for head in heads.tolist():
-                total += shares.take(walks.leaves(values, head), axis=0)
-            ends = np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)
-            found = pa.ListArray.from_arrays(pa.array(ends), pa.array((total / len(heads)).ravel()))
+        down, shares = sent.value
+        for batch in in_chunks(batches):
+            ranks = down.ranks(np.stack([floats(batch.column(len(keep) + i)) for i in range(len(features))], axis=1))
+            total = np.zeros((len(shares[0]), batch.num_rows))
+            for tree, told in zip(down.trees, shares, strict=True):
+                leaves = tree.leaves(ranks)
+                for sums, of_class in zip(total, told, strict=True):
+                    sums += of_class.take(leaves)
+            ends = np.arange(0, total.size + 1, len(total), dtype=np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array((total.T / len(down.trees)).ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), found], names=[*keep, "shares"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)

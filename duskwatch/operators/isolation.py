@@ -8,14 +8,16 @@ size depends on the number of trees only. Scoring walks the trees on column batc
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duskwatch.operators.descent import Descent, floats, in_chunks
 from duskwatch.session import cut_lineage
 
 TREES = 300
@@ -139,6 +141,8 @@ def score_with_saved(df: DataFrame, path: str, features: Sequence[str], *keep: s
 # --- scoring ---------------------------------------------------------------
 @dataclass
 class Forest:
+    """Trees as arrays; a leaf's feature is -1."""
+
     feature: np.ndarray
     threshold: np.ndarray
     below: np.ndarray
@@ -153,45 +157,40 @@ def load_forest(nodes: DataFrame, size: int = SAMPLE) -> Forest:
     pdf = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
     start = pdf.groupby("tree").cumcount().to_numpy()
     base = np.arange(len(pdf)) - start
-    leaf = pdf["feature"].to_numpy() < 0
-    here = np.arange(len(pdf))
     return Forest(
-        feature=np.where(leaf, 0, pdf["feature"].to_numpy()),
-        threshold=np.where(leaf, np.inf, pdf["threshold"].to_numpy()),
-        below=np.where(leaf, here, pdf["below"].to_numpy() + base),
-        above=np.where(leaf, here, pdf["above"].to_numpy() + base),
+        feature=pdf["feature"].to_numpy(),
+        threshold=pdf["threshold"].to_numpy(),
+        below=pdf["below"].to_numpy() + base,
+        above=pdf["above"].to_numpy() + base,
         depth=pdf["depth"].to_numpy(),
         roots=np.flatnonzero(start == 0),
         norm=float(mean_path(size)),
     )
 
 
-def _normality(forest: Forest, x: np.ndarray) -> np.ndarray:
+def _normality(down: Descent, depths: Sequence[np.ndarray], norm: float, values: np.ndarray) -> np.ndarray:
     """-1 for the most isolated rows up to 0 for the most ordinary ones."""
-    total, rows = np.zeros(len(x)), np.arange(len(x))
-    leaf = forest.below == np.arange(len(forest.below))
-    for root in forest.roots:
-        at = np.full(len(x), root)
-        while not leaf[at].all():
-            at = np.where(x[rows, forest.feature[at]] <= forest.threshold[at], forest.below[at], forest.above[at])
-        total += forest.depth[at]
-    return -np.exp2(-total / (len(forest.roots) * forest.norm))
+    total, ranks = np.zeros(len(values)), down.ranks(values)
+    for tree, depth in zip(down.trees, depths, strict=True):
+        total += depth.take(tree.leaves(ranks))
+    return -np.exp2(-total / (len(down.trees) * norm))
 
 
 def score(scaled: DataFrame, forest: Forest, features: Sequence[str], *keep: str) -> DataFrame:
     """``keep...`` and ``normality`` of every row."""
-    shared = scaled.sparkSession.sparkContext.broadcast(forest)
-    columns = list(features)
+    down = Descent.of(forest.feature, forest.threshold, forest.below, forest.above, forest.roots.tolist(), len(features))
+    shared = scaled.sparkSession.sparkContext.broadcast((down, down.by_tree(forest.depth), forest.norm))
+    needed = list(dict.fromkeys([*keep, *features]))
+    places = [needed.index(f) for f in features]
+    kept = [needed.index(c) for c in keep]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[list(keep)].copy()
-            out["normality"] = _normality(shared.value, pdf[columns].to_numpy(dtype=float))
-            yield out
+    def run(batches):
+        for batch in in_chunks(batches):
+            told = _normality(*shared.value, np.stack([floats(batch.column(i)) for i in places], axis=1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(told)], names=[*keep, "normality"])
 
-    kept = ", ".join(f"`{c}` {scaled.schema[c].dataType.simpleString()}" for c in keep)
-    needed = list(dict.fromkeys([*keep, *features]))
-    return scaled.select(*needed).mapInPandas(run, f"{kept}{', ' if kept else ''}normality double")
+    kinds = ", ".join(f"`{c}` {scaled.schema[c].dataType.simpleString()}" for c in keep)
+    return scaled.select(*needed).mapInArrow(run, f"{kinds}{', ' if kinds else ''}normality double")
 
 
 def offset_of(scored: DataFrame, contamination: float = CONTAMINATION) -> float:
