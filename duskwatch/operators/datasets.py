@@ -83,9 +83,17 @@ def finite_double(c: Column) -> Column:
     return F.when(F.isnan(number) | F.abs(number).isin(float("inf")), None).otherwise(number)
 
 
+def _number_of(df: DataFrame, name: str) -> Column:
+    """The value as a double, null for anything that is not a number. A text without a digit is not even read as one, since each that fails costs an exception."""
+    c = _quoted(name)
+    return (F.when(c.rlike("[0-9]"), c) if df.select(c).schema[0].dataType.typeName() == "string" else c).try_cast("double")
+
+
 def finite_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``columns`` as doubles, rows with a missing, infinite or non-numeric value removed."""
-    numbers = df.withColumns({c: finite_double(_quoted(c)) for c in columns})
+    # Texts are read once: a generator is neither repeated for the filter behind it nor merged with it.
+    held = df.withColumn("__numbers", F.explode_outer(F.array(F.array(*[_number_of(df, c) for c in columns]))))
+    numbers = held.withColumns({c: finite_double(F.get("__numbers", F.lit(i))) for i, c in enumerate(columns)}).drop("__numbers")
     return numbers.na.drop("any", subset=[f"`{c}`" if "." in c else c for c in columns])
 
 
@@ -93,7 +101,7 @@ def finite_row_counts(df: DataFrame, columns: Sequence[str], *by: str) -> DataFr
     """Rows kept and removed by :func:`finite_rows`, in one pass."""
     bad = F.lit(False)
     for c in columns:
-        bad = bad | finite_double(_quoted(c)).isNull()
+        bad = bad | finite_double(_number_of(df, c)).isNull()
     return df.groupBy(*by).agg(F.count_if(~bad).alias("kept"), F.count_if(bad).alias("removed"))
 
 

@@ -47,6 +47,7 @@ class Tree:
     @classmethod
     def of(cls, feature: np.ndarray, cut: np.ndarray, below: np.ndarray, top: int = TOP) -> Tree:
         """``below`` counts from the root, a leaf's feature is -1, and the child above is the one after."""
+        feature, cut, below = (np.asarray(x, np.int64) for x in (feature, cut, below))
         inner = feature >= 0
         if len(feature) >= 1 << (63 - _BELOW) or feature.max() > _FEATURES or cut.max() >= _MOST:
             raise ValueError("a tree, its features or its cuts are too many")
@@ -85,16 +86,16 @@ class Tree:
         high ^= low
         return high
 
-    def leaves(self, ranks: Ranks) -> np.ndarray:
-        """The leaf of each row, counted from the root."""
+    def leaves(self, ranks: Ranks, rows: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row, or of the rows asked for, counted from the root."""
         taken: list[np.ndarray | None] = []
         code = np.zeros(ranks.columns.shape[1], np.uint8)
         for k in range(len(self.entry).bit_length() - 1):
             taken.append(self._decisions(ranks.columns, taken, (), k))
             if taken[k] is not None:
                 code |= taken[k].view(np.uint8) << np.uint8(k)
-        at = self.entry.take(code)
-        done, open_, start, left = at, None, ranks.start, self.steps
+        at = self.entry.take(code if rows is None else code.take(rows))
+        done, open_, start, left = at, None, ranks.start if rows is None else ranks.start.take(rows), self.steps
         while left > 0:
             for _ in range(min(left, STEPS)):
                 node = self.packed.take(at)

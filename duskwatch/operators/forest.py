@@ -84,20 +84,32 @@ class Tree:
     shares: np.ndarray
 
 
+def _in_order(at: np.ndarray, values: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by node and value, equal ones as they come, and those as one number; numbers of up to two bytes are sorted by their digits."""
+    if nodes <= 256:
+        key = at.astype(np.uint16)
+        key <<= 8
+        key |= values.astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+    else:
+        key = at * 256 + values
+        order = np.argsort(values.astype(np.uint8), kind="stable")
+        order = order.take(np.argsort(at.astype(np.uint16 if nodes <= 65_536 else np.int64).take(order), kind="stable"))
+    return order, key.take(order)
+
+
 def best_cuts(at: np.ndarray, values: np.ndarray, labels: np.ndarray, weights: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each node (``at`` says which one a row is in) the best cut of ``values`` by Gini impurity, and its score; -inf where nothing can be cut."""
     nodes, classes = totals.shape
     score, cut = np.full(nodes, -np.inf), np.zeros(nodes, np.int64)
     if not len(at):
         return score, cut
-    key = at * 256 + values
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    order, key = _in_order(at, values, nodes)
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    spread = np.zeros((len(order), classes))
-    spread[np.arange(len(order)), labels[order]] = weights[order]
-    cells = np.cumsum(np.add.reduceat(spread, heads), axis=0)
-    node = key[heads] >> 8
+    own, ordered = labels.take(order), weights.take(order)
+    cells = np.stack([np.cumsum(np.add.reduceat(ordered * (own == c), heads)) for c in range(classes)], axis=1)
+    key = key[heads].astype(np.int64)
+    node = key >> 8
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     begin = np.concatenate([np.zeros((1, classes)), cells])[first]
     left = cells - np.repeat(begin, np.diff(np.append(first, len(node))), axis=0)
@@ -110,7 +122,7 @@ def best_cuts(at: np.ndarray, values: np.ndarray, labels: np.ndarray, weights: n
     where = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(first, len(node)))))
     chosen = where[np.unique(node[where], return_index=True)[1]]  # the lowest of equal cuts
     score[node[first]] = top
-    cut[node[chosen]] = key[heads[chosen]] & 255
+    cut[node[chosen]] = key[chosen] & 255
     return score, cut
 
 
@@ -119,11 +131,12 @@ def grow_tree(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes
     n_features = bins.shape[1]
     drawn = drawn or max(1, int(np.sqrt(n_features)))
     rows = np.flatnonzero(weights > 0)
+    bins, y, w = bins[rows], labels[rows], weights[rows]
     at = np.zeros(len(rows), np.int64)
     parts: list[tuple[np.ndarray, ...]] = []
     made, count, level = 0, 1, 0
     while count:
-        y, w = labels[rows], weights[rows]
+        flat, start = bins.ravel(), np.arange(len(bins)) * n_features
         totals = np.bincount(at * classes + y, w, count * classes).reshape(count, classes)
         open_ = ((totals > 0).sum(1) > 1) & (depth is None or level < depth)
         level += 1
@@ -133,8 +146,9 @@ def grow_tree(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes
             looking = open_ if k < drawn else open_ & (feature < 0)
             if not looking.any():
                 break
-            mine = np.flatnonzero(looking[at])
-            score, where = best_cuts(at[mine], bins[rows[mine], order[at[mine], k]].astype(np.int64), y[mine], w[mine], totals)
+            mine = slice(None) if looking.all() else np.flatnonzero(looking.take(at))
+            here = at[mine]
+            score, where = best_cuts(here, flat.take(start[mine] + order[:, k].take(here)), y[mine], w[mine], totals)
             better = looking & (score > best)
             best[better], cut[better], feature[better] = score[better], where[better], order[better, k]
         split = feature >= 0
@@ -142,11 +156,12 @@ def grow_tree(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, classes
         below[split] = made + count + 2 * np.arange(int(split.sum()))
         sums = totals.sum(1, keepdims=True)
         parts.append((feature, cut, below, np.where(split, below + 1, -1), totals / np.where(sums > 0, sums, 1)))
-        stay = split[at]
-        rows, at = rows[stay], at[stay]
-        high = bins[rows, feature[at]] > cut[at]
+        if not split.all():
+            stay = np.flatnonzero(split.take(at))
+            bins, y, w, at, start = bins.take(stay, axis=0), y.take(stay), w.take(stay), at.take(stay), start.take(stay)
+        high = flat.take(start + feature.take(at)) > cut.take(at)
         made += count
-        at = below[at] - made + high
+        at = below.take(at) - made + high
         count = 2 * int(split.sum())
     return Tree(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 

@@ -2,13 +2,13 @@
 
 Nodes of more than ``SMALL_ROWS`` drawn rows are cut by class counts that all tasks add up; a smaller node is finished by one task, which gets its rows.
 A tree draws each row a Poisson number of times, told by the hash of the row's features and the tree, so that trees depend neither on how rows are
-spread nor on how many trees grow at once. As many grow at once as move ``MOST_MOVED`` rows at most.
+spread nor on how many trees grow at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,11 +17,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.operators import descent
 from duskwatch.operators.boosting import bin_edges, packed
 from duskwatch.operators.forest import grow_tree
 
 SMALL_ROWS = 1 << 18  # drawn rows of a node that go to one task
-MOST_MOVED = 400_000_000  # rows of all trees that grow at once
+MOST_MOVED = 400_000_000  # rows of all trees whose small nodes are finished at once
+MOST_CELLS = 1 << 24  # counts that a task holds of all trees whose wide nodes are cut at once
+BLOCKS = 8  # that are counted together
 SEED = 42
 _SUMS = "tree int, counts binary"
 _CUTS = "tree int, slot int, feature int, cut int, n_below array<bigint>, n_above array<bigint>"
@@ -29,6 +32,7 @@ _MEMBERS = "tree int, node int, bins binary, labels binary, times binary"
 _PARTS = "tree int, node int, feature binary, cut binary, below binary, shares binary"
 # At most so many draws for each value of a uniform number: the Poisson distribution of mean one.
 _TIMES = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+_LIMITS = np.ceil(_TIMES * 2.0**53).astype(np.uint64)
 
 
 @dataclass
@@ -59,11 +63,9 @@ class Tree:
 
 @dataclass
 class Growing:
-    """What tasks need to know of a tree: its nodes as arrays, the slot of each wide node, the features each slot looks at."""
+    """What tasks need to know of a tree: its nodes, the slot of each wide node, the features each slot looks at [draw, slot]."""
 
-    feature: np.ndarray
-    cut: np.ndarray
-    below: np.ndarray
+    down: descent.Tree
     slot: np.ndarray
     looked: np.ndarray
     small: np.ndarray
@@ -71,35 +73,29 @@ class Growing:
     @classmethod
     def of(cls, tree: Tree, number: int, n_features: int, drawn: int, seed: int) -> Growing:
         slot, small = np.full(len(tree.feature), -1), np.zeros(len(tree.feature), bool)
-        looked = np.full((len(tree.wide), drawn), -1)
+        looked = np.full((drawn, len(tree.wide)), -1)
         for i, (node, tried) in enumerate(tree.wide.items()):
             slot[node] = i
             order = np.random.default_rng([seed, number, node]).permutation(n_features)[tried : tried + drawn]
-            looked[i, : len(order)] = order
+            looked[: len(order), i] = order
         small[tree.small] = True
-        return cls(*(np.array(x) for x in (tree.feature, tree.cut, tree.below)), slot, looked, small)
+        return cls(descent.Tree.of(*(np.array(x) for x in (tree.feature, tree.cut, tree.below))), slot, looked, small)
 
 
 def drawn_times(marks: np.ndarray, number: int, seed: int) -> np.ndarray:
     """How often a tree draws each row."""
     x = marks.view(np.uint64) + np.uint64((seed * 1_000_003 + number + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    uniform = ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / 2.0**53
-    return np.searchsorted(_TIMES, uniform, "right").astype(np.uint8)
-
-
-def walk(feature: np.ndarray, cut: np.ndarray, below: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """The node that each row reaches."""
-    at, open_ = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    flat, width = bins.reshape(-1), bins.shape[1]
-    while len(open_):
-        here = at.take(open_)
-        f = feature.take(here)
-        inner = np.flatnonzero(f >= 0)
-        open_, here, f = open_.take(inner), here.take(inner), f.take(inner)
-        at[open_] = below.take(here) + (flat.take(open_ * width + f) > cut.take(here))
-    return at
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(11)
+    times = np.zeros(len(x), np.uint8)
+    for limit in _LIMITS[:4]:
+        times += (x >= limit).view(np.uint8)
+    often = np.flatnonzero(times == 4)
+    times[often] = np.searchsorted(_LIMITS, x.take(often), "right")
+    return times
 
 
 def cuts_of(counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,48 +110,75 @@ def cuts_of(counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return gain[np.arange(len(cut)), cut], cut
 
 
-def _opened(batch: pa.RecordBatch, i: int, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _opened(batch: pa.RecordBatch, i: int, n_features: int) -> tuple[descent.Ranks, np.ndarray, np.ndarray]:
     bins, labels, marks = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((1, np.uint8), (2, np.int32), (3, np.int64)))
-    return bins.reshape(-1, n_features), labels.astype(np.uint8), marks
+    return descent.Ranks.of(np.ascontiguousarray(bins.reshape(-1, n_features).T)), labels.astype(np.uint8), marks
+
+
+def _in_groups(trees: dict[int, Tree], cells: int) -> Iterator[dict[int, Tree]]:
+    """The trees that have wide nodes, as many at a time as have ``MOST_CELLS`` counts; ``cells`` is what a node has."""
+    group: dict[int, Tree] = {}
+    held = 0
+    for number, tree in trees.items():
+        if tree.wide:
+            if group and held + len(tree.wide) * cells > MOST_CELLS:
+                yield group
+                group, held = {}, 0
+            group[number] = tree
+            held += len(tree.wide) * cells
+    if group:
+        yield group
 
 
 def _cut_wide(blocks: DataFrame, trees: dict[int, Tree], n_features: int, classes: int, weights: np.ndarray, drawn: int, depth: int, seed: int) -> None:
     """Cut the wide nodes of all trees once."""
     spark = blocks.sparkSession
-    sent = spark.sparkContext.broadcast({k: Growing.of(t, k, n_features, drawn, seed) for k, t in trees.items() if t.wide})
+    sent = spark.sparkContext.broadcast({k: Growing.of(t, k, n_features, drawn, seed) for k, t in trees.items()})
 
     def add_up(batches):
-        held: dict[int, np.ndarray] = {}
+        held = {number: np.zeros((drawn, tree.looked.shape[1] * 256 * classes), np.int64) for number, tree in sent.value.items()}
+        some = False
         for batch in batches:
-            for i in range(batch.num_rows):
-                bins, labels, marks = _opened(batch, i, n_features)
-                flat = bins.reshape(-1)
+            for first in range(0, batch.num_rows, BLOCKS):
+                some = True
+                opened = [_opened(batch, i, n_features) for i in range(first, min(first + BLOCKS, batch.num_rows))]
                 for number, tree in sent.value.items():
-                    times = drawn_times(marks, number, seed)
-                    mine = np.flatnonzero(times)
-                    slot = tree.slot.take(walk(tree.feature, tree.cut, tree.below, bins[mine]))
-                    mine, slot = mine[slot >= 0], slot[slot >= 0]
-                    total = held.setdefault(number, np.zeros((drawn, len(tree.looked), 256, classes), np.int64))
-                    for k in range(drawn):
-                        f = tree.looked[slot, k]
-                        has = f >= 0
-                        key = (slot[has] * 256 + flat[mine[has] * n_features + f[has]]) * classes + labels[mine[has]]
-                        total[k] += np.bincount(key, times[mine[has]], total[k].size).astype(np.int64).reshape(total[k].shape)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([t.tobytes() for t in held.values()], pa.binary())], names=["tree", "counts"])
+                    found: list[tuple[np.ndarray, ...]] = []
+                    for ranks, labels, marks in opened:
+                        times = drawn_times(marks, number, seed)
+                        mine = np.flatnonzero(times)
+                        slot = tree.slot.take(tree.down.leaves(ranks, mine))
+                        if slot.min(initial=0) < 0:
+                            kept = np.flatnonzero(slot >= 0)
+                            mine, slot = mine.take(kept), slot.take(kept)
+                        start = ranks.start.take(mine)
+                        base = slot * (256 * classes) + labels.take(mine)
+                        looks = [looked.take(slot) for looked in tree.looked]
+                        keys = [base + ranks.flat.take(start + f).astype(np.int64) * classes for f in looks]
+                        found.append((times.take(mine).astype(np.float64), *keys, *(f >= 0 for f in looks)))
+                    times, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+                    for total, key, has in zip(held[number], rest[:drawn], rest[drawn:], strict=True):
+                        everything = has.all()
+                        counted = np.bincount(key if everything else key[has], times if everything else times[has], len(total))
+                        np.add(total, counted, out=total, casting="unsafe")
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([t.astype(np.int32).tobytes() for t in held.values()], pa.binary())], names=["tree", "counts"])
 
     def choose(group):
         number = group.column(0)[0].as_py()
         looked = sent.value[number].looked
-        counts = sum(np.frombuffer(c.as_py(), np.int64) for c in group.column(1)).reshape(drawn, len(looked), 256, classes)
+        counts = np.zeros(looked.size * 256 * classes, np.int64)
+        for part in group.column(1):
+            counts += np.frombuffer(part.as_py(), np.int32)
+        counts = counts.reshape(*looked.shape, 256, classes)
         score, cut = (np.stack(x) for x in zip(*(cuts_of(c, weights) for c in counts), strict=True))
-        score[looked.T < 0] = -np.inf
-        best, slots = score.argmax(0), np.arange(len(looked))
+        score[looked < 0] = -np.inf
+        best, slots = score.argmax(0), np.arange(looked.shape[1])
         found = score[best, slots] > -np.inf
         where = cut[best, slots]
         low = [counts[best[s], s, : where[s] + 1].sum(0) for s in slots]
         high = [counts[best[s], s, where[s] + 1 :].sum(0) for s in slots]
-        feature = np.where(found, looked[slots, best], -1)
+        feature = np.where(found, looked[best, slots], -1)
         columns = [np.full(len(slots), number, np.int32), slots.astype(np.int32), feature.astype(np.int32), where.astype(np.int32)]
         return pa.Table.from_arrays([*(pa.array(c) for c in columns), *(pa.array([x.tolist() for x in side], pa.list_(pa.int64())) for side in (low, high))], names=["tree", "slot", "feature", "cut", "n_below", "n_above"])
 
@@ -185,6 +208,25 @@ def _add_node(tree: Tree, counts: np.ndarray, weights: np.ndarray, at_depth: int
             tree.small.append(node)
 
 
+def _sorted_rows(bins: np.ndarray, labels: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by their bins (the last feature's first), labels and times. Rows that fit 64 bits are sorted as numbers."""
+    columns = [times, labels, *bins.T]
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 64:
+        order = np.lexsort(columns)
+        return bins[order], labels[order], times[order]
+    packed = np.zeros(len(times), np.uint64)
+    for column, width in zip(reversed(columns), reversed(bits), strict=True):
+        packed <<= np.uint64(width)
+        packed |= column
+    packed.sort()
+    told = []
+    for width in bits:
+        told.append((packed & np.uint64((1 << width) - 1)).astype(np.uint8))
+        packed >>= np.uint64(width)
+    return np.stack(told[2:], 1), told[1], told[0]
+
+
 def _finish_small(blocks: DataFrame, trees: dict[int, Tree], n_features: int, classes: int, weights: np.ndarray, drawn: int, depth: int, seed: int) -> None:
     """Grow what is below the small nodes of all trees, each in one task."""
     spark = blocks.sparkSession
@@ -193,28 +235,30 @@ def _finish_small(blocks: DataFrame, trees: dict[int, Tree], n_features: int, cl
     def members(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                bins, labels, marks = _opened(batch, i, n_features)
+                ranks, labels, marks = _opened(batch, i, n_features)
+                bins = ranks.flat.reshape(-1, n_features)
                 for number, (tree, _) in sent.value.items():
                     times = drawn_times(marks, number, seed)
                     mine = np.flatnonzero(times)
-                    at = walk(tree.feature, tree.cut, tree.below, bins[mine])
-                    mine, at = mine[tree.small[at]], at[tree.small[at]]
-                    order = np.argsort(at, kind="stable")
-                    mine, at = mine[order], at[order]
-                    ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1 if len(at) else np.zeros(0, np.int64)
+                    at = tree.down.leaves(ranks, mine)
+                    kept = np.flatnonzero(tree.small.take(at))
+                    if not len(kept):
+                        continue
+                    mine, at = mine.take(kept), at.take(kept)
+                    order = np.argsort(at.astype(np.uint16) if len(tree.small) <= 65_536 else at, kind="stable")
+                    mine, at = mine.take(order), at.take(order)
+                    ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1
                     told = [(number, int(at[a]), bins[mine[a:b]].tobytes(), labels[mine[a:b]].tobytes(), times[mine[a:b]].tobytes()) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
-                    if told:
-                        kinds = [pa.int32()] * 2 + [pa.binary()] * 3
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), kinds, strict=True)], names=["tree", "node", "bins", "labels", "times"])
+                    kinds = [pa.int32()] * 2 + [pa.binary()] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), kinds, strict=True)], names=["tree", "node", "bins", "labels", "times"])
 
     def grow(group):
         number, node = group.column(0)[0].as_py(), group.column(1)[0].as_py()
         bins, labels, times = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint8) for c in (2, 3, 4))
-        bins = bins.reshape(-1, n_features)
-        order = np.lexsort((times, labels, *bins.T))  # so that sums don't depend on the order of arrival
-        labels = labels[order].astype(np.int64)
+        bins, labels, times = _sorted_rows(bins.reshape(-1, n_features), labels, times)  # so that sums don't depend on the order of arrival
+        labels = labels.astype(np.int64)
         level = int(sent.value[number][1][node])
-        made = grow_tree(bins[order], labels, times[order] * weights[labels], classes, np.random.default_rng([seed, number, node]), drawn, depth - level)
+        made = grow_tree(bins, labels, times * weights[labels], classes, np.random.default_rng([seed, number, node]), drawn, depth - level)
         cells = (made.feature.astype(np.int16), made.cut.astype(np.uint8), made.below.astype(np.int32), made.shares.astype(np.float64))
         columns = [pa.array([number], pa.int32()), pa.array([node], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)]
         return pa.Table.from_arrays(columns, names=["tree", "node", "feature", "cut", "below", "shares"])
@@ -249,38 +293,43 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, trees: int, depth:
     drawn = max(1, int(math.sqrt(len(features))))
     at_once = max(1, min(trees, MOST_MOVED // max(n, 1)))
     shares = weights * [sizes.get(c, 0) for c in range(classes)] / max(n, 1)
-    grown: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for first in range(0, trees, at_once):
-        batch = {k: Tree(shares=[shares]) for k in range(first, min(first + at_once, trees))}
-        for tree in batch.values():
-            if n > SMALL_ROWS and len(sizes) > 1:
+    settings = (len(features), classes, weights, drawn, depth, seed)
+    grown = {k: Tree(shares=[shares]) for k in range(trees)}
+    if len(sizes) > 1:
+        for tree in grown.values():
+            if n > SMALL_ROWS:
                 tree.wide[0] = 0
-            elif len(sizes) > 1:
+            else:
                 tree.small.append(0)
-        settings = (len(features), classes, weights, drawn, depth, seed)
-        while any(t.wide for t in batch.values()):
-            _cut_wide(blocks, batch, *settings)
-        if any(t.small for t in batch.values()):
+    while any(t.wide for t in grown.values()):
+        for group in list(_in_groups(grown, drawn * 256 * classes)):
+            _cut_wide(blocks, group, *settings)
+    for first in range(0, trees, at_once):
+        batch = {k: grown[k] for k in range(first, min(first + at_once, trees)) if grown[k].small}
+        if batch:
             _finish_small(blocks, batch, *settings)
-        grown += [t.finished() for t in batch.values()]
-    return Forest(grown, edges, classes)
+    return Forest([t.finished() for t in grown.values()], edges, classes)
 
 
 def score(forest: Forest, rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """``truth, predicted, p`` of all rows that have a label: the class with the greatest share (the lowest of equal ones), and the share of class 1."""
     spark = rows.sparkSession
     blocks = packed(rows.repartition(2 * spark.sparkContext.defaultParallelism), list(features), label, forest.edges, 1)
-    sent: Broadcast = spark.sparkContext.broadcast(forest)
+    down = [descent.Tree.of(feature, cut, below) for feature, cut, below, _ in forest.trees]
+    sent: Broadcast = spark.sparkContext.broadcast((down, [np.ascontiguousarray(t[3].T) for t in forest.trees], forest.classes))
     n_features = len(features)
 
     def run(batches):
+        down, shares, classes = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                bins, labels, _ = _opened(batch, i, n_features)
-                total = np.zeros((len(labels), sent.value.classes))
-                for feature, cut, below, shares in sent.value.trees:
-                    total += shares[walk(feature, cut, below, bins)]
-                total /= len(sent.value.trees)
-                yield pa.RecordBatch.from_arrays([pa.array(labels.astype(np.int32)), pa.array(total.argmax(1).astype(np.int32)), pa.array(total[:, 1].copy())], names=["truth", "predicted", "p"])
+                ranks, labels, _ = _opened(batch, i, n_features)
+                total = np.zeros((classes, len(labels)))
+                for tree, told in zip(down, shares, strict=True):
+                    leaves = tree.leaves(ranks)
+                    for sums, of_class in zip(total, told, strict=True):
+                        sums += of_class.take(leaves)
+                total /= len(down)
+                yield pa.RecordBatch.from_arrays([pa.array(labels.astype(np.int32)), pa.array(total.argmax(0).astype(np.int32)), pa.array(total[1])], names=["truth", "predicted", "p"])
 
     return blocks.mapInArrow(run, "truth int, predicted int, p double")

@@ -177,3 +177,14 @@ def test_combined_engines(spark):
     df = spark.createDataFrame(rows, "id INT, random_forest_prediction STRING, xgboost_prediction STRING, isolation_forest_prediction STRING, is_anomaly BOOLEAN, failed BOOLEAN")
     got = {r["id"]: (r["ml_status"], r["ml_engine"], r["ml_prediction"]) for r in models.combine_engines(df.withColumn("anomaly_score", F.lit(0.0))).collect()}
     assert got == {1: ("success", "random_forest", "DDoS"), 2: ("success", "hybrid", "BENIGN"), 3: ("failed", None, None), 4: ("not_available", None, None)}
+
+
+def test_texts_are_read_once(spark):
+    """Each text was read up to six times, and one that is no number cost an exception each time."""
+    given = [("1", "2"), (" 7e1 ", "3"), ("abc", "1"), ("", "1"), ("NaN", "1"), ("-Infinity", "1"), ("12x", "1"), (None, "1"), ("1", None), ("0x1p3", "4"), ("1e999", "1"), ("5d", "6")]
+    rows = datasets.finite_rows(spark.createDataFrame(given, "`a.1` STRING, b STRING").withColumn("kept", F.lit(1)), ["a.1", "b"])
+    assert rows.dtypes == [("a.1", "double"), ("b", "double"), ("kept", "int")]
+    assert sorted(tuple(r) for r in rows.collect()) == [(1.0, 2.0, 1), (5.0, 6.0, 1), (8.0, 4.0, 1), (70.0, 3.0, 1)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("try_cast") == 2
+    counts = datasets.finite_row_counts(spark.createDataFrame(given, "`a.1` STRING, b STRING"), ["a.1", "b"]).first()
+    assert (counts["kept"], counts["removed"]) == (4, 8)
